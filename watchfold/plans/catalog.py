@@ -3,6 +3,7 @@
 from watchfold.plans import (  # noqa: F401  (importing registers)
     evaluation_queries,
     feature_queries,
+    moderation_queries,
     profiling_queries,
 )
 from watchfold.plans.registry import QUERIES

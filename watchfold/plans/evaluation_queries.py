@@ -116,11 +116,11 @@ def j9_best(spark, sf):
 
 @query(
     "j10_capacity_threshold",
-    f"""WITH {CURVE_SQL} SELECT {_POINT}, true AS within_capacity FROM costs WHERE costs.flagged_per_day <= 20
+    f"""WITH {CURVE_SQL} SELECT {_POINT}, true AS within_capacity FROM costs WHERE costs.flagged_per_day <= 100
         ORDER BY costs.threshold, closing LIMIT 1""",
 )
 def j10(spark, sf):
-    return rounded(V.capacity_threshold(V.cost_curve(scored(spark, sf), "y", "p"), 20))
+    return rounded(V.capacity_threshold(V.cost_curve(scored(spark, sf), "y", "p"), 100))
 
 
 @query(
