@@ -154,7 +154,7 @@ def _scan_by_join(df: DataFrame, text: str, terms: DataFrame, id_col: str) -> Da
     by_token = (
         low.select(id_col, F.explode(F.array_distinct(tokens(F.col("__low")))).alias("term"))
         .join(words, "term")
-        .select(id_col, "tier", "kind", "ord", "term")
+        .select(id_col, "tier", "kind", "ord", "term", F.lit(None).cast("string").alias("__re"))
     )
 
     def edge(ch: Column, ahead: str, behind_not: str) -> Column:
@@ -168,26 +168,27 @@ def _scan_by_join(df: DataFrame, text: str, terms: DataFrame, id_col: str) -> Da
     def pieces(n: int) -> Column:
         return F.array_distinct(F.regexp_extract_all("__low", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
-    found = [by_token]
+    found = by_token
     for n in (1, 2, 3):
         match = others.where(F.col("__n") == n if n < 3 else F.col("__n") >= 3)
-        seen = low.select("*", F.explode(pieces(n)).alias("__piece"))
+        seen = low.select(id_col, F.explode(pieces(n)).alias("__piece"))
         joined = seen.join(match, F.col("__piece") == F.substring("term", 1, n))
-        hit = F.when(F.col("kind") == "phrase", F.contains("__low", F.col("term"))).otherwise(
-            F.rlike("__low", F.col("__re"))
-        )
-        found.append(joined.where(hit).select(id_col, "tier", "kind", "ord", "term"))
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
-    # One row per (text, term) found; a text holds no more of them than it has pieces.
-    ordered = F.struct(
+        found = found.unionByName(joined.select(id_col, "tier", "kind", "ord", "term", "__re"))
+    # The terms a text may hold, no more of them than it has pieces; only these rows
+    # are shuffled, and the text meets them once to check those not certain yet.
+    candidate = F.struct(
         F.when(F.col("tier") == "hard", 0).otherwise(1).alias("t"),
         F.when(F.col("kind") == "word", 0).otherwise(1).alias("k"),
         "ord",
         "term",
+        F.col("__re").alias("re"),
     )
-    per_text = every.groupBy(id_col).agg(F.array_sort(F.collect_set(ordered)).alias("__f"))
+    per_text = found.groupBy(id_col).agg(F.array_sort(F.collect_set(candidate)).alias("__f"))
+    body = F.lower(F.coalesce(F.col(text), F.lit("")))
+
+    def holds(s: Column) -> Column:
+        phrase = F.contains(F.col("__body"), s["term"])
+        return F.when(s["re"].isNull(), True).when(s["k"] == 1, phrase).otherwise(F.rlike(F.col("__body"), s["re"]))
 
     def of(tier: int) -> Column:
         kept = F.filter("__f", lambda s: s["t"] == tier)
@@ -195,9 +196,11 @@ def _scan_by_join(df: DataFrame, text: str, terms: DataFrame, id_col: str) -> Da
 
     return (
         df.join(per_text, id_col, "left")
+        .withColumn("__body", F.when(F.col("__f").isNotNull(), body))
+        .withColumn("__f", F.filter("__f", holds))
         .withColumns({"hard_terms": of(0), "soft_terms": of(1)})
         .withColumn("all_terms", F.array_distinct(F.concat("hard_terms", "soft_terms")))
-        .drop("__f")
+        .drop("__f", "__body")
     )
 
 
@@ -229,13 +232,15 @@ def text_verdict(scanned: DataFrame, text: str, verdicts: DataFrame | None = Non
     ``verdicts`` (key, verdict, rationale) is the second stage's answer; it counts
     only where a soft term and no hard term was found.
     """
+    # Decided before the join, so that the text itself is shuffled only if it is asked for.
+    scanned = scanned.withColumn("__blank", is_blank(text))
     if verdicts is None:
         joined = scanned.withColumns({"__v": F.lit(None).cast("string"), "__why": F.lit(None).cast("string")})
     else:
         v = verdicts.select(key, F.col("verdict").alias("__v"), F.col("rationale").alias("__why"))
         joined = scanned.join(v, key, "left")
     hard, soft = F.size("hard_terms") > 0, F.size("soft_terms") > 0
-    blank = is_blank(text)
+    blank = F.col("__blank")
     asked = ~blank & ~hard & soft
     result = (
         F.when(blank | (~hard & ~soft), "pass")
@@ -247,7 +252,7 @@ def text_verdict(scanned: DataFrame, text: str, verdicts: DataFrame | None = Non
     terms = F.when(blank, _strings([])).when(hard, F.col("all_terms")).otherwise(F.col("soft_terms"))
     return joined.withColumns(
         {"text_result": result, "matched_terms": terms, "rationale": F.when(asked, F.col("__why"))}
-    ).drop("__v", "__why")
+    ).drop("__v", "__why", "__blank")
 
 
 # --- images ----------------------------------------------------------------------

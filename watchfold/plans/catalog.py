@@ -5,6 +5,7 @@ from watchfold.plans import (  # noqa: F401  (importing registers)
     feature_queries,
     moderation_queries,
     profiling_queries,
+    urlscan_queries,
 )
 from watchfold.plans.registry import QUERIES
 
