@@ -30,43 +30,51 @@ def first_match(df: DataFrame, url: str, patterns: Patterns) -> DataFrame:
     return named.where(F.col("pattern_name").isNotNull())
 
 
-def flatten_tree(df: DataFrame, json_col: str, roots: Sequence[str] = K.TREE_ROOTS, max_depth: int = 64) -> DataFrame:
+def flatten_tree(df: DataFrame, json_col: str, roots: Sequence[str] = K.TREE_ROOTS) -> DataFrame:
     """URL leaves of bookmark trees, one row each: root, depth, url, title.
 
-    The tree is a VARIANT; a recursive query opens one level of folders at a
-    time, all trees side by side.  Folders hold their children, anything else
-    than a url or a folder is passed over.
+    The tree is a VARIANT, opened one level of folders per step inside its own
+    row, so nothing is shuffled and trees of any depth come out whole: a tree has
+    no more levels than its text names ``children``.  Anything else than a url
+    or a folder is passed over.
     """
-    spark = df.sparkSession
+    nodes, leaves = "array<struct<root: string, node: variant>>", "array<struct<root: string, depth: int, url: string, title: string>>"
     keep = [c for c in df.columns if c != json_col]
-    starts = F.array(
-        *[F.struct(F.lit(r).alias("root"), F.try_variant_get(F.col("__tree"), f"$.roots.{r}", "variant").alias("node")) for r in roots]
-    )
-    base = (
-        df.withColumn("__tree", F.try_parse_json(json_col))
-        .select(*keep, F.inline(starts))
-        .where(F.col("node").isNotNull())
-    )
-    view = f"__tree_{abs(hash((json_col, id(df))))}"
-    base.createOrReplaceTempView(view)
-    cols = ", ".join(f"`{c}`" for c in keep)
-    via = ", ".join(f"w.`{c}`" for c in keep)
-    walked = spark.sql(
-        f"""
-        WITH RECURSIVE walk ({cols}, root, depth, node) MAX RECURSION LEVEL {max_depth} AS (
-          SELECT {cols}, root, 0, node FROM {view}
-          UNION ALL
-          SELECT {via}, w.root, w.depth + 1, c.value
-          FROM walk w, LATERAL variant_explode(try_variant_get(w.node, '$.children', 'variant')) AS c
-          WHERE try_variant_get(w.node, '$.type', 'string') = 'folder'
+
+    def text(node: Column, path: str) -> Column:
+        return F.try_variant_get(node, path, "string")
+
+    def children(n: Column) -> Column:
+        under = F.coalesce(F.try_variant_get(n["node"], "$.children", "array<variant>"), F.array().cast("array<variant>"))
+        return F.transform(under, lambda c: F.struct(n["root"].alias("root"), c.alias("node")))
+
+    def step(acc: Column, depth: Column) -> Column:
+        here = F.filter(acc["open"], lambda n: text(n["node"], "$.type") == "url")
+        found = F.transform(
+            here,
+            lambda n: F.struct(
+                n["root"].alias("root"),
+                depth.alias("depth"),
+                F.coalesce(text(n["node"], "$.url"), F.lit("")).alias("url"),
+                F.nullif(text(n["node"], "$.name"), F.lit("")).alias("title"),
+            ),
         )
-        SELECT {cols}, root, depth,
-               coalesce(try_variant_get(node, '$.url', 'string'), '') AS url,
-               nullif(try_variant_get(node, '$.name', 'string'), '') AS title
-        FROM walk WHERE try_variant_get(node, '$.type', 'string') = 'url'
-        """
+        folders = F.filter(acc["open"], lambda n: text(n["node"], "$.type") == "folder")
+        return F.when(F.size(acc["open"]) == 0, acc).otherwise(
+            F.struct(
+                F.flatten(F.transform(folders, children)).cast(nodes).alias("open"),
+                F.concat(acc["found"], found).cast(leaves).alias("found"),
+            )
+        )
+
+    starts = F.filter(
+        F.array(*[F.struct(F.lit(r).alias("root"), F.try_variant_get(F.col("__tree"), f"$.roots.{r}", "variant").alias("node")) for r in roots]),
+        lambda n: n["node"].isNotNull(),
     )
-    return walked
+    zero = F.struct(starts.cast(nodes).alias("open"), F.array().cast(leaves).alias("found"))
+    levels = F.sequence(F.lit(0), F.regexp_count(json_col, F.lit('"children"')))
+    walked = F.aggregate(levels, zero, step, lambda acc: acc["found"])
+    return df.withColumn("__tree", F.try_parse_json(json_col)).select(*keep, F.inline(walked))
 
 
 def account_email(prefs: Column | str) -> Column:

@@ -3,6 +3,8 @@
 from watchfold.plans import (  # noqa: F401  (importing registers)
     evaluation_queries,
     feature_queries,
+    ingest_queries,
+    ledger_queries,
     moderation_queries,
     profiling_queries,
     urlscan_queries,
