@@ -65,8 +65,8 @@ def train_scorer(
     )
     filled = [f"__f_{c}" for c in features]
     trees = GBTClassifier(
-        featuresCol="__x", labelCol="__y", weightCol="__w", predictionCol="__p", rawPredictionCol="__raw",
-        probabilityCol="__prob", maxIter=int(p["max_iter"]), maxDepth=int(p["max_depth"]), stepSize=float(p["step_size"]),
+        featuresCol="__x", labelCol="__y", weightCol="__w", predictionCol="__p",
+        maxIter=int(p["max_iter"]), maxDepth=int(p["max_depth"]), stepSize=float(p["step_size"]),
         minInstancesPerNode=int(p.get("min_instances", 1)), subsamplingRate=float(p.get("subsample", 1.0)),
         featureSubsetStrategy=str(p.get("feature_share", "all")), minInfoGain=float(p.get("min_gain", 0.0)), seed=seed,
     )
@@ -83,7 +83,7 @@ def train_scorer(
 def raw_scores(model: PipelineModel, df: DataFrame, features: Sequence[str], out: str = "raw") -> DataFrame:
     """Adds the uncalibrated probability of the positive class."""
     typed = df.withColumns({c: F.col(c).cast("double") for c in features})
-    scored = model.transform(typed).withColumn(out, vector_to_array("__prob")[1])
+    scored = model.transform(typed).withColumn(out, vector_to_array("probability")[1])
     return scored.select(*df.columns, out)
 
 

@@ -9,6 +9,7 @@ from watchfold.plans import (  # noqa: F401  (importing registers)
     modelling_queries,
     moderation_queries,
     profiling_queries,
+    source_queries,
     streaming_queries,
     urlscan_queries,
 )

@@ -113,7 +113,7 @@ class _Velocity(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.past = handle.getListState("past", "us BIGINT, amount DOUBLE")
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows)).sort_values("us", kind="stable")
         kept = [(r[0], r[1]) for r in self.past.get()] if self.past.exists() else []
         us = np.array([k[0] for k in kept] + new["us"].tolist(), dtype=np.int64)
@@ -185,28 +185,30 @@ class _Corroboration(StatefulProcessor):
             out.append((key[0], rows[i][2], int(every - same), bool(every == same)))
         done = set(due)
         pending = [r[0] for i, r in enumerate(rows) if r[3] and i not in done]
+        if pending:
+            # wake up when the earliest open hit is due; that call sets the next one
+            self.handle.registerTimer((min(pending) + self.half) // 1000 + 1)
         floor = min(pending + [closed]) - self.half
         kept = [(r[0], r[1], r[2], r[3] and i not in done) for i, r in enumerate(rows) if r[0] >= floor]
         if kept:
             self.seen.put(kept)
         else:
             self.seen.clear()
-        return pd.DataFrame(out, columns=["key", "hit_id", "matches", "single_source"])
+        answers = pd.DataFrame(out, columns=["key", "hit_id", "matches", "single_source"])
+        return answers.astype({"hit_id": "int64", "matches": "int64", "single_source": "bool"})
 
     def _rows(self) -> list:
         return [tuple(r) for r in self.seen.get()] if self.seen.exists() else []
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows))
         both = self._rows() + [
             (int(u), s, int(h), True) for u, s, h in zip(new["us"], new["source"], new["hit_id"])
         ]
-        latest = max(r[0] for r in both)
-        self.handle.registerTimer((latest + self.half) // 1000 + 1)
-        yield self._settle(key, both, timer_values.getCurrentWatermarkInMs())
+        yield self._settle(key, both, timerValues.getCurrentWatermarkInMs())
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
-        yield self._settle(key, self._rows(), timer_values.getCurrentWatermarkInMs())
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._settle(key, self._rows(), timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
