@@ -106,9 +106,9 @@ def observed(query: StreamingQuery, name: str) -> list[dict]:
 class _Velocity(StatefulProcessor):
     """Earlier rows of a key no older than the longest window, kept in time order."""
 
-    def __init__(self, windows: Mapping[str, int]):
+    def __init__(self, windows: Mapping[str, int], delay_seconds: int):
         self.windows = dict(windows)
-        self.longest = max(self.windows.values()) * 1_000_000
+        self.reach = (max(self.windows.values()) + delay_seconds) * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.past = handle.getListState("past", "us BIGINT, amount DOUBLE")
@@ -128,7 +128,7 @@ class _Velocity(StatefulProcessor):
             lo = np.searchsorted(us, at - seconds * 1_000_000, side="left")
             out[f"velocity_count_{label}"] = (hi - lo).astype("int64")
             out[f"velocity_value_{label}"] = np.where(hi > lo, total[hi] - total[lo], 0.0)
-        live = us >= us[-1] - self.longest
+        live = us >= us[-1] - self.reach
         self.past.put(list(zip(us[live].tolist(), amount[live].tolist())))
         yield pd.DataFrame(out)
 
@@ -137,18 +137,19 @@ class _Velocity(StatefulProcessor):
 
 
 def velocity_stream(
-    stream: DataFrame, key: str, event_id: str, micros: str, amount: str, windows: Mapping[str, int]
+    stream: DataFrame, key: str, event_id: str, micros: str, amount: str, windows: Mapping[str, int], delay_seconds: int = 3600
 ) -> DataFrame:
     """Running velocity per key: count and sum of strictly earlier rows in each window.
 
-    State per key is the rows of the longest window.  Rows of one micro-batch are
-    put in order of time; a row later than that is counted from then on.
+    State per key is the rows of the longest window and the delay.  Rows of one
+    micro-batch are put in order of time; a row that arrives within the delay
+    still sees its whole window, and is counted for the rows after it.
     """
     rows = stream.select(F.col(key).alias("key"), F.col(event_id).alias("event_id"), F.col(micros).alias("us"), F.col(amount).alias("amount"))
     key_type = dict(rows.dtypes)["key"]
     cols = ", ".join(f"velocity_count_{w} BIGINT, velocity_value_{w} DOUBLE" for w in windows)
     return rows.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=_Velocity(windows),
+        statefulProcessor=_Velocity(windows, delay_seconds),
         outputStructType=f"key {key_type}, event_id {dict(rows.dtypes)['event_id']}, {cols}",
         outputMode="Append",
         timeMode="None",
