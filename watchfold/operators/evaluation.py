@@ -244,30 +244,33 @@ def psi_baseline(baseline: DataFrame, cols: Sequence[str], bins: int = 10) -> Da
     long = _long(baseline, cols)
     names = {f"e{i}": i / bins for i in range(bins + 1)}
     edges = exact_quantiles(long, "v", names, ["feature"]).select(
-        "feature", F.array_sort(F.array_distinct(F.array(*names))).alias("edges")
+        "feature", F.struct(F.array_sort(F.array_distinct(F.array(*names))).alias("edges")).alias("b")
     )
-    return edges.join(_bin_counts(long, edges), "feature")
+    return _bin_counts(long, _lookup(edges)).select("feature", "b.edges", "rows", "counts")
 
 
-def _bin_counts(long: DataFrame, edges: DataFrame) -> DataFrame:
-    """Counts per bin; the last bin is closed, values outside count only in ``rows``.
+def _lookup(per_feature: DataFrame) -> Column:
+    """A table of (feature, struct b) as one map; it has an entry per column, no more."""
+    return per_feature.agg(F.map_from_entries(F.collect_list(F.struct("feature", "b")))).scalar()
 
-    One edge list per feature, so the broadcast is as large as the list of columns.
-    """
-    e = F.col("edges")
-    below = F.size(F.filter("edges", lambda x: x <= F.col("v")))
+
+def _bin_counts(long: DataFrame, table: Column) -> DataFrame:
+    """Counts per bin; the last bin is closed, values outside count only in ``rows``."""
+    e = F.col("b.edges")
+    below = F.size(F.filter(e, lambda x: x <= F.col("v")))
     last = F.size(e) - 1
     slot = F.when(F.col("v") == F.element_at(e, -1), last).otherwise(below)
-    inside = slot.between(1, last)
     binned = (
-        long.join(F.broadcast(edges.select("feature", "edges")), "feature")
-        .select("feature", F.when(inside, slot).otherwise(F.lit(0)).alias("slot"))
+        long.withColumn("b", F.try_element_at(table, F.col("feature")))
+        .where(F.col("b").isNotNull())
+        .select("feature", F.when(slot.between(1, last), slot).otherwise(F.lit(0)).alias("slot"))
         .groupBy("feature", "slot")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return binned.groupBy("feature").agg(
+    summed = binned.groupBy("feature").agg(
         F.sum("n").alias("rows"), F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("counts")
     )
+    return summed.withColumn("b", F.try_element_at(table, F.col("feature")))
 
 
 def psi(baseline: DataFrame, current: DataFrame, cols: Sequence[str], bins: int = 10) -> DataFrame:
@@ -277,26 +280,22 @@ def psi(baseline: DataFrame, current: DataFrame, cols: Sequence[str], bins: int
 
 def psi_against(fixed: DataFrame, current: DataFrame, cols: Sequence[str]) -> DataFrame:
     """PSI of ``current`` against the output of ``psi_baseline``."""
-    now = _bin_counts(_long(current, cols), fixed).select(
-        "feature", F.col("rows").alias("now_rows"), F.col("counts").alias("now_counts")
-    )
-    joined = fixed.join(now, "feature")
-
-    def share(counts: str, rows: str, slot: Column) -> Column:
-        n = F.coalesce(F.try_element_at(F.col(counts), slot), F.lit(0))
-        return (n + F.lit(1e-6)) / F.col(rows)
-
-    slots = F.sequence(F.lit(1), F.size("edges") - 1)
-    terms = F.transform(
-        slots,
-        lambda s: (share("now_counts", "now_rows", s) - share("counts", "rows", s))
-        * F.log(share("now_counts", "now_rows", s) / share("counts", "rows", s)),
-    )
-    value = F.when(F.size("edges") < 3, F.lit(0.0)).otherwise(
-        F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x)
-    )
-    return joined.select(
-        "feature", F.col("rows").alias("baseline_rows"), F.col("now_rows").alias("current_rows"), value.alias("psi")
+    table = _lookup(fixed.select("feature", F.struct("edges", "rows", "counts").alias("b")))
+    now = _bin_counts(_long(current, cols), table)
+
+    def share(counts: Column, rows: Column, slot: Column) -> Column:
+        return (F.coalesce(F.try_element_at(counts, slot), F.lit(0)) + F.lit(1e-6)) / rows
+
+    def term(slot: Column) -> Column:
+        then = share(F.col("b.counts"), F.col("b.rows"), slot)
+        today = share(F.col("counts"), F.col("rows"), slot)
+        return (today - then) * F.log(today / then)
+
+    edges = F.size("b.edges")
+    terms = F.transform(F.sequence(F.lit(1), edges - 1), term)
+    value = F.when(edges < 3, F.lit(0.0)).otherwise(F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x))
+    return now.select(
+        "feature", F.col("b.rows").alias("baseline_rows"), F.col("rows").alias("current_rows"), value.alias("psi")
     ).withColumn("band", psi_band("psi"))
 
 

@@ -72,6 +72,8 @@ def resolve_sender(msgs: DataFrame, directory: DataFrame) -> DataFrame:
 # --- keyword tiers ---------------------------------------------------------------
 
 LITERAL_TERMS = 2_000
+# Up to so many words a search for each is cheaper than cutting the text into tokens.
+SEARCHED_WORDS = 64
 
 
 class Term(NamedTuple):
@@ -88,28 +90,35 @@ def bounded_terms(terms: DataFrame, limit: int = LITERAL_TERMS) -> list[Term] |
     return [Term(r.tier, r.term, r.kind) for r in sorted(rows, key=lambda r: r.ord)]
 
 
-def scan_words(text: Column, words: Sequence[str]) -> Column:
-    """Words found in a text, in list order.
+def scan_words(low: Column, words: Sequence[str]) -> Column:
+    """Words found in a lower-case text, in list order.
 
-    Words made of word characters only are whole tokens, so the text is cut once
-    and intersected; others are searched with their boundaries spelled out.
+    ``low`` should be a column of its own: it is read once per word.
+
+    A short list is searched word by word: a plain substring search first, and the
+    boundaries only where it hits.  In a long one, words made of word characters
+    only are whole tokens, so the text is cut once and intersected.
     """
-    low = F.lower(text)
+
+    def searched(word: str) -> Column:
+        return F.when(F.contains(low, F.lit(word)) & low.rlike(word_regex(word)), F.lit(word))
+
+    if len(words) <= SEARCHED_WORDS:
+        return F.array_compact(F.array(*[searched(w) for w in words])) if words else _strings([])
     plain = [w for w in words if all(c == "_" or c.isalnum() for c in w)]
     odd = [w for w in words if w not in set(plain)]
     found = F.array_intersect(_strings(plain), tokens(low))
     if not odd:
         return found
-    other = [F.when(low.rlike(word_regex(w)), F.lit(w)) for w in odd]
+    other = F.array_compact(F.array(*[searched(w) for w in odd]))
     # back to list order
-    return F.array_intersect(_strings(words), F.concat(found, F.array_compact(F.array(*other))))
+    return F.array_intersect(_strings(words), F.concat(found, other))
 
 
-def scan_phrases(text: Column, phrases: Sequence[str]) -> Column:
-    """Phrases contained in the lower-case text, in list order."""
+def scan_phrases(low: Column, phrases: Sequence[str]) -> Column:
+    """Phrases contained in a lower-case text, in list order."""
     if not phrases:
         return _strings([])
-    low = F.lower(text)
     return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(p)), F.lit(p)) for p in phrases]))
 
 
@@ -131,11 +140,13 @@ def keyword_scan(df: DataFrame, text: str, terms: DataFrame | Sequence[Term], id
     def of(tier: str) -> Column:
         words = list(dict.fromkeys(t.term for t in listed if t.tier == tier and t.kind == "word"))
         phrases = list(dict.fromkeys(t.term for t in listed if t.tier == tier and t.kind == "phrase"))
-        body = F.coalesce(F.col(text), F.lit(""))
-        return F.concat(scan_words(body, words), scan_phrases(body, phrases))
+        return F.concat(scan_words(F.col("__low"), words), scan_phrases(F.col("__low"), phrases))
 
-    return df.withColumns({"hard_terms": of("hard"), "soft_terms": of("soft")}).withColumn(
-        "all_terms", F.array_distinct(F.concat("hard_terms", "soft_terms"))
+    return (
+        df.withColumn("__low", F.lower(F.coalesce(F.col(text), F.lit(""))))
+        .withColumns({"hard_terms": of("hard"), "soft_terms": of("soft")})
+        .withColumn("all_terms", F.array_distinct(F.concat("hard_terms", "soft_terms")))
+        .drop("__low")
     )
 
 
@@ -157,13 +168,12 @@ def _scan_by_join(df: DataFrame, text: str, terms: DataFrame, id_col: str) -> Da
         .select(id_col, "tier", "kind", "ord", "term", F.lit(None).cast("string").alias("__re"))
     )
 
-    def edge(ch: Column, ahead: str, behind_not: str) -> Column:
-        return F.when(ch.rlike(f"[{WORD_CLASS}]"), F.lit(behind_not)).otherwise(F.lit(ahead))
-
+    # the same pattern as functions.text.word_regex, from a column
     quoted = F.regexp_replace("term", r"([^\p{L}\p{N}_\s])", r"\\$1")
-    left = edge(F.substring("term", 1, 1), f"(?<=[{WORD_CLASS}])", f"(?<![{WORD_CLASS}])")
-    right = edge(F.right("term", F.lit(1)), f"(?=[{WORD_CLASS}])", f"(?![{WORD_CLASS}])")
-    others = others.withColumn("__re", F.concat(left, quoted, right))
+    word = f"[{WORD_CLASS}]"
+    left = F.when(F.substring("term", 1, 1).rlike(word), f"(?<!{word}").otherwise(f"(?<={word}")
+    right = F.when(F.right("term", F.lit(1)).rlike(word), f"(?!{word})").otherwise(f"(?={word})")
+    others = others.withColumn("__re", F.concat(quoted, left, quoted, F.lit(")"), right))
 
     def pieces(n: int) -> Column:
         return F.array_distinct(F.regexp_extract_all("__low", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))

@@ -68,8 +68,9 @@ def scanned(t):
     f"WITH {MSG_SQL} SELECT doc_id, array_to_string({_words_sql(_tier('soft', 'word'))}, ',') AS terms FROM msg",
 )
 def d3(spark, sf):
-    found = M.scan_words(F.col("text"), _tier("soft", "word"))
-    return Tables(spark, sf).documents.select("doc_id", F.array_join(found, ",").alias("terms"))
+    found = M.scan_words(F.col("low"), _tier("soft", "word"))
+    docs = Tables(spark, sf).documents.select("doc_id", F.lower("text").alias("low"))
+    return docs.select("doc_id", F.array_join(found, ",").alias("terms"))
 
 
 @query(
@@ -77,8 +78,9 @@ def d3(spark, sf):
     f"WITH {MSG_SQL} SELECT doc_id, array_to_string({_phrases_sql(_tier('soft', 'phrase'))}, ',') AS terms FROM msg",
 )
 def d4(spark, sf):
-    found = M.scan_phrases(F.col("text"), _tier("soft", "phrase"))
-    return Tables(spark, sf).documents.select("doc_id", F.array_join(found, ",").alias("terms"))
+    found = M.scan_phrases(F.col("low"), _tier("soft", "phrase"))
+    docs = Tables(spark, sf).documents.select("doc_id", F.lower("text").alias("low"))
+    return docs.select("doc_id", F.array_join(found, ",").alias("terms"))
 
 
 _SCAN_OUT = """SELECT doc_id, array_to_string(hard_terms, ',') AS hard_terms, array_to_string(soft_terms, ',') AS soft_terms,

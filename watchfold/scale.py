@@ -23,15 +23,17 @@ def default_buckets(df: DataFrame) -> int:
     return max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def splitters(df: DataFrame, order: str, keys: Sequence[str] = (), buckets: int = 64) -> Column:
+def splitters(df: DataFrame, order: str, others: Sequence[str] = (), buckets: int = 64) -> Column:
     """Cut points for ``order`` as a scalar subquery, ``buckets - 1`` values at most.
 
     The points are the values of the rows with the smallest hashes: a uniform
     sample whose choice depends on the data alone.  Holds a coarse level beside
-    the full list so that looking a value up costs two short scans.
+    the full list so that looking a value up costs two short scans.  ``others``
+    go into the hash; naming all columns of an aggregated ``df`` lets its shuffle
+    be shared with the query that uses the points.
     """
     picks = (
-        df.select(F.col(order).alias("v"), F.xxhash64(*keys, order).alias("h"))
+        df.select(F.col(order).alias("v"), F.xxhash64(order, *others).alias("h"))
         .orderBy("h", "v")
         .limit(max(1, buckets - 1))
         .agg(F.sort_array(F.collect_list("v")).alias("fine"))
@@ -44,7 +46,9 @@ def bucket_of(points: Column, value: Column) -> Column:
     """Number of cut points that are <= value."""
     hi = F.size(F.filter(points["coarse"], lambda x: x <= value)) * _FANOUT
     near = F.slice(points["fine"], hi + 1, F.lit(_FANOUT))
-    return hi + F.size(F.filter(near, lambda x: x <= value))
+    at = hi + F.size(F.filter(near, lambda x: x <= value))
+    # never null, and declared so: a join on it then needs no null check further down
+    return F.coalesce(at, F.lit(0))
 
 
 def prefix_sum(
@@ -64,7 +68,7 @@ def prefix_sum(
     """
     keys = list(keys)
     buckets = buckets or default_buckets(df)
-    cut = df.withColumn("__points", splitters(df, order, keys, buckets))
+    cut = df.withColumn("__points", splitters(df, order, [*keys, *sums], buckets))
     tagged = cut.withColumn("__b", bucket_of(F.col("__points"), F.col(order))).drop("__points")
     before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
@@ -122,6 +126,12 @@ def exact_quantiles(
     return out.select(*by, *cols)
 
 
+def time_bucket(micros: Column, step_us: int) -> Column:
+    """Number of the time bucket, in whole numbers throughout."""
+    step = F.lit(step_us).cast("bigint")
+    return ((micros - F.pmod(micros, step)) / step).cast("bigint")
+
+
 def hash_order(id_col: str, seed: int = 0) -> Column:
     """A hash to order rows by at random but always alike."""
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")), 256)
@@ -190,7 +200,7 @@ def trailing_totals(
         F.col(key).alias("__k"),
         F.col(micros).cast("bigint").alias("__t"),
         amount.alias("__v"),
-    ).withColumn("__b", F.floor(F.col("__t") / step_us))
+    ).withColumn("__b", time_bucket(F.col("__t"), step_us))
 
     roles = [F.struct(F.lit(0).alias("role"), F.lit(0).cast("bigint").alias("shift"))]
     roles += [
@@ -305,7 +315,7 @@ def count_near(
         )
         .select("__id", "__key", F.col("__ask.t").alias("__t"), F.col("__ask.sign").alias("__sign"), "__own", *none)
     )
-    both = facts.unionByName(asks).withColumn("__b", F.floor(F.col("__t") / step))
+    both = facts.unionByName(asks).withColumn("__b", time_bucket(F.col("__t"), step))
     group = Window.partitionBy("__key", "__b").orderBy("__t").rangeBetween(Window.unboundedPreceding, 0)
     inside = both.select(
         "__id", "__key", "__b", "__sign", "__own",

@@ -79,9 +79,13 @@ def moderate_stream(
 def drift_stream(
     stream: DataFrame, baseline: DataFrame, cols: Sequence[str], folder: str, checkpoint: str, **trigger
 ) -> StreamingQuery:
-    """PSI of every micro-batch against a fixed baseline (output of ``psi_baseline``)."""
+    """PSI of every micro-batch against a fixed baseline (output of ``psi_baseline``).
+
+    The baseline has one row per column and is worked out once, not per batch.
+    """
+    fixed = stream.sparkSession.createDataFrame(baseline.limit(len(cols)).collect(), baseline.schema)
     return write_batches(
-        stream, lambda batch: {"drift": psi_against(baseline, batch, cols)}, folder, checkpoint, **trigger
+        stream, lambda batch: {"drift": psi_against(fixed, batch, cols)}, folder, checkpoint, **trigger
     )
 
 
