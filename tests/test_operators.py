@@ -248,3 +248,33 @@ def test_missing_product_is_not_risky(spark):
     df = spark.createDataFrame([(None, 600.0, "S"), (3.0, 600.0, "S"), (3.0, 600.0, None), (6.9, 500.0, "S")], "age DOUBLE, amount DOUBLE, product STRING")
     got = [(r.new_acct_flag, r.new_acct_highval_express, r.addr_age_days) for r in X.interactions(df, "age", "amount", "product").collect()]
     assert got == [(0, 0, 365.0), (1, 1, 3.0), (1, 0, 3.0), (1, 0, 6.9)]
+
+
+def test_many_words_are_cut_into_tokens(spark):
+    words = WORDS + [f"filler{i}" for i in range(M.SEARCHED_WORDS)]
+    msgs = spark.createDataFrame(list(enumerate(TEXTS)), "id INT, text STRING").withColumn("low", F.lower("text"))
+    for r in msgs.select("id", M.scan_words(F.col("low"), words).alias("x")).collect():
+        assert list(r.x) == python_scan(TEXTS[r.id], words, [])
+
+
+def test_canonical_document(spark):
+    docs = [{"b": [1, {"z": None, "a": "ü\n"}], "a": {"y": True, "x": "/"}, "": -7}, [], {"k": "A"}]
+    df = spark.createDataFrame([(i, json.dumps(d, indent=2)) for i, d in enumerate(docs)] + [(9, "{no")], "i INT, j STRING")
+    got = {r.i: r.x for r in df.select("i", H.canonical_document("j").alias("x")).collect()}
+    assert got.pop(9) is None
+    assert got == {i: json.dumps(d, sort_keys=True, separators=(",", ":"), ensure_ascii=False) for i, d in enumerate(docs)}
+
+
+def test_moderate_sends_broken_payloads_aside(spark):
+    def body(i, text):
+        return json.dumps({"message": {"name": f"spaces/s/messages/{i}", "text": text, "sender": {"name": f"users/{i}"}}})
+
+    kind = K.MESSAGE_CREATED
+    rows = [(kind, body(1, "all fine")), (kind, body(2, "bad word")), ("other", body(3, "bad word")), (kind, "{oops"), (kind, body(5, ""))]
+    pushed = spark.createDataFrame(rows, "kind STRING, body STRING")
+    people = spark.createDataFrame([("2", "two@x.y")], "user_id STRING, email STRING")
+    full = spark.createDataFrame([("spaces/s/messages/5", "users/9", "bad too")], "message_name STRING, sender STRING, text STRING")
+    done, dead = M.moderate(pushed, "kind", "body", [Term("hard", "bad", "word")], F.current_timestamp(), people, full=full)
+    got = {r.message_name[-1]: (r.sender_email, r.final_action, r.case_id is not None) for r in done.collect()}
+    assert got == {"1": ("users/1", "pass", False), "2": ("two@x.y", "block", True), "5": ("users/5", "block", True)}
+    assert [r.body for r in dead.collect()] == ["{oops"]

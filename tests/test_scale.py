@@ -125,3 +125,12 @@ def test_hot_key_is_spread(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert len(sizes) > 4 and max(sizes) < 20_000 / 2
+
+
+def test_rows_without_a_group_are_kept(spark):
+    rows = [(i, None if i % 4 == 0 else "k", float(i)) for i in range(200)]
+    df = frame(spark, rows, "id INT, k STRING, v DOUBLE")
+    ranked = S.hash_rank(df, "id", ["k"]).collect()
+    assert sorted(r.rank for r in ranked if r.k is None) == list(range(50)) and len(ranked) == 200
+    ones = df.withColumn("n", F.lit(1))
+    assert {(r.k, r.v): r.cum_n for r in S.prefix_sum(ones, "v", ["n"], ["k"]).collect()}[(None, 196.0)] == 50

@@ -26,6 +26,15 @@ def canonical_json(cols: Sequence[str] | dict[str, Column], keep_nulls: bool = T
     return F.when(text.rlike(r"\\u00[01][A-F]"), fixed).otherwise(text)
 
 
+def canonical_document(json_text: Column | str) -> Column:
+    """Any JSON text in canonical form; null if it is not JSON.
+
+    A VARIANT object keeps its fields sorted by name at every level, so writing
+    it out again gives sorted keys without spaces.
+    """
+    return F.to_json(F.try_parse_json(_as_column(json_text)))
+
+
 def sha256(text: Column | str) -> Column:
     return F.sha2(_as_column(text), 256)
 

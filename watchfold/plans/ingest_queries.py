@@ -276,3 +276,32 @@ def a7(spark, sf):
 def a7_counts(spark, sf):
     first, again = deliveries(Tables(spark, sf))
     return append_new(again, first, "doc_id", "ts")[1]
+
+
+_RUN_SQL = EVENTS_SQL + """, win AS (SELECT *, CASE WHEN k = 13 THEN NULL ELSE '{"k":' || k || '}' END AS body FROM ev WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-25')"""
+
+
+def ingest_run(t):
+    ev = t.events.withColumn("raw", F.when(F.col("k") == 13, "{broken").otherwise(F.col("props")))
+    store = I.documents(ev.where((F.col("event_id") % 4 == 0) & (F.col("k") != 13)), "app.feed", "event_id", "ts", "raw")
+    twice = ev.unionByName(ev.where(F.col("event_id") % 3 == 0))
+    return I.ingest(twice, store, "app.feed", "event_id", "ts", "raw", ntz("2024-01-05"), ntz("2024-01-25"))
+
+
+@query(
+    "b_ingest_documents",
+    f"""WITH {_RUN_SQL} SELECT CAST(event_id AS VARCHAR) AS event_id, sha256(body) AS sha256, sha256('app.feed:' || event_id) AS doc_id, 'raw-app_feed-' || strftime(ts, '%Y.%m.%d') AS index_name
+        FROM win WHERE body IS NOT NULL AND event_id % 4 <> 0""",
+)
+def b_ingest(spark, sf):
+    return ingest_run(Tables(spark, sf))[0].select("event_id", "sha256", "doc_id", "index_name")
+
+
+@query(
+    "b_ingest_summary",
+    f"""WITH {_RUN_SQL}, twice AS (SELECT * FROM win UNION ALL SELECT * FROM win WHERE event_id % 3 = 0),
+        n AS (SELECT count(*) AS records_in, count(DISTINCT event_id) FILTER (body IS NOT NULL AND event_id % 4 <> 0) AS records_out, count(*) FILTER (body IS NULL) AS dead_lettered FROM twice)
+        SELECT records_in, records_out, records_in - dead_lettered - records_out AS duplicates, dead_lettered, CASE WHEN dead_lettered > 0 THEN 'partial' ELSE 'completed' END AS status FROM n""",
+)
+def b_ingest_counts(spark, sf):
+    return ingest_run(Tables(spark, sf))[2]

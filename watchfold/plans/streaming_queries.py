@@ -11,12 +11,12 @@ from watchfold.streaming import flows as S
 
 def stream_of(spark, sf, name):
     """A table of the folder as a file stream."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
 def event_stream(spark, sf):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     ev = stream_of(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return ev.withColumns({"us": F.unix_micros("ts"), "k": F.get_json_object("props", "$.k").cast("int")})
 
@@ -48,9 +48,7 @@ def k1(spark, sf):
         conversations = stream_of(spark, sf, "conversations")
 
     def decide(batch):
-        good, bad = M.decode_messages(batch, "kind", "body", F.current_timestamp())
-        scanned = M.keyword_scan(good, "text", MQ.TERMS, "message_name")
-        decided = M.with_case_id(M.decisions(M.text_verdict(scanned, "text")))
+        decided, bad = M.moderate(batch, "kind", "body", MQ.TERMS, F.current_timestamp())
         return decided.select("message_name", "text_result", "final_action", "case_id"), bad
 
     folder = shared_dir(spark, "moderated")

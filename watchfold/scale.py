@@ -18,6 +18,12 @@ MICROS = 1_000_000
 _FANOUT = 16
 
 
+def _groups(keys: Sequence[str]) -> dict[str, Column]:
+    """Stand-ins for grouping keys that are never null, so that a join on them keeps
+    rows without a key and needs no other layout than the window's."""
+    return {f"__g{i}": F.coalesce(F.col(k).cast("string"), F.lit("\0")) for i, k in enumerate(keys)}
+
+
 def default_buckets(df: DataFrame) -> int:
     """Ranges to cut an ordering into: one per shuffle partition, 64 at least."""
     return max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -61,29 +67,28 @@ def prefix_sum(
     """Running totals of ``sums`` in ``order`` within ``keys``, distributed.
 
     Adds ``cum_<s>`` (up to and including the row) and ``total_<s>``.  Rows must
-    be unique on keys + order and have no nulls in either.  The order is cut into
+    be unique on keys + order; the order must not be null.  The order is cut into
     ranges; each range is summed in its own task and shifted by the total of the
     ranges before it.  The only window wider than a range runs over one row per
     (key, range).
     """
-    keys = list(keys)
+    groups = _groups(keys)
+    g = list(groups)
     buckets = buckets or default_buckets(df)
     cut = df.withColumn("__points", splitters(df, order, [*keys, *sums], buckets))
-    tagged = cut.withColumn("__b", bucket_of(F.col("__points"), F.col(order))).drop("__points")
-    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    parts = tagged.groupBy(*keys, "__b").agg(*[F.sum(s).alias(f"__s_{s}") for s in sums])
+    tagged = cut.withColumns({"__b": bucket_of(F.col("__points"), F.col(order)), **groups}).drop("__points")
+    before = Window.partitionBy(*g).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*g)
+    parts = tagged.groupBy(*g, "__b").agg(*[F.sum(s).alias(f"__s_{s}") for s in sums])
     shifts = parts.select(
-        *keys,
+        *g,
         "__b",
         *[F.coalesce(F.sum(f"__s_{s}").over(before), F.lit(0)).alias(f"__o_{s}") for s in sums],
         *[F.sum(f"__s_{s}").over(whole).alias(f"total_{s}") for s in sums],
     )
-    inside = (
-        Window.partitionBy(*keys, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    )
+    inside = Window.partitionBy(*g, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local = tagged.select("*", *[F.sum(s).over(inside).alias(f"__c_{s}") for s in sums])
-    out = local.join(shifts, [*keys, "__b"])
+    out = local.join(shifts, [*g, "__b"])
     return out.select(
         *df.columns,
         *[(F.col(f"__c_{s}") + F.col(f"__o_{s}")).alias(f"cum_{s}") for s in sums],
@@ -145,21 +150,21 @@ def hash_rank(
     A key holding nearly all rows is no problem: rows are ranked within one of
     16**digits slices of the hash and shifted by the sizes of the slices before.
     """
-    keys = list(keys)
-    hashed = df.withColumn("__h", hash_order(id_col, seed)).withColumn(
-        "__s", F.substring("__h", 1, digits)
-    )
-    before = Window.partitionBy(*keys).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = hashed.groupBy(*keys, "__s").agg(F.count(F.lit(1)).alias("__n"))
+    groups = _groups(keys)
+    g = list(groups)
+    h = hash_order(id_col, seed)
+    hashed = df.withColumns({"__h": h, "__s": F.coalesce(F.substring(h, 1, digits), F.lit("")), **groups})
+    before = Window.partitionBy(*g).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = hashed.groupBy(*g, "__s").agg(F.count(F.lit(1)).alias("__n"))
     shifts = sizes.select(
-        *keys,
+        *g,
         "__s",
         F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"),
-        F.sum("__n").over(Window.partitionBy(*keys)).alias("total"),
+        F.sum("__n").over(Window.partitionBy(*g)).alias("total"),
     )
-    inside = Window.partitionBy(*keys, "__s").orderBy("__h", id_col)
+    inside = Window.partitionBy(*g, "__s").orderBy("__h", id_col)
     local = hashed.withColumn("__r", F.row_number().over(inside))
-    return local.join(shifts, [*keys, "__s"]).select(
+    return local.join(shifts, [*g, "__s"]).select(
         *df.columns, (F.col("__o") + F.col("__r") - 1).alias("rank"), "total"
     )
 
@@ -345,21 +350,21 @@ def previous_in_key(
 ) -> DataFrame:
     """``lag(col)`` within a key without putting a key into one task.
 
-    ``bucket`` must not fall as ``order`` rises.  Rows look back within their
+    ``bucket`` must not fall as ``order`` rises, and must not be null.  Rows look back within their
     (key, bucket); the first row of a bucket takes the last value of the key's
     bucket before, found among one row per (key, bucket).
     """
     order = list(order)
-    tagged = df.withColumn("__b", bucket)
-    tails = tagged.groupBy(key, "__b").agg(F.max_by(col, F.struct(*order)).alias("__last"))
+    tagged = df.withColumns({"__b": bucket, **_groups([key])})
+    tails = tagged.groupBy("__g0", "__b").agg(F.max_by(col, F.struct(*order)).alias("__last"))
     carried = tails.select(
-        key, "__b", F.lag("__last").over(Window.partitionBy(key).orderBy("__b")).alias("__carry")
+        "__g0", "__b", F.lag("__last").over(Window.partitionBy("__g0").orderBy("__b")).alias("__carry")
     )
-    inside = Window.partitionBy(key, "__b").orderBy(*order)
+    inside = Window.partitionBy("__g0", "__b").orderBy(*order)
     local = tagged.select(
         "*", F.lag(col).over(inside).alias("__lag"), F.row_number().over(inside).alias("__n")
     )
-    return local.join(carried, [key, "__b"]).select(
+    return local.join(carried, ["__g0", "__b"]).select(
         *df.columns, F.when(F.col("__n") == 1, F.col("__carry")).otherwise(F.col("__lag")).alias(out)
     )
 

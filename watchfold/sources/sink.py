@@ -2,24 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 
-def new_documents(df: DataFrame, existing: DataFrame | None, key: str, order: str) -> DataFrame:
+def new_documents(
+    df: DataFrame, existing: DataFrame | None, key: str, order: str, within: Sequence[str] = ()
+) -> DataFrame:
     """Rows of ``df`` to create: one per key (least ``order``), none that exist already.
 
     One row per key is found by aggregation, which combines copies on the map
-    side, so many copies of one document never meet in one task.
+    side, so many copies of one document never meet in one task.  ``within`` names
+    the partition columns a document always falls into (source and day): then
+    only those partitions of ``existing`` are read that the batch touches.
     """
     rest = [c for c in df.columns if c != key]
     first = df.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(order)).alias("r")).select(key, "r.*")
     first = first.select(*df.columns)
-    return first if existing is None else first.join(existing.select(key), key, "left_anti")
+    if existing is None:
+        return first
+    if within:
+        existing = existing.join(df.select(*within).distinct(), list(within), "left_semi")
+    return first.join(existing.select(key), key, "left_anti")
 
 
-def append_new(df: DataFrame, existing: DataFrame | None, key: str, order: str) -> tuple[DataFrame, DataFrame]:
+def append_new(
+    df: DataFrame, existing: DataFrame | None, key: str, order: str, within: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
     """(rows to create, one-row count of records in, created and duplicate)."""
-    fresh = new_documents(df, existing, key, order)
+    fresh = new_documents(df, existing, key, order, within)
     total = df.agg(F.count(F.lit(1))).scalar()
     counts = fresh.agg(F.count(F.lit(1)).alias("created")).select(
         total.alias("records_in"), "created", (total - F.col("created")).alias("duplicates")
