@@ -30,7 +30,7 @@ def velocity(
     micros: str,
     amount: str,
     windows: Mapping[str, int],
-    bucket_seconds: int = 600,
+    bucket_seconds: int = 3600,
 ) -> DataFrame:
     """Count and sum of a key's strictly earlier rows, no older than each window.
 

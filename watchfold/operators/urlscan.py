@@ -154,7 +154,7 @@ def assign_daily_case(violations: DataFrame, cases: DataFrame, host: str, day: s
     created = resolved.where(F.col("__known").isNull()).select(
         "case_id",
         "case_code",
-        F.concat(F.lit("Bookmark Guard: sensitive URLs detected on "), F.col(f"w.{host}")).alias("title"),
+        F.concat(F.lit("Sensitive URLs detected on "), F.col(f"w.{host}")).alias("title"),
         F.col(f"w.{user}").alias("subject_ref"),
         F.lit("low").alias("severity"),
     )

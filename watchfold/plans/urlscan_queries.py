@@ -198,7 +198,7 @@ def c8(spark, sf):
 
 @query(
     "c8_new_daily_cases",
-    f"""WITH {_CASE_SQL} SELECT case_id, case_code, 'Bookmark Guard: sensitive URLs detected on ' || hostname AS title, os_username AS subject_ref, 'low' AS severity
+    f"""WITH {_CASE_SQL} SELECT case_id, case_code, 'Sensitive URLs detected on ' || hostname AS title, os_username AS subject_ref, 'low' AS severity
         FROM res WHERE known IS NULL""",
 )
 def c8_new(spark, sf):

@@ -176,7 +176,7 @@ def trailing_totals(
     windows: Mapping[str, int],
     value: str | None = None,
     inclusive: bool = False,
-    bucket_seconds: int = 600,
+    bucket_seconds: int = 3600,
 ) -> DataFrame:
     """Count (and sum of ``value``) of a key's rows in each trailing time window.
 
@@ -226,10 +226,9 @@ def trailing_totals(
     )
 
     edge = 0 if inclusive else -1
-    group = Window.partitionBy("__k", "__b")
-    up = group.orderBy(F.col("__o").asc()).rangeBetween(Window.unboundedPreceding, edge)
-    # Rows that drop out later: seen first when walking backwards in time.
-    down = group.orderBy(F.col("__o").desc()).rangeBetween(Window.unboundedPreceding, -1 - edge)
+    group = Window.partitionBy("__k", "__b").orderBy("__o")
+    upto = group.rangeBetween(Window.unboundedPreceding, edge)
+    whole = group.rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
     def tally(role: int, frame) -> tuple[Column, Column]:
         mine = F.col("__role") == role
@@ -237,11 +236,13 @@ def trailing_totals(
         v = F.coalesce(F.sum(F.when(mine, F.col("__v"))).over(frame), F.lit(0.0))
         return n, v
 
-    head_n, head_v = tally(0, up)
+    # One sort serves all: what has come so far, and of the rows that drop out in
+    # this bucket those that have not dropped out yet.
+    head_n, head_v = tally(0, upto)
     cols = [head_n.alias("__hn"), head_v.alias("__hv")]
     for i, label in enumerate(labels):
-        n, v = tally(i + 1, down)
-        cols += [n.alias(f"__tn_{label}"), v.alias(f"__tv_{label}")]
+        (all_n, all_v), (out_n, out_v) = tally(i + 1, whole), tally(i + 1, upto)
+        cols += [(all_n - out_n).alias(f"__tn_{label}"), (all_v - out_v).alias(f"__tv_{label}")]
     homes = sent.select("*", *cols).where(F.col("__role") == 0)
 
     totals = (
@@ -260,13 +261,12 @@ def trailing_totals(
             F.coalesce(F.sum("__n").over(frame), F.lit(0)).alias(f"__mn_{label}"),
             F.coalesce(F.sum("__s").over(frame), F.lit(0.0)).alias(f"__mv_{label}"),
         ]
-    whole = totals.select("__k", "__b", *mids)
-
-    joined = homes.join(whole, ["__k", "__b"], "left")
+    joined = homes.join(totals.select("__k", "__b", *mids), ["__k", "__b"], "left")
     out = [F.col("__row.*")]
     for label in labels:
         n = F.col("__hn") + F.col(f"__mn_{label}") + F.col(f"__tn_{label}")
-        v = F.col("__hv") + F.col(f"__mv_{label}") + F.col(f"__tv_{label}")
+        tail = F.when(F.col(f"__tn_{label}") > 0, F.col(f"__tv_{label}")).otherwise(F.lit(0.0))
+        v = F.col("__hv") + F.col(f"__mv_{label}") + tail
         known = F.col("__k").isNotNull()
         out.append(F.when(known, n).cast("bigint").alias(f"count_{label}"))
         if value:
