@@ -278,3 +278,18 @@ def test_moderate_sends_broken_payloads_aside(spark):
     got = {r.message_name[-1]: (r.sender_email, r.final_action, r.case_id is not None) for r in done.collect()}
     assert got == {"1": ("users/1", "pass", False), "2": ("two@x.y", "block", True), "5": ("users/5", "block", True)}
     assert [r.body for r in dead.collect()] == ["{oops"]
+
+
+def test_worker_functions_need_no_installed_package(tmp_path):
+    """A Python worker that cannot import this package still gets the function."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from watchfold.streaming import flows
+
+    for thing in (E._fold, flows._Velocity({"1h": 3600}, 60), flows._Corroboration(5)):
+        code = "import sys; from pyspark import cloudpickle; cloudpickle.loads(sys.stdin.buffer.read()); assert 'watchfold' not in sys.modules"
+        done = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(thing), cwd=tmp_path, capture_output=True, env={"PATH": "/usr/bin:/bin"})
+        assert done.returncode == 0, done.stderr.decode()[-500:]
