@@ -327,15 +327,19 @@ def reason_codes(df: DataFrame, id_col: str, features: Sequence[str], k: int = 5
                 (-F.abs(F.col(f"{c}{suffix}"))).alias("o"),
                 F.lit(i).alias("i"),
                 F.lit(c).alias("feature"),
-                F.round(F.col(c).cast("double"), 4).alias("value"),
-                F.round(F.col(f"{c}{suffix}"), 4).alias("contribution"),
+                F.col(c).cast("double").alias("value"),
+                F.col(f"{c}{suffix}").alias("contribution"),
             )
             for i, c in enumerate(features)
         ]
     )
     top = F.slice(F.array_sort(entries), 1, k)
     return df.select(id_col, F.posexplode(top).alias("pos", "e")).select(
-        id_col, (F.col("pos") + 1).alias("reason_rank"), "e.feature", "e.value", "e.contribution"
+        id_col,
+        (F.col("pos") + 1).alias("reason_rank"),
+        "e.feature",
+        F.round("e.value", 4).alias("value"),
+        F.round("e.contribution", 4).alias("contribution"),
     )
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
@@ -117,18 +119,22 @@ def exact_quantiles(
     counted = seen.groupBy(*by, col).agg(F.count(F.lit(1)).alias("n"))
     ranked = prefix_sum(counted, col, ["n"], by, buckets)
     first, last, total = F.col("cum_n") - F.col("n"), F.col("cum_n"), F.col("total_n")
-    aggs = []
-    for name, p in probabilities.items():
-        pos = F.lit(float(p)) * (total - 1)
-        for end, at in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            aggs.append(F.max(F.when((first <= at) & (at < last), F.col(col))).alias(f"__{end}_{name}"))
-    out = ranked.groupBy(*by).agg(F.max("total_n").alias("__n"), *aggs)
-    cols = []
-    for name, p in probabilities.items():
-        pos = F.lit(float(p)) * (F.col("__n") - 1)
-        lo, hi = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
-        cols.append((lo + (pos - F.floor(pos)) * (hi - lo)).cast("double").alias(name))
-    return out.select(*by, *cols)
+    positions = [F.lit(float(p)) * (total - 1) for p in probabilities.values()]
+    # Only the values at or beside a wanted position go on: two per quantile and group.
+    beside = [(first <= F.ceil(pos)) & (F.floor(pos) < last) for pos in positions]
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), pos.alias("pos")) for i, pos in enumerate(positions)])
+    near = ranked.where(reduce(or_, beside)).select(
+        *by, F.col(col).alias("__v"), first.alias("__a"), last.alias("__z"), F.inline(wanted)
+    )
+
+    def at(index: Column) -> Column:
+        return F.max(F.when((F.col("__a") <= index) & (index < F.col("__z")), F.col("__v")))
+
+    pos = F.col("pos")
+    ends = near.groupBy(*by, "i").agg(at(F.floor(pos)).alias("lo"), at(F.ceil(pos)).alias("hi"), F.max("pos").alias("pos"))
+    value = (F.col("lo") + (pos - F.floor(pos)) * (F.col("hi") - F.col("lo"))).cast("double")
+    found = ends.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("i", value))).alias("m"))
+    return found.select(*by, *[F.try_element_at("m", F.lit(i)).alias(n) for i, n in enumerate(probabilities)])
 
 
 def time_bucket(micros: Column, step_us: int) -> Column:
