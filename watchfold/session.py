@@ -32,11 +32,13 @@ def local_session(cores: str = "*", app: str = "watchfold", **conf: str) -> Spar
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path under the cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only where the session names none (tests on one machine) is a temporary
+    Only where a session on one machine names none, as in tests, is a temporary
     folder made, and then remembered in the session for the next caller.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder all executors share in spark.checkpoint.dir")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
