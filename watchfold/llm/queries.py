@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from watchfold.llm import exact_dedup, ngram_join
+from watchfold.llm import decontam, exact_dedup, ngram_join
 
 QUERIES = {}
 ORACLES = {}
@@ -55,3 +55,24 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM r WINDOW w AS (PARTITION BY text_sha256 ORDER BY length(t) DESC, doc_id)""")
 def op8(spark, folder):
     return exact_dedup.deduplicate(spark, table(spark, folder, "documents"), exact_dedup.fresh_index(spark))
+
+
+@query("op5_benchmark_decontamination", """
+WITH norm AS (SELECT 'd' AS k, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+words AS (
+  SELECT k, id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w
+  FROM norm),
+win AS (SELECT DISTINCT id AS item, p, len(string_split(p, ' ')) AS l FROM (
+  SELECT id, unnest(list_transform(range(1, greatest(len(w) - 12, 1) + 1), lambda i: array_to_string(w[i:i+12], ' '))) AS p
+  FROM words WHERE k = 'b' AND len(w) > 0)),
+lens AS (SELECT DISTINCT l FROM win),
+grams AS (SELECT id, l, unnest(range(1, len(w) - l + 2)) AS i, unnest(list_transform(range(1, len(w) - l + 2), lambda i: array_to_string(w[i:i+l-1], ' '))) AS p
+  FROM words, lens WHERE k = 'd' AND len(w) >= l),
+occ AS (SELECT id, i, g.l, item FROM grams g JOIN win ON g.p = win.p),
+hit AS (SELECT id, count(DISTINCT i) AS n_hit FROM (SELECT id, unnest(range(i, i + l)) AS i FROM (SELECT DISTINCT id, i, l FROM occ)) GROUP BY id),
+items AS (SELECT id, count(*) AS n_items, sha256(string_agg(s, ',' ORDER BY s)) AS h FROM (SELECT DISTINCT id, CAST(item AS VARCHAR) AS s FROM occ) GROUP BY id)
+SELECT w.id AS doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w.w) AS contaminated
+FROM words w LEFT JOIN hit USING (id) LEFT JOIN items USING (id) WHERE k = 'd'""")
+def op5(spark, folder):
+    return decontam.contamination(spark, table(spark, folder, "documents"), table(spark, folder, "benchmark"))
