@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from watchfold.llm import decontam, exact_dedup, ngram_join
+from watchfold.llm import decontam, exact_dedup, ngram_join, packing
 
 QUERIES = {}
 ORACLES = {}
@@ -76,3 +76,9 @@ SELECT w.id AS doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) A
 FROM words w LEFT JOIN hit USING (id) LEFT JOIN items USING (id) WHERE k = 'd'""")
 def op5(spark, folder):
     return decontam.contamination(spark, table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op4_harmonic_packing")
+def op4(spark, folder):
+    packed = packing.pack(spark, table(spark, folder, "documents"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
