@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from watchfold.llm import decontam, exact_dedup, ngram_join, packing
+from watchfold.llm import chat, decontam, exact_dedup, ngram_join, packing, sharding, urlrules
 
 QUERIES = {}
 ORACLES = {}
@@ -82,3 +82,46 @@ def op5(spark, folder):
 def op4(spark, folder):
     packed = packing.pack(spark, table(spark, folder, "documents"))
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+RULES = [  # fixed values: the contract's rules
+    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"),
+]
+
+
+@query("op3_url_range_join", """
+WITH p AS (SELECT page_id, coalesce(url, '') AS u FROM pages),
+q AS (SELECT page_id, CASE WHEN contains(u, '://') THEN substr(u, instr(u, '://') + 3) ELSE '' END AS r FROM p),
+s AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM q),
+rules(rh, rp, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+fit AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS v
+  FROM s JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM s LEFT JOIN fit USING (page_id)""")
+def op3(spark, folder):
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return urlrules.judge(spark, table(spark, folder, "pages").select("page_id", "url"), rules).drop("url")
+
+
+@query("op7_bounded_load_ring")
+def op7(spark, folder):
+    placed = sharding.shard_documents(spark, table(spark, folder, "documents"), 16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op10_reply_tree_chat", r"""
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+a AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS t,
+  coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS l,
+  sum(4 + length(role) + 2 + length(text) + 9) AS fixed,
+  sum(length(regexp_replace(role || text, '[^\\#<:]', '', 'g'))) AS escaped
+  FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(t) AS turns_sha256, length(l) AS loss_chars, sha256(l) AS loss_sha256,
+  CAST(fixed + escaped AS BIGINT) AS formatted_chars FROM a""")
+def op10(spark, folder):
+    given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    hard = r"\### Assistant: </turn> ok"  # fixed value: the contract's conversation
+    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], given.schema)
+    tree = chat.chain(given.union(extra))
+    return chat.digest(chat.conversations(spark, tree))
