@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from watchfold.llm import chat, decontam, exact_dedup, ngram_join, packing, sharding, urlrules
+from watchfold.llm import chat, decontam, exact_dedup, ngram_join, packing, quality, sharding, urlrules
 
 QUERIES = {}
 ORACLES = {}
@@ -125,3 +125,9 @@ def op10(spark, folder):
     extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], given.schema)
     tree = chat.chain(given.union(extra))
     return chat.digest(chat.conversations(spark, tree))
+
+
+@query("op9_kneser_ney_quality")
+def op9(spark, folder):
+    trusted = table(spark, folder, "labels").where("quality = 1").select("doc_id")
+    return quality.judge(spark, table(spark, folder, "documents"), trusted)
