@@ -14,9 +14,11 @@ and summed per pair.
    Classes whose shingles are too unique to have any partner end here.
 4. Candidates are met in the fragments of the prefixes.  A short list of classes that
    share a shingle gives its pairs; a long one (near copies by the thousand) gives
-   only the links to its least class.  After these are checked, what is still in
-   different components on a long list is paired too, so no link is lost and a
-   large group of near copies costs its size, not its square.
+   only the links to its most central classes, those with the commonest shingles.
+   After these are checked, what is still in different components is paired on all
+   lists, the shared prefix shingles are summed per pair, and pairs whose sum cannot
+   reach the threshold end here.  So no link is lost, and a large group of near copies
+   costs its size, not its square.
 5. ``overlaps``: both classes' shingles are cut by hash into parts, the overlap is
    counted per part and summed per pair, and tested exactly in whole numbers.
 """
@@ -31,6 +33,7 @@ from watchfold.llm.common import attach_group, components, pack48, set_digest, s
 
 PER_FRAGMENT = 2_000_000  # shingles in a fragment, on average
 SHORT = 8  # a list of so many classes gives all its pairs at once
+CENTRES = 2  # classes of a longer list to which the others are compared first
 PARTS = 4  # parts of a class's shingles in which overlaps are counted
 _ROW_BYTES = 4 << 20
 
@@ -145,7 +148,7 @@ def _shared(pieces: DataFrame, blocks: int) -> DataFrame:
     return pieces.groupBy("part").applyInArrow(run, _PIECE + ", fragment int")
 
 
-_CLASS = "class bigint, size int, prefix binary, shared binary"
+_CLASS = "class bigint, size int, weight bigint, prefix binary, shared binary"
 
 
 def _candidates(shared: DataFrame, num: int, den: int) -> DataFrame:
@@ -157,25 +160,26 @@ def _candidates(shared: DataFrame, num: int, den: int) -> DataFrame:
         level, low = keys >> np.uint64(48), keys & np.uint64((1 << 48) - 1)
         whole = low | (fragments.astype(np.uint64) << np.uint64(48))
         order = np.lexsort((whole, level, classes))
-        classes, sizes, whole = classes[order], sizes[order], whole[order]
+        classes, sizes, whole, level = classes[order], sizes[order], whole[order], level[order].astype(np.int64)
         starts, counts = _runs(classes)
-        rows = {"class": [], "size": [], "prefix": [], "shared": []}
+        rows = {"class": [], "size": [], "weight": [], "prefix": [], "shared": []}
         for a, m in zip(starts.tolist(), counts.tolist()):
             n = int(sizes[a])
             need = -(-n * num // den)
             if m >= need:  # n - m shingles are unique and come first
                 rows["class"].append(int(classes[a]))
                 rows["size"].append(n)
+                rows["weight"].append(1000 * int(level[a : a + m].sum()) // n)
                 rows["prefix"].append(whole[a : a + (n - need + 1) - (n - m)].tobytes())
                 rows["shared"].append(np.sort(whole[a : a + m]).tobytes())
-        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
         return pa.table([pa.array(v, k) for v, k in zip(rows.values(), kinds)], list(rows))
 
     return shared.groupBy("part").applyInArrow(run, _CLASS)
 
 
 def _lists(classes: DataFrame, fragments: int) -> DataFrame:
-    """Prefixes dealt to fragments of the order, packed; ``counts`` holds entries per class, ``labels`` its component."""
+    """Prefixes dealt to fragments of the order, packed; ``labels`` and ``weights`` are per class as ``sizes`` is."""
 
     def run(batches):
         for batch in batches:
@@ -187,13 +191,14 @@ def _lists(classes: DataFrame, fragments: int) -> DataFrame:
             owner = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
             part = ((keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(fragments)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            labels = np.array(data["label"], np.int64)
+            tags = {c: np.array(data[c[:-1]], np.int64) for c in ("labels", "weights")}
             out = _packed(part[order], owner[order], keys[order], np.array(data["class"], np.int64), np.array(data["size"], np.int64), lambda k: k.tobytes())
             cuts = np.append(np.flatnonzero(np.diff(part[order], prepend=-1)), len(part))
-            tags = [labels[np.unique(owner[order][a:b])].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-            yield pa.record_batch([*out.columns, pa.array(tags, pa.binary())], [*out.schema.names, "labels"])
+            own = [np.unique(owner[order][a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+            more = [pa.array([values[x].tobytes() for x in own], pa.binary()) for values in tags.values()]
+            yield pa.record_batch([*out.columns, *more], [*out.schema.names, *tags])
 
-    return classes.select("class", "size", "prefix", "label").mapInArrow(run, _PIECE + ", labels binary")
+    return classes.select("class", "size", "prefix", "label", "weight").mapInArrow(run, _PIECE + ", labels binary, weights binary")
 
 
 _PAIR = "a bigint, b bigint, size_a int, size_b int, common bigint"
@@ -202,39 +207,36 @@ _PAIR = "a bigint, b bigint, size_a int, size_b int, common bigint"
 def _pairs(lists: DataFrame, num: int, den: int, second: bool) -> DataFrame:
     """Pairs that share a prefix shingle, with the number of those they share in the fragment.
 
-    First: all pairs of short lists, links to the least class of long ones.
-    Second: pairs of long lists whose classes are not in one component yet.
+    First: all pairs of short lists, links to the ``CENTRES`` most central classes of long ones.
+    Second: all pairs of classes that are not in one component yet.
     """
 
-    def select(starts, counts, labels):
+    def select(starts, counts, labels, weights):
         """Index arrays of the pairs, a bounded number at a time."""
         if not second:
             for length in range(2, SHORT + 1):
                 at = starts[counts == length]
                 i, j = np.triu_indices(length, 1)
                 yield (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-            far = counts > SHORT
-            left = np.repeat(starts[far], counts[far] - 1)
-            yield left, np.concatenate([np.arange(a + 1, a + c) for a, c in zip(starts[far], counts[far])] or [left])
-        else:
-            for a, c in zip(starts[counts > SHORT].tolist(), counts[counts > SHORT].tolist()):
+        for a, c in zip(starts.tolist(), counts.tolist()):
+            if not second and c > SHORT:
+                for top in np.argsort(-weights[a : a + c], kind="stable")[:CENTRES].tolist():
+                    yield np.full(c, a + top), np.arange(a, a + c)
+            elif second and c > 1:
                 own = labels[a : a + c]
                 by = np.argsort(own, kind="stable")
                 heads, sizes = _runs(own[by])
-                if len(heads) < 2:
-                    continue
-                done = 0
                 for head, size in zip(heads[1:].tolist(), sizes[1:].tolist()):
-                    done = head  # all classes of earlier labels
                     for x in by[head : head + size].tolist():
-                        yield np.full(done, a + x), a + by[:done]
+                        yield np.full(head, a + x), a + by[:head]
 
     def run(table: pa.Table) -> pa.Table:
         classes, sizes, keys = _unpacked(table, lambda x: np.frombuffer(x, np.uint64))
         counts = np.concatenate([np.frombuffer(x, np.int32) for x in table.column("counts").to_pylist()])
-        labels = np.repeat(np.concatenate([np.frombuffer(x, np.int64) for x in table.column("labels").to_pylist()]), counts)
+        tag = lambda name: np.repeat(np.concatenate([np.frombuffer(x, np.int64) for x in table.column(name).to_pylist()]), counts)
         order = np.lexsort((classes, keys))
-        classes, sizes, keys, labels = classes[order], sizes[order].astype(np.int64), keys[order], labels[order]
+        classes, sizes, keys = classes[order], sizes[order].astype(np.int64), keys[order]
+        labels, weights = tag("labels")[order], tag("weights")[order]
         starts, lengths = _runs(keys)
         found, held = [], 0
 
@@ -249,7 +251,7 @@ def _pairs(lists: DataFrame, num: int, den: int, second: bool) -> DataFrame:
                 out[:, 4] = np.add.reduceat(rows[:, 4], head)
             return out
 
-        for i, j in select(starts, lengths, labels):
+        for i, j in select(starts, lengths, labels, weights):
             fit = (np.minimum(sizes[i], sizes[j]) * den >= np.maximum(sizes[i], sizes[j]) * num) & (classes[i] != classes[j])
             i, j = i[fit], j[fit]
             swap = classes[i] > classes[j]
@@ -312,6 +314,9 @@ def jaccard_links(spark: SparkSession, docs: DataFrame, sizes: DataFrame, text_c
 
     def checked(lists: DataFrame, second: bool) -> DataFrame:
         pairs = _pairs(lists, num, den, second).groupBy("a", "b", "size_a", "size_b").agg(F.sum("common").alias("common"))
+        if second:  # beyond its prefix a class has ceil(t n) - 1 shingles, and the sum is that of all prefixes
+            beyond = F.ceil(F.greatest("size_a", "size_b") * num / den) - 1
+            pairs = pairs.where((F.col("common") + beyond) * (num + den) >= (F.col("size_a") + F.col("size_b")) * num)
         return written(_overlaps(pairs, classes, num, den), spark, "links")
 
     first = checked(_lists(alone, fragments), False)
