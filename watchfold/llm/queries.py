@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from watchfold.llm import chat, decontam, exact_dedup, ngram_join, packing, quality, sharding, urlrules
+from watchfold.llm import chat, decontam, exact_dedup, ngram_join, packing, pii, quality, sharding, urlrules
 
 QUERIES = {}
 ORACLES = {}
@@ -131,3 +131,8 @@ def op10(spark, folder):
 def op9(spark, folder):
     trusted = table(spark, folder, "labels").where("quality = 1").select("doc_id")
     return quality.judge(spark, table(spark, folder, "documents"), trusted)
+
+
+@query("op2_weak_supervision_pii")
+def op2(spark, folder):
+    return pii.digest(pii.detect(spark, table(spark, folder, "documents")))
