@@ -25,10 +25,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _byte_values() -> np.ndarray:
+def _byte_values(gap: np.ndarray) -> np.ndarray:
     values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     values = values[_FOLD]
-    values[_SPACE] = 0
+    values[gap] = 0
     return values
 
 
@@ -41,15 +41,20 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start byte and row of each word ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased.
+def words_of(
+    data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _SPACE, heads: tuple[int, ...] = ()
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start byte and row of each word, A-Z lower-cased.
 
+    ``gap`` tells the bytes between words (a table of 256), white space if not given.  With ``heads``
+    the hashes have one column more for each: that of the word's first so many bytes, 0 if it has no more.
     Works on the bytes of a whole column at once; the hash is a polynomial in the
     byte's place inside its word, summed in blocks so that memory stays bounded.
     """
+    shape = (1 + len(heads),) if heads else ()
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = ~_SPACE[data]
+        return np.zeros((0, *shape), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    inside = ~gap[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     begins = offsets[:-1][np.diff(offsets) > 0]
@@ -57,10 +62,10 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     starts = np.flatnonzero(first)
     del first, inside
     if not len(starts):
-        return np.zeros(0, np.uint64), starts, starts
+        return np.zeros((0, *shape), np.uint64), starts, starts
     rows = np.searchsorted(offsets, starts, side="right") - 1
-    table = _byte_values()
-    hashes = np.empty(len(starts), np.uint64)
+    table = _byte_values(gap)
+    hashes = np.empty((len(starts), *shape), np.uint64)
     bounds = np.append(starts, len(data))
     powers = np.ones(1, np.uint64)
     w = 0
@@ -72,7 +77,15 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         longest = int(place.max()) + 1
         if longest > len(powers):
             powers = np.cumprod(np.full(longest, 0x2545F4914F6CDD1D, np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        hashes[w:e] = np.add.reduceat(table[chunk] * powers[place], rel[:-1])
+        parts = table[chunk] * powers[place]
+        whole = np.add.reduceat(parts, rel[:-1])
+        if heads:
+            hashes[w:e, 0] = whole
+            for k, head in enumerate(heads, 1):
+                first = np.add.reduceat(np.where(place < head, parts, np.uint64(0)), rel[:-1])
+                hashes[w:e, k] = np.where(first == whole, np.uint64(0), first ^ np.uint64(head))
+        else:
+            hashes[w:e] = whole
         w = e
     return mix(hashes), starts, rows
 

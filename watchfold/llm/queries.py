@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from watchfold.llm import chat, decontam, exact_dedup, ngram_join, packing, pii, quality, sharding, urlrules
+from watchfold.llm import chat, decontam, exact_dedup, ngram_join, packing, pii, quality, sharding, toxicity, urlrules
 
 QUERIES = {}
 ORACLES = {}
@@ -136,3 +136,10 @@ def op9(spark, folder):
 @query("op2_weak_supervision_pii")
 def op2(spark, folder):
     return pii.digest(pii.detect(spark, table(spark, folder, "documents")))
+
+
+@query("op6_crf_toxicity")
+def op6(spark, folder):
+    docs = table(spark, folder, "documents")
+    field = toxicity.train(spark, docs, table(spark, folder, "labels"))
+    return toxicity.score(spark, docs, field).select("doc_id", "held_out", "score", "predicted")
