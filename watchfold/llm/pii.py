@@ -163,15 +163,15 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def reliabilities(patterns: dict[tuple[int, tuple[int, ...]], int], rounds: int = 50) -> tuple[dict, np.ndarray]:
     """Posterior of each (kind, votes) pattern and P(vote | label) per labeler, by expectation-maximisation.
 
-    A prior worth a tenth of the spans says that labelers are right more often than not, the exact pattern most.
+    A prior worth a twentieth of the spans says that labelers are right more often than not, the exact pattern most.
     """
     keys = list(patterns)
     n = np.array([patterns[k] for k in keys], float)
-    vote = np.array([k[1] for k in keys]).reshape(len(keys), len(LABELERS)) + 1
+    vote = np.array([k[1] for k in keys], int).reshape(len(keys), len(LABELERS)) + 1
     kind = np.array([k[0] for k in keys], int)
-    prior = np.array([[[0.60, 0.35, 0.05], [0.05, 0.35, 0.60]]] * len(LABELERS))
-    prior[0] = [[0.90, 0.09, 0.01], [0.01, 0.09, 0.90]]
-    table, share, weight = prior.copy(), np.full(len(KINDS), 0.5), max(1.0, n.sum() / 10)
+    prior = np.array([[[0.40, 0.35, 0.25], [0.25, 0.35, 0.40]]] * len(LABELERS))
+    prior[0] = [[0.80, 0.15, 0.05], [0.05, 0.15, 0.80]]
+    table, share, weight = prior.copy(), np.full(len(KINDS), 0.5), max(1.0, n.sum() / 20)
     post = np.full(len(keys), 0.5)
     for _ in range(rounds):
         odds = np.log(share[kind] / (1 - share[kind]))
@@ -189,6 +189,8 @@ def reliabilities(patterns: dict[tuple[int, tuple[int, ...]], int], rounds: int
 
 def span_classifier(counts: dict[int, int], rounds: int = 300) -> dict[int, float]:
     """Probability of each key, by a logistic regression on votes, features and kind fitted to the posteriors."""
+    if not counts:
+        return {}
     read = {key: _read_key(key) for key in counts}
     patterns: dict = {}
     for key, n in counts.items():
