@@ -35,7 +35,7 @@ def bounds(total: int, shards: int, slack: float = 0.0) -> list[int]:
 def ring_owners(spark: SparkSession, shards: int, nodes: int = NODES, cells: int = CELLS) -> list[int]:
     """For each cell the shard of its own or the next virtual node; two nodes in one cell: the lower shard has it."""
     node = spark.range(shards * nodes).select(
-        (F.col("id") % shards).cast("int").alias("shard"), F.pmod(F.xxhash64(F.lit("node"), "id"), F.lit(cells)).alias("cell")
+        F.floor(F.col("id") / nodes).cast("int").alias("shard"), F.pmod(F.xxhash64(F.lit("node"), "id"), F.lit(cells)).alias("cell")
     )
     taken = dict(node.groupBy("cell").agg(F.min("shard").alias("shard")).collect())  # at most one row per cell
     for shard in sorted(set(range(shards)) - set(taken.values())):  # so small a ring that a shard lost all its nodes
