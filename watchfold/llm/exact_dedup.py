@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from watchfold.llm.common import written
+from watchfold.session import shared_dir
 
 SALTS = 64
 
@@ -32,11 +33,11 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 class DigestIndex:
-    """A digest table in the warehouse: ``text_sha256``, and the ``keep_id`` and size of its first group."""
+    """A digest table of the catalog: ``text_sha256``, and the ``keep_id`` and size of its first group."""
 
-    def __init__(self, spark: SparkSession, table: str, buckets: int = 64):
-        """Open the index ``table``, or create it empty; ``buckets`` counts only then."""
-        self.spark, self.table, self.buckets = spark, table, buckets
+    def __init__(self, spark: SparkSession, table: str, buckets: int = 64, path: str | None = None):
+        """Open the index ``table``, or create it with the first append; ``buckets`` and ``path`` (else the warehouse) count only then."""
+        self.spark, self.table, self.buckets, self.path = spark, table, buckets, path
 
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.table)
@@ -53,7 +54,10 @@ class DigestIndex:
     def append(self, rows: DataFrame) -> None:
         """Append (text_sha256, keep_id, group_size), bucketed and sorted by digest."""
         ready = rows.repartition(self.buckets, "text_sha256").sortWithinPartitions("text_sha256")
-        ready.write.mode("append").format("parquet").bucketBy(self.buckets, "text_sha256").sortBy("text_sha256").saveAsTable(self.table)
+        writer = ready.write.mode("append").format("parquet")
+        if self.path and not self.exists():
+            writer = writer.option("path", self.path)
+        writer.bucketBy(self.buckets, "text_sha256").sortBy("text_sha256").saveAsTable(self.table)
 
 
 def groups(rows: DataFrame) -> DataFrame:
@@ -90,8 +94,9 @@ def deduplicate(spark: SparkSession, docs: DataFrame, index: DigestIndex, id_col
 
 
 def fresh_index(spark: SparkSession) -> DigestIndex:
-    """A new, empty index under a name of its own."""
-    return DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
+    """A new, empty index under a name of its own, kept in the shared folder."""
+    name = f"digest_index_{uuid.uuid4().hex}"
+    return DigestIndex(spark, name, path=shared_dir(spark, name))
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
