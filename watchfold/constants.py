@@ -17,6 +17,9 @@ LIKELIHOOD_DEFAULT = 55
 PASS_MAX = 50
 REVIEW_MAX = 70
 
+# How long a video frame of unknown duration counts, in milliseconds.
+FRAME_MS = 100
+
 # Image types that are scored.
 IMAGE_MIME_TYPES = ("image/jpeg", "image/bmp", "image/gif", "image/png")
 
@@ -53,10 +56,9 @@ COST_FALSE_ALARM = 6.0
 CURVE_DAYS = 30.0
 REVIEW_CAPACITY = 200.0
 QUEUE_MIN_PROBABILITY = 0.3
-EVASION_CAPS = {"amount": 50.0, "value_1h": 80.0, "value_24h": 400.0}
 EVASION_SHARE = 0.30
 PSI_ALARM = 0.2
 PSI_WATCH = 0.1
 
-TOMBSTONE = "\U0001F6AB This content has been removed by the Security Content Moderation system."
+TOMBSTONE = "[message taken down by content moderation]"
 # -----------------------------------------------------------------------------

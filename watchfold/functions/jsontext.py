@@ -35,3 +35,9 @@ def uuid_form(hex_text: Column) -> Column:
     """The first 32 hex digits of a hash, written as a UUID."""
     cut = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
     return F.concat_ws("-", *[F.substring(hex_text, start, n) for start, n in cut])
+
+
+def is_one_json(text: Column) -> Column:
+    """Whether a text is exactly one JSON value, nothing after it; null text is not."""
+    whole = F.concat(F.lit("["), text, F.lit("]"))
+    return F.coalesce(F.try_parse_json(whole).isNotNull() & (F.json_array_length(whole) == 1), F.lit(False))

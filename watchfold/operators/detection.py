@@ -30,14 +30,16 @@ def entity_hits(events: DataFrame, users: DataFrame, assets: DataFrame, privileg
     thing = F.struct(F.col("asset").alias("asset"), F.col("critical").alias("critical"))
     by_host = assets.where(F.col("host").isNotNull()).select("host", thing.alias("__h"))
     by_ip = assets.where(F.col("ip").isNotNull()).select("ip", thing.alias("__i"))
-    met = base.join(by_host, "host", "left").join(by_ip, "ip", "left")
-    # the same asset met both ways is one hit
-    met = met.select("event_id", "source_system", F.explode(F.array_distinct(F.array_compact(F.array("__h", "__i")))).alias("a"))
+    met = base.join(by_host, "host").select("event_id", "source_system", F.col("__h").alias("a")).unionByName(
+        base.join(by_ip, "ip").select("event_id", "source_system", F.col("__i").alias("a"))
+    )
     by_asset = met.select(
         "event_id", "source_system", F.lit("asset").alias("entity_type"), F.col("a.asset").alias("entity_id"),
         F.lit(False).alias("is_privileged"), F.col("a.critical").alias("is_asset_critical"),
     )
-    return by_user.unionByName(by_asset)
+    # an asset met both ways, or listed twice, is one hit; critical if any listing says so
+    key = ["event_id", "source_system", "entity_type", "entity_id", "is_privileged"]
+    return by_user.unionByName(by_asset).groupBy(*key).agg(F.max("is_asset_critical").alias("is_asset_critical"))
 
 
 def corroborate(

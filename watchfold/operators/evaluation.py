@@ -294,9 +294,11 @@ def psi_against(fixed: DataFrame, current: DataFrame, cols: Sequence[str]) -> Da
     edges = F.size("b.edges")
     terms = F.transform(F.sequence(F.lit(1), edges - 1), term)
     value = F.when(edges < 3, F.lit(0.0)).otherwise(F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x))
-    return now.select(
-        "feature", F.col("b.rows").alias("baseline_rows"), F.col("rows").alias("current_rows"), value.alias("psi")
-    ).withColumn("band", psi_band("psi"))
+    found = now.select("feature", F.col("rows").alias("current_rows"), value.alias("psi"))
+    # a feature without any value now is the strongest drift there is: no rows, no index, a band of its own
+    out = fixed.select("feature", F.col("rows").alias("baseline_rows")).join(found, "feature", "left")
+    out = out.select("feature", "baseline_rows", F.coalesce("current_rows", F.lit(0).cast("bigint")).alias("current_rows"), "psi")
+    return out.withColumn("band", F.when(F.col("psi").isNull(), "no values").otherwise(psi_band("psi")))
 
 
 # --- explanation -----------------------------------------------------------------

@@ -105,13 +105,16 @@ def linkage_count(df: DataFrame, col: str, out: str) -> DataFrame:
 def select_features(
     df: DataFrame, label: str, drop: Sequence[str], names: Sequence[str] | None = None
 ) -> DataFrame:
-    """Drop listed columns, keep the label, align to the model's feature names with 0 fill."""
+    """Drop listed columns, keep the label, align to the model's feature names.
+
+    A feature the table lacks is 0; one it has is left as it is, nulls and texts too.
+    """
     kept = df.drop(*drop)
     if names is None:
         return kept
     cols: list[Column] = [F.col(label)]
     for n in names:
-        cols.append(F.coalesce(F.col(n), F.lit(0)).alias(n) if n in kept.columns else F.lit(0).alias(n))
+        cols.append(F.col(n) if n in kept.columns else F.lit(0).alias(n))
     return kept.select(*cols)
 
 

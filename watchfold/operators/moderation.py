@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from watchfold import constants as K
 from watchfold.functions import levels as L
 from watchfold.functions.hashing import hmac_sha256, sha256
-from watchfold.functions.jsontext import json_list, json_scalar, spaced_object, uuid_form
+from watchfold.functions.jsontext import is_one_json, json_list, json_scalar, spaced_object, uuid_form
 from watchfold.functions.text import WORD_CLASS, is_blank, tokens, word_regex
 from watchfold.schemas import MESSAGE
 
@@ -32,7 +32,7 @@ def decode_messages(
     parsed = df.where(F.col(kind) == K.MESSAGE_CREATED).withColumn(
         "__e", F.from_json(body, schema, {"columnNameOfCorruptRecord": "__bad"})
     )
-    broken = F.col("__e").isNull() | F.col("__e.__bad").isNotNull()
+    broken = F.col("__e").isNull() | F.col("__e.__bad").isNotNull() | ~is_one_json(F.col(body))
     bad = parsed.where(broken).drop("__e")
     m = parsed.where(~broken).select(F.col("__e.message").alias("m"))
 
@@ -50,7 +50,9 @@ def decode_messages(
         F.col("m.attachment").alias("attachment"),
     )
     if full is not None:
-        more = full.select("message_name", F.col("sender").alias("__s"), F.col("text").alias("__t"))
+        more = full.groupBy("message_name").agg(F.min(F.struct(F.col("sender").alias("s"), F.col("text").alias("t"))).alias("__m")).select(
+            "message_name", F.col("__m.s").alias("__s"), F.col("__m.t").alias("__t")
+        )
         good = good.join(more, "message_name", "left").withColumns(
             {"sender": F.coalesce("sender", "__s"), "text": F.coalesce("text", "__t")}
         ).drop("__s", "__t")
@@ -59,7 +61,8 @@ def decode_messages(
 
 def resolve_sender(msgs: DataFrame, directory: DataFrame) -> DataFrame:
     """Replace a user reference by its directory e-mail; an unknown one stays."""
-    known = directory.select(F.col("user_id").alias("__u"), F.col("email").alias("__email"))
+    # a person listed twice must not double the messages; the least address wins
+    known = directory.groupBy(F.col("user_id").alias("__u")).agg(F.min("email").alias("__email"))
     ref = F.when(~F.contains("sender", F.lit("@")), F.element_at(F.split("sender", "/"), -1))
     return (
         msgs.withColumn("__ref", ref)
@@ -222,7 +225,8 @@ def parse_verdict(df: DataFrame, raw: str) -> DataFrame:
     doc = F.from_json(raw, "verdict STRING, rationale STRING, __bad STRING", {
         "columnNameOfCorruptRecord": "__bad", "allowSingleQuotes": "false",
     })
-    whole = F.trim(F.col(raw)).rlike(r"(?s)^\{.*\}$")
+    # nothing may follow the object, and no key may come twice: what a strict reader refuses counts as flagged
+    whole = F.trim(F.col(raw)).rlike(r"(?s)^\{.*\}$") & is_one_json(F.col(raw))
     verdict = F.when(whole & F.col("__d.__bad").isNull(), F.upper("__d.verdict"))
     ok = F.coalesce(verdict.isin("TRUE_POSITIVE", "FALSE_POSITIVE"), F.lit(False))
     note = F.concat(
@@ -247,7 +251,9 @@ def text_verdict(scanned: DataFrame, text: str, verdicts: DataFrame | None = Non
     if verdicts is None:
         joined = scanned.withColumns({"__v": F.lit(None).cast("string"), "__why": F.lit(None).cast("string")})
     else:
-        v = verdicts.select(key, F.col("verdict").alias("__v"), F.col("rationale").alias("__why"))
+        # of several answers to one message the strictest counts: TRUE_POSITIVE sorts last
+        last = F.max(F.struct(F.col("verdict").alias("v"), F.col("rationale").alias("why"))).alias("__a")
+        v = verdicts.groupBy(key).agg(last).select(key, F.col("__a.v").alias("__v"), F.col("__a.why").alias("__why"))
         joined = scanned.join(v, key, "left")
     hard, soft = F.size("hard_terms") > 0, F.size("soft_terms") > 0
     blank = F.col("__blank")
@@ -293,8 +299,14 @@ def image_attachments(msgs: DataFrame, key: str = "message_name") -> DataFrame:
 def sample_frames(
     frames: DataFrame, fps: float, cap: int, key: str = "attachment_id", order: Sequence[str] = ("frame_idx",)
 ) -> DataFrame:
-    """Every n-th frame by duration, the first ``cap`` per attachment."""
-    step = F.greatest(F.lit(1), F.floor(1000 / (F.lit(float(fps)) * F.col("duration_ms"))).cast("int"))
+    """Every n-th frame by duration, the first ``cap`` per attachment.
+
+    A frame of unknown duration counts as ``FRAME_MS`` long; one of none has no rate and is
+    left out, so its attachment falls back as one that could not be scored.
+    """
+    shown = F.coalesce(F.col("duration_ms"), F.lit(K.FRAME_MS))
+    step = F.greatest(F.lit(1), F.floor(F.try_divide(F.lit(1000.0), F.lit(float(fps)) * shown)).cast("int"))
+    step = F.when(shown != 0, step)
     w = Window.partitionBy(key).orderBy(*order)
     kept = frames.where(F.pmod(F.col("frame_idx"), step) == 0)
     return kept.withColumn("sample_no", F.row_number().over(w)).where(F.col("sample_no") <= cap)
@@ -515,10 +527,13 @@ def tombstone(decided: DataFrame, cases: DataFrame) -> DataFrame:
     )
 
 
-def reviewer_alerts(decided: DataFrame, time_text: Column) -> DataFrame:
-    """What a reviewer is told about each review or block decision."""
+def reviewer_alerts(decided: DataFrame, time_text: Column, shown_terms: int = 10) -> DataFrame:
+    """What a reviewer is told about each review or block decision.
+
+    ``text_flag`` shows the first ``shown_terms`` terms, as the card has room for; ``all_terms`` has them all.
+    """
     flagged = F.col("text_result").isin(*K.TEXT_FLAGGED)
-    terms = F.array_join(F.slice("matched_terms", 1, 10), ", ")
+    terms = F.array_join(F.slice("matched_terms", 1, shown_terms), ", ")
     text_flag = F.when(flagged, F.concat(F.col("text_result"), F.lit(" — "), terms))
     shown = F.coalesce(F.col("image_action") != "pass", F.lit(False))
     image_flag = F.when(
@@ -531,6 +546,7 @@ def reviewer_alerts(decided: DataFrame, time_text: Column) -> DataFrame:
     return decided.where(F.col("final_action") != "pass").select(
         "message_name", "sender_email", "space_name", time_text.alias("time"),
         F.upper("final_action").alias("action"), text_flag.alias("text_flag"),
+        F.when(flagged, F.array_join("matched_terms", ", ")).alias("all_terms"),
         F.when(flagged, F.col("rationale")).alias("rationale"), image_flag.alias("image_flag"), "case_id",
     )
 

@@ -10,6 +10,7 @@ from watchfold import constants as K
 from watchfold.functions.hashing import sha256
 from watchfold.functions.jsontext import uuid_form
 from watchfold.functions.text import display_name
+from watchfold.scale import hash_rank
 
 Patterns = Sequence[tuple[str, str]]
 
@@ -170,17 +171,20 @@ def digest_line(title: str = "title", url: str = "url", action: str = "action_ta
 def notification_digest(outcomes: DataFrame, email: str, per_notice: int = 200) -> tuple[DataFrame, DataFrame]:
     """(notices, outcomes without an e-mail).
 
-    A recipient gets one notice, or several where there are more than
-    ``per_notice`` items: items are dealt out by hash, so that one account with
-    very many of them is neither gathered in one task nor cut short.
+    A recipient's lines are numbered exactly, in hash order, and cut into notices of
+    ``per_notice`` lines: every notice but the last is full, none is longer, and no
+    recipient is gathered in one task.  Equal lines are lines of their own.
     """
     sent = outcomes.where(F.coalesce(F.length(email), F.lit(0)) > 0)
-    counts = sent.groupBy(email).agg(F.count(F.lit(1)).alias("count"))
-    sized = sent.withColumn("__line", digest_line()).join(counts, email)
-    parts = F.ceil(F.col("count") / per_notice).cast("bigint")
-    draw = F.conv(F.substring(sha256(F.col("__line")), 1, 8), 16, 10).cast("bigint")
+    placed = hash_rank(sent.withColumn("__line", digest_line()), "__line", [email])
     notices = (
-        sized.withColumns({"parts": parts, "part": draw % parts + 1})
+        placed.withColumns(
+            {
+                "count": F.col("total"),
+                "parts": F.ceil(F.col("total") / per_notice).cast("bigint"),
+                "part": (F.floor(F.col("rank") / per_notice) + 1).cast("bigint"),
+            }
+        )
         .groupBy(email, "count", "parts", "part")
         .agg(F.array_join(F.sort_array(F.collect_list("__line")), "\n").alias("item_list"))
         .withColumn("display_name", display_name(email))

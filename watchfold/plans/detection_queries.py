@@ -11,9 +11,10 @@ from watchfold.sources.sink import new_documents
 SOURCES = ["click", "error", "purchase", "signup", "view"]
 
 HITS_SQL = EVENTS_SQL + """, acts AS (SELECT event_id, us, ts, user_id, event_type AS source_system, 'u' || user_id AS "user", 'h' || k AS host, '10.0.0.' || (user_id % 100) AS ip FROM ev),
-  assets AS (SELECT 'a' || s_suppkey AS asset, 'h' || s_suppkey AS host, '10.0.0.' || (s_suppkey * 3 % 1009) AS ip, s_acctbal > 5000 AS critical FROM supplier),
+  assets AS (SELECT 'a' || s_suppkey AS asset, 'h' || s_suppkey AS host, '10.0.0.' || (s_suppkey * 3 % 1009) AS ip, s_acctbal > 5000 AS critical FROM supplier
+    UNION ALL SELECT 'a' || s_suppkey, 'h' || (s_suppkey % 50), NULL, false FROM supplier UNION ALL SELECT 'a' || s_suppkey, 'h' || (s_suppkey % 50), NULL, s_suppkey % 3 = 0 FROM supplier),
   hits AS (SELECT event_id, source_system, 'user' AS entity_type, 'u' || user_id AS entity_id, c_nationkey < 5 AS is_privileged, false AS is_asset_critical FROM acts JOIN customer ON c_custkey = user_id
-    UNION ALL SELECT DISTINCT event_id, source_system, 'asset', asset, false, critical FROM acts JOIN assets ON assets.host = acts.host OR assets.ip = acts.ip)"""
+    UNION ALL SELECT event_id, source_system, 'asset', asset, false, bool_or(critical) FROM acts JOIN assets ON assets.host = acts.host OR assets.ip = acts.ip GROUP BY ALL)"""
 
 
 def acts(t):
@@ -34,6 +35,11 @@ def hits(t):
         F.concat(F.lit("10.0.0."), (key * 3 % 1009).cast("string")).alias("ip"),
         (F.col("s_acctbal") > 5000).alias("critical"),
     )
+    # every asset also under a second host, listed twice
+    for critical in (F.lit(False), key % 3 == 0):
+        assets = assets.union(t.supplier.select(
+            F.concat(F.lit("a"), key.cast("string")), F.concat(F.lit("h"), (key % 50).cast("string")), F.lit(None).cast("string"), critical
+        ))
     users = t.customer.select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("user"), "c_nationkey")
     return D.entity_hits(acts(t), users, assets, users.where(F.col("c_nationkey") < 5))
 

@@ -205,6 +205,17 @@ def j15(spark, sf):
     return rounded(V.psi(ev.where(cut), ev.where(~cut), ["value", "k", "skewed"]))
 
 
+@query(
+    "j15_vanished_feature",
+    """SELECT 'value' AS feature, count(*) AS baseline_rows, CAST(0 AS BIGINT) AS current_rows, CAST(NULL AS DOUBLE) AS psi, 'no values' AS band
+       FROM events WHERE ts < TIMESTAMP '2024-01-16'""",
+)
+def j15_gone(spark, sf):
+    cut = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
+    ev = Tables(spark, sf).events
+    return V.psi(ev.where(cut), ev.where(~cut).withColumn("value", F.lit(None).cast("double")), ["value"])
+
+
 @query(
     "j16_explain_sample",
     f"""WITH {SCORED_SQL} SELECT event_id, y FROM scored QUALIFY row_number() OVER (PARTITION BY y ORDER BY event_id) <= 500""",

@@ -151,11 +151,12 @@ def i8(spark, sf):
 
 @query(
     "i9_select_features",
-    f"""WITH {EVENTS_SQL} SELECT event_id, CAST(event_type = 'error' AS INTEGER) AS y, value, k, 0 AS dist1 FROM ev""",
+    f"""WITH {EVENTS_SQL} SELECT event_id, CAST(event_type = 'error' AS INTEGER) AS y, CASE WHEN event_id % 7 <> 0 THEN value END AS value, k, event_type, 0 AS dist1 FROM ev""",
 )
 def i9(spark, sf):
     ev = Tables(spark, sf).events.withColumn("y", (F.col("event_type") == "error").cast("int"))
-    return X.select_features(ev, "y", ["ts", "props", "user_id", "not_there"], ["event_id", "value", "k", "dist1"])
+    ev = ev.withColumn("value", F.when(F.col("event_id") % 7 != 0, F.col("value")))
+    return X.select_features(ev, "y", ["ts", "props", "user_id", "not_there"], ["event_id", "value", "k", "event_type", "dist1"])
 
 
 @query(

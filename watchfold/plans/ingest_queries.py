@@ -128,7 +128,7 @@ def b6(spark, sf):
     t = Tables(spark, sf)
     sp, mem = spaces(t)
     msgs = t.supplier.join(sp, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "space_name")
-    out, _ = I.with_members(msgs, mem)
+    out = I.with_members(msgs, mem)
     listed = F.array_join(F.transform("space_members", lambda m: F.concat(m["email"], F.lit("/"), m["displayName"])), " ")
     return out.select("s_suppkey", "space_name", listed.alias("members"))
 
@@ -140,7 +140,7 @@ def b6(spark, sf):
 def b6_large(spark, sf):
     t = Tables(spark, sf)
     sp, mem = spaces(t)
-    return I.with_members(sp, mem, max_members=62)[1].select("space_name", "email")
+    return I.members_of_large(mem, 62).select("space_name", "email")
 
 
 @query(
@@ -218,22 +218,40 @@ _UP_SQL = """run AS (SELECT o_orderkey AS pipeline_run_id, o_orderpriority AS st
           CASE WHEN r.stage IS NOT NULL THEN r.records_in ELSE l.records_in END AS records_in FROM run r FULL JOIN l ON r.pipeline_run_id = l.pipeline_run_id AND r.stage = l.stage""",
 )
 def b12(spark, sf):
+    return I.upsert_runs(*run_updates(spark, sf))
+
+
+def run_updates(spark, sf):
     o = Tables(spark, sf).orders
     key = [F.col("o_orderkey").alias("pipeline_run_id"), F.col("o_orderpriority").alias("stage")]
     known = o.where(F.col("o_orderkey") % 3 != 0).select(*key, F.lit("running").alias("status"), F.col("o_custkey").alias("records_in"))
     last = F.when(F.col("o_orderstatus") == "F", "failed").otherwise("completed")
     upd = o.where(F.col("o_orderkey") % 2 == 0).select(*key, last.alias("status"), (-F.col("o_custkey")).alias("records_in"), F.lit(2).alias("seq"))
     early = o.where(F.col("o_orderkey") % 4 == 0).select(*key, F.lit("started").alias("status"), F.lit(7).cast("bigint").alias("records_in"), F.lit(1).alias("seq"))
-    return I.upsert_runs(known, upd.unionByName(early))
+    return known, upd.unionByName(early)
+
+
+@query(
+    "b12_run_completion",
+    f"""WITH {_UP_SQL}, l AS (SELECT pipeline_run_id, stage, max_by(status, seq) AS status, min_by(records_in, seq) AS first, max_by(records_in, seq) AS last FROM upd GROUP BY 1, 2)
+        SELECT coalesce(r.pipeline_run_id, l.pipeline_run_id) AS pipeline_run_id, coalesce(r.stage, l.stage) AS stage, coalesce(l.status, r.status) AS status,
+          CASE WHEN l.status IN ('failed', 'completed') THEN l.last WHEN r.stage IS NOT NULL THEN r.records_in ELSE l.first END AS records_in
+        FROM run r FULL JOIN l ON r.pipeline_run_id = l.pipeline_run_id AND r.stage = l.stage""",
+)
+def b12_ends(spark, sf):
+    """The end of a run writes its counts too."""
+    return I.upsert_runs(*run_updates(spark, sf), ends=["records_in"])
 
 
 @query(
     "b13_mark_stale",
     f"""WITH {RUNS_SQL} SELECT run_id, CASE WHEN status = 'running' AND completed_at_utc < TIMESTAMP '1998-06-01' - INTERVAL 24 HOUR THEN 'failed' ELSE status END AS status,
-        CASE WHEN status = 'running' AND completed_at_utc < TIMESTAMP '1998-06-01' - INTERVAL 24 HOUR THEN 'stale run' END AS error_message FROM runs""",
+        CASE WHEN status = 'running' AND completed_at_utc < TIMESTAMP '1998-06-01' - INTERVAL 24 HOUR THEN 'stale run'
+          WHEN run_id % 5 = 0 THEN 'disk full' END AS error_message FROM runs""",
 )
 def b13(spark, sf):
-    return I.mark_stale(runs(Tables(spark, sf)), "completed_at_utc", ntz("1998-06-01"), 24).select("run_id", "status", "error_message")
+    told = runs(Tables(spark, sf)).withColumn("error_message", F.when(F.col("run_id") % 5 == 0, "disk full"))
+    return I.mark_stale(told, "completed_at_utc", ntz("1998-06-01"), 24).select("run_id", "status", "error_message")
 
 
 @query(

@@ -300,6 +300,12 @@ def e11(spark, sf):
     )
 
 
+@query("e11_unique_but_null", "SELECT l_orderkey, l_returnflag, count(*) AS n FROM lineitem WHERE l_returnflag <> 'N' AND l_linenumber < 6 GROUP BY ALL HAVING count(*) > 1")
+def e11_null(spark, sf):
+    li = Tables(spark, sf).lineitem.withColumn("l_returnflag", F.nullif(F.col("l_returnflag"), F.lit("N")))
+    return E.check_unique(li.withColumn("l_orderkey", F.when(F.col("l_linenumber") < 6, F.col("l_orderkey"))), ["l_orderkey", "l_returnflag"])
+
+
 @query("e11_check_unique", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def e11_unique(spark, sf):
     return E.check_unique(Tables(spark, sf).lineitem, ["l_orderkey", "l_linenumber"])

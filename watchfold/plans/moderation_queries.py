@@ -109,10 +109,11 @@ def d5_join(spark, sf):
 
 
 RAW_SQL = """raw AS (SELECT doc_id, CASE WHEN doc_id % 9 = 3 THEN 'no json at all ' || doc_id WHEN doc_id % 9 = 4 THEN '{"verdict": "MAYBE"}'
-    WHEN doc_id % 9 = 5 THEN '{"verdict": "true_positive"}'
+    WHEN doc_id % 9 = 5 THEN '{"verdict": "true_positive"}' WHEN doc_id % 9 = 6 THEN '{"verdict": "FALSE_POSITIVE"} {"x": ' || doc_id || '}'
+    WHEN doc_id % 9 = 7 THEN '{"verdict": "FALSE_POSITIVE"}}' WHEN doc_id % 9 = 8 THEN '{"verdict": "FALSE_POSITIVE"}, {}'
     ELSE '{"verdict": "' || CASE WHEN toxic = 1 THEN 'TRUE_POSITIVE' ELSE 'FALSE_POSITIVE' END || '", "rationale": "why ' || doc_id || '"}' END AS raw FROM labels),
-  parsed AS (SELECT doc_id, raw, CASE WHEN doc_id % 9 IN (3, 4) THEN 'TRUE_POSITIVE' ELSE upper(json_extract_string(CASE WHEN json_valid(raw) THEN raw END, '$.verdict')) END AS verdict,
-    CASE WHEN doc_id % 9 IN (3, 4) THEN '[parse error — defaulting to TRUE_POSITIVE] raw=' || raw[1:100]
+  parsed AS (SELECT doc_id, raw, CASE WHEN doc_id % 9 IN (3, 4, 6, 7, 8) THEN 'TRUE_POSITIVE' ELSE upper(json_extract_string(CASE WHEN json_valid(raw) THEN raw END, '$.verdict')) END AS verdict,
+    CASE WHEN doc_id % 9 IN (3, 4, 6, 7, 8) THEN '[parse error — defaulting to TRUE_POSITIVE] raw=' || raw[1:100]
          ELSE coalesce(json_extract_string(CASE WHEN json_valid(raw) THEN raw END, '$.rationale'), '') END AS rationale FROM raw)"""
 
 
@@ -123,6 +124,9 @@ def raw_verdicts(t):
         F.when(kind == 3, F.concat(F.lit("no json at all "), doc))
         .when(kind == 4, '{"verdict": "MAYBE"}')
         .when(kind == 5, '{"verdict": "true_positive"}')
+        .when(kind == 6, F.concat(F.lit('{"verdict": "FALSE_POSITIVE"} {"x": '), doc, F.lit("}")))
+        .when(kind == 7, '{"verdict": "FALSE_POSITIVE"}}')
+        .when(kind == 8, '{"verdict": "FALSE_POSITIVE"}, {}')
         .otherwise(F.concat(F.lit('{"verdict": "'), word, F.lit('", "rationale": "why '), doc, F.lit('"}')))
     )
     return t.labels.select("doc_id", raw.alias("raw"))
@@ -143,7 +147,7 @@ TEXT_SQL = SCAN_SQL + ", " + RAW_SQL + """, texts AS (SELECT s.*,
 
 def texts(t):
     verdicts = M.parse_verdict(raw_verdicts(t), "raw")
-    return M.text_verdict(scanned(t), "text", verdicts, "doc_id")
+    return M.text_verdict(scanned(t), "text", verdicts.union(verdicts), "doc_id")  # each delivered twice
 
 
 @query(
@@ -231,7 +235,7 @@ def d2(spark, sf):
     directory = t.customer.where(F.col("c_custkey") < 30).select(
         F.col("c_custkey").cast("string").alias("user_id"), F.concat_ws("@", "c_name", "c_mktsegment").alias("email")
     )
-    return M.resolve_sender(decoded(t)[0], directory).select("message_name", "sender_email")
+    return M.resolve_sender(decoded(t)[0], directory.union(directory)).select("message_name", "sender_email")
 
 
 @query(
@@ -260,7 +264,7 @@ def frames(t):
     return t.lineitem.select(
         F.col("l_orderkey").alias("attachment_id"),
         (F.col("l_linenumber") - 1).alias("frame_idx"),
-        (25 + 25 * (F.col("l_partkey") % 4)).cast("int").alias("duration_ms"),
+        F.when(F.col("l_partkey") % 40 == 11, 0).when(F.col("l_partkey") % 40 != 7, 25 + 25 * (F.col("l_partkey") % 4)).cast("int").alias("duration_ms"),
         name.alias("likelihood"),
         "l_partkey",
         "l_suppkey",
@@ -268,13 +272,13 @@ def frames(t):
     )
 
 
-FRAMES_SQL = """frames AS (SELECT l_orderkey AS attachment_id, l_linenumber - 1 AS frame_idx, CAST(25 + 25 * (l_partkey % 4) AS INTEGER) AS duration_ms,
+FRAMES_SQL = """frames AS (SELECT l_orderkey AS attachment_id, l_linenumber - 1 AS frame_idx, CAST(CASE WHEN l_partkey % 40 = 11 THEN 0 WHEN l_partkey % 40 <> 7 THEN 25 + 25 * (l_partkey % 4) END AS INTEGER) AS duration_ms,
     CASE WHEN l_quantity <= 10 THEN 'VERY_UNLIKELY' WHEN l_quantity <= 20 THEN 'UNLIKELY' WHEN l_quantity <= 28 THEN 'POSSIBLE' WHEN l_quantity <= 33 THEN 'OTHER'
       WHEN l_quantity <= 36 THEN 'LIKELY' WHEN l_quantity <= 38 THEN 'VERY_LIKELY' END AS likelihood, l_partkey, l_suppkey, l_extendedprice FROM lineitem),
   scored AS (SELECT *, CASE likelihood WHEN 'VERY_UNLIKELY' THEN 10 WHEN 'UNLIKELY' THEN 30 WHEN 'POSSIBLE' THEN 60 WHEN 'LIKELY' THEN 80 WHEN 'VERY_LIKELY' THEN 95
       WHEN 'OTHER' THEN 55 END AS score FROM frames),
   sampled AS (SELECT *, CAST(row_number() OVER (PARTITION BY attachment_id ORDER BY frame_idx, l_partkey, l_suppkey, l_extendedprice) AS INTEGER) AS sample_no
-      FROM scored WHERE frame_idx % greatest(1, CAST(floor(1000 / (10.0 * duration_ms)) AS INTEGER)) = 0 QUALIFY sample_no <= 3),
+      FROM scored WHERE coalesce(duration_ms, 100) <> 0 AND frame_idx % greatest(1, CAST(floor(1000 / (10.0 * coalesce(nullif(duration_ms, 0), 100))) AS INTEGER)) = 0 QUALIFY sample_no <= 3),
   worst AS (SELECT attachment_id, score AS image_score, CAST(count(*) OVER (PARTITION BY attachment_id) AS INTEGER) AS frames_scored FROM sampled
       QUALIFY row_number() OVER (PARTITION BY attachment_id ORDER BY coalesce(score, 0) DESC, frame_idx, l_partkey, l_suppkey, l_extendedprice) = 1),
   verdicts AS (SELECT *, CASE WHEN image_score <= 50 THEN 'pass' WHEN image_score <= 70 THEN 'review' WHEN image_score IS NULL THEN 'review' ELSE 'block' END AS image_action FROM worst)"""
@@ -468,6 +472,7 @@ def d19(spark, sf):
         CASE WHEN text_result IN ('true_positive', 'flagged_fallback') THEN text_result || ' — ' || array_to_string(matched_terms[1:10], ', ') END AS text_flag,
         CASE WHEN text_result IN ('true_positive', 'flagged_fallback') THEN rationale END AS rationale,
         CASE WHEN image_action <> 'pass' THEN 'score=' || coalesce(CAST(image_score AS VARCHAR), 'N/A') || ', action=' || image_action || ', format=' || image_format END AS image_flag,
+        CASE WHEN text_result IN ('true_positive', 'flagged_fallback') THEN array_to_string(matched_terms, ', ') END AS all_terms,
         case_id FROM cased WHERE final_action <> 'pass'""",
 )
 def d20(spark, sf):

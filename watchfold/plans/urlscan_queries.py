@@ -207,7 +207,7 @@ def c8_new(spark, sf):
 
 _DIGEST_SQL = MATCHES_SQL + """, lines AS (SELECT chrome_email, '  • ' || coalesce(title, url) || CASE action_taken WHEN 'removed' THEN '' ELSE ' [removal failed]' END || E'\\n    ' || url AS line,
      count(*) OVER (PARTITION BY chrome_email) AS count FROM outcomes),
-  parts AS (SELECT *, CAST(ceil(count / 4) AS BIGINT) AS parts, CAST('0x' || substr(sha256(line), 1, 8) AS BIGINT) % CAST(ceil(count / 4) AS BIGINT) + 1 AS part FROM lines)"""
+  parts AS (SELECT *, CAST(ceil(count / 4) AS BIGINT) AS parts, CAST((row_number() OVER (PARTITION BY chrome_email ORDER BY sha256('0:' || line)) - 1) // 4 + 1 AS BIGINT) AS part FROM lines)"""
 
 
 @query(

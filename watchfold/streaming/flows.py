@@ -83,7 +83,10 @@ def drift_stream(
 
     The baseline has one row per column and is worked out once, not per batch.
     """
-    fixed = stream.sparkSession.createDataFrame(baseline.limit(len(cols)).collect(), baseline.schema)
+    rows = baseline.where(F.col("feature").isin(*cols)).collect()
+    if missing := set(cols) - {r["feature"] for r in rows}:
+        raise ValueError(f"the baseline lacks {sorted(missing)}")
+    fixed = stream.sparkSession.createDataFrame(rows, baseline.schema)
     return write_batches(
         stream, lambda batch: {"drift": psi_against(fixed, batch, cols)}, folder, checkpoint, **trigger
     )
@@ -94,8 +97,19 @@ def observe_stream(stream: DataFrame, name: str, metrics: Mapping[str, Column])
     return stream.observe(name, *[c.alias(n) for n, c in metrics.items()])
 
 
+def account_stream(
+    stream: DataFrame, name: str, metrics: Mapping[str, Column], folder: str, checkpoint: str, **trigger
+) -> StreamingQuery:
+    """One accounting row per micro-batch under ``folder``/``name``, however many batches there are."""
+    totals = [c.alias(n) for n, c in metrics.items()]
+    return write_batches(stream, lambda batch: {name: batch.agg(*totals)}, folder, checkpoint, **trigger)
+
+
 def observed(query: StreamingQuery, name: str) -> list[dict]:
-    """Metrics of the recent batches of a query."""
+    """Metrics of the batches whose progress Spark still holds (the last 100 unless set otherwise).
+
+    For the accounting of a whole run use ``account_stream``.
+    """
     out = []
     for progress in query.recentProgress:
         row = progress.observedMetrics.get(name)
