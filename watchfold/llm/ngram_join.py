@@ -15,10 +15,11 @@ and summed per pair.
 4. Candidates are met in the fragments of the prefixes.  A short list of classes that
    share a shingle gives its pairs; a long one (near copies by the thousand) gives
    only the links to its most central classes, those with the commonest shingles.
-   After these are checked, what is still in different components is paired on all
-   lists, the shared prefix shingles are summed per pair, and pairs whose sum cannot
-   reach the threshold end here.  So no link is lost, and a large group of near copies
-   costs its size, not its square.
+   After these are checked, lists that still hold several components go to the fragment
+   of their largest one, where nearly all that two classes share comes together.  A pair
+   goes on only from a fragment that holds its due part of the overlap that prefixes
+   must have; each similar pair has such a fragment.  So no link is lost, and a large
+   group of near copies costs rows in proportion to its size, not its square.
 5. ``overlaps``: both classes' shingles are cut by hash into parts, the overlap is
    counted per part and summed per pair, and tested exactly in whole numbers.
 """
@@ -34,6 +35,7 @@ from watchfold.llm.common import attach_group, components, pack48, set_digest, s
 PER_FRAGMENT = 2_000_000  # shingles in a fragment, on average
 SHORT = 8  # a list of so many classes gives all its pairs at once
 CENTRES = 2  # classes of a longer list to which the others are compared first
+SPLIT = 64  # parts of the lists of a component that one fragment cannot hold
 PARTS = 4  # parts of a class's shingles in which overlaps are counted
 _ROW_BYTES = 4 << 20
 
@@ -179,36 +181,100 @@ def _candidates(shared: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _lists(classes: DataFrame, fragments: int) -> DataFrame:
-    """Prefixes dealt to fragments of the order, packed; ``labels`` and ``weights`` are per class as ``sizes`` is."""
+    """Prefixes dealt to fragments of the order, packed; ``labels``, ``weights`` and ``lengths`` are per class as ``sizes`` is."""
 
     def run(batches):
         for batch in batches:
             data = batch.to_pydict()
             parts = [np.frombuffer(x, np.uint64) for x in data["prefix"]]
-            if not parts or not sum(map(len, parts)):
+            if not sum(map(len, parts)):
                 continue
             keys = np.concatenate(parts)
             owner = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
             part = ((keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(fragments)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            tags = {c: np.array(data[c[:-1]], np.int64) for c in ("labels", "weights")}
+            tags = {c: np.array(data[c[:-1]], np.int64) for c in ("labels", "weights")} | {"lengths": np.array([len(x) for x in parts], np.int64)}
             out = _packed(part[order], owner[order], keys[order], np.array(data["class"], np.int64), np.array(data["size"], np.int64), lambda k: k.tobytes())
             cuts = np.append(np.flatnonzero(np.diff(part[order], prepend=-1)), len(part))
-            own = [np.unique(owner[order][a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
-            more = [pa.array([values[x].tobytes() for x in own], pa.binary()) for values in tags.values()]
-            yield pa.record_batch([*out.columns, *more], [*out.schema.names, *tags])
+            yield _tagged(out, part[order], owner[order], tags)
 
-    return classes.select("class", "size", "prefix", "label", "weight").mapInArrow(run, _PIECE + ", labels binary, weights binary")
+    return classes.select("class", "size", "prefix", "label", "weight").mapInArrow(run, _TAGGED)
+
+
+_TAGGED = _PIECE + ", labels binary, weights binary, lengths binary"
+
+
+def _tagged(out: pa.RecordBatch, part, owner, tags) -> pa.RecordBatch:
+    """The packed rows with more values per class."""
+    cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+    own = [np.unique(owner[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+    more = [pa.array([values[x].tobytes() for x in own], pa.binary()) for values in tags.values()]
+    return pa.record_batch([*out.columns, *more], [*out.schema.names, *tags])
+
+
+def _entries(table):
+    """(class, size, key, label, weight, length) of every entry, sorted by key and class."""
+    classes, sizes, keys = _unpacked(table, lambda x: np.frombuffer(x, np.uint64))
+    counts = np.concatenate([np.frombuffer(x, np.int32) for x in table.column("counts").to_pylist()])
+    tags = [np.repeat(np.concatenate([np.frombuffer(x, np.int64) for x in table.column(c).to_pylist()]), counts) for c in ("labels", "weights", "lengths")]
+    order = np.lexsort((classes, keys))
+    return classes[order], sizes[order].astype(np.int64), keys[order], *(t[order] for t in tags)
+
+
+def _open_lists(lists: DataFrame) -> DataFrame:
+    """The lists that hold several components, dealt anew by their largest component (and, by key, into ``SPLIT`` of its parts)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        classes, sizes, keys, labels, weights, lengths = _entries(table)
+        order = np.lexsort((labels, keys))
+        k, own = keys[order], labels[order]
+        heads = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (own[1:] != own[:-1])))
+        size = np.diff(np.append(heads, len(k)))
+        top = np.lexsort((own[heads], -size, k[heads]))  # of each list the largest component first
+        first, several = _runs(k[heads][top])
+        numbers = np.searchsorted(k[heads][top][first], keys)
+        live = several[numbers] > 1
+        largest = own[heads][top][first][numbers][live]
+        classes, sizes, keys, labels, weights, lengths = (x[live] for x in (classes, sizes, keys, labels, weights, lengths))
+        deal, part = np.unique(np.column_stack([largest, (keys >> np.uint64(7)).astype(np.int64) % SPLIT]), axis=0, return_inverse=True)
+        names, at, owner = np.unique(classes, return_index=True, return_inverse=True)
+        order = np.lexsort((owner, part.ravel()))
+        out = _packed(part.ravel()[order], owner[order], keys[order], names, sizes[at], lambda x: x.tobytes())
+        tags = {"labels": labels[at], "weights": weights[at], "lengths": lengths[at]}
+        rows = pa.Table.from_batches([_tagged(out, part.ravel()[order], owner[order], tags)])
+        n = [len(x) // 8 for x in rows.column("keys").to_pylist()]
+        return rows.append_column("largest", pa.array(deal[:, 0], pa.int64())).append_column("split", pa.array(deal[:, 1], pa.int32())).append_column("n", pa.array(n, pa.int64()))
+
+    return lists.groupBy("part").applyInArrow(run, _TAGGED + ", largest bigint, split int, n bigint")
+
+
+def _dealt(spark: SparkSession, open_lists: DataFrame, fragments: int) -> DataFrame:
+    """Open lists with their fragment: one for a component, or several where it has more entries than one can hold."""
+    rows = written(open_lists, spark, "open-lists")
+    parts = F.least(F.ceil(F.sum("n") / PER_FRAGMENT), F.lit(SPLIT)).alias("parts")
+    met = rows.drop("part").join(rows.groupBy(F.col("largest").alias("l")).agg(parts), F.col("largest") == F.col("l"))
+    return met.withColumn("part", F.pmod(F.xxhash64("largest", F.col("split") % F.col("parts")), F.lit(fragments)).cast("int"))
 
 
 _PAIR = "a bigint, b bigint, size_a int, size_b int, common bigint"
 
 
+def _merged(parts: list[np.ndarray]) -> np.ndarray:
+    """Rows (a, b, size_a, size_b, length_a, common) of equal pairs added up."""
+    rows = np.concatenate(parts) if parts else np.zeros((0, 6), np.int64)
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    head = np.flatnonzero(np.append(True, (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1]))) if len(rows) else np.zeros(0, np.int64)
+    out = rows[head]
+    if len(rows):
+        out[:, 5] = np.add.reduceat(rows[:, 5], head)
+    return out
+
+
 def _pairs(lists: DataFrame, num: int, den: int, second: bool) -> DataFrame:
     """Pairs that share a prefix shingle, with the number of those they share in the fragment.
 
     First: all pairs of short lists, links to the ``CENTRES`` most central classes of long ones.
-    Second: all pairs of classes that are not in one component yet.
+    Second: pairs of classes in different components, from a fragment with their due part of the overlap.
     """
 
     def select(starts, counts, labels, weights):
@@ -231,38 +297,29 @@ def _pairs(lists: DataFrame, num: int, den: int, second: bool) -> DataFrame:
                         yield np.full(head, a + x), a + by[:head]
 
     def run(table: pa.Table) -> pa.Table:
-        classes, sizes, keys = _unpacked(table, lambda x: np.frombuffer(x, np.uint64))
-        counts = np.concatenate([np.frombuffer(x, np.int32) for x in table.column("counts").to_pylist()])
-        tag = lambda name: np.repeat(np.concatenate([np.frombuffer(x, np.int64) for x in table.column(name).to_pylist()]), counts)
-        order = np.lexsort((classes, keys))
-        classes, sizes, keys = classes[order], sizes[order].astype(np.int64), keys[order]
-        labels, weights = tag("labels")[order], tag("weights")[order]
-        starts, lengths = _runs(keys)
+        classes, sizes, keys, labels, weights, lengths = _entries(table)
+        starts, counts = _runs(keys)
         found, held = [], 0
-
-        def merged(parts):
-            if not parts:
-                return np.zeros((0, 5), np.int64)
-            rows = np.concatenate(parts)
-            rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-            head = np.flatnonzero(np.append(True, (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1]))) if len(rows) else []
-            out = rows[head]
-            if len(rows):
-                out[:, 4] = np.add.reduceat(rows[:, 4], head)
-            return out
-
-        for i, j in select(starts, lengths, labels, weights):
+        for i, j in select(starts, counts, labels, weights):
             fit = (np.minimum(sizes[i], sizes[j]) * den >= np.maximum(sizes[i], sizes[j]) * num) & (classes[i] != classes[j])
             i, j = i[fit], j[fit]
             swap = classes[i] > classes[j]
             i, j = np.where(swap, j, i), np.where(swap, i, j)
-            found.append(np.column_stack([classes[i], classes[j], sizes[i], sizes[j], np.ones(len(i), np.int64)]))
+            found.append(np.column_stack([classes[i], classes[j], sizes[i], sizes[j], lengths[i], np.ones(len(i), np.int64)]))
             held += len(i)
             if held > 4_000_000:
-                found = [merged(found)]
+                found = [_merged(found)]
                 held = len(found[0])
-        rows = merged(found)
-        return pa.table([pa.array(rows[:, k]).cast(t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))], ["a", "b", "size_a", "size_b", "common"])
+        rows = _merged(found)
+        if second:
+            # Beyond its prefix a class has ceil(t n) - 1 shingles, so the prefixes of a similar pair share the
+            # rest of the overlap; over all fragments that is due in proportion to the entries a class has there.
+            beyond = -(-np.maximum(rows[:, 2], rows[:, 3]) * num // den) - 1
+            due = -(-(rows[:, 2] + rows[:, 3]) * num // (num + den)) - beyond
+            own, here = np.unique(classes, return_counts=True)
+            rows = rows[rows[:, 5] * rows[:, 4] >= due * here[np.searchsorted(own, rows[:, 0])]]
+        kinds = zip((0, 1, 2, 3, 5), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))
+        return pa.table([pa.array(rows[:, k]).cast(t) for k, t in kinds], ["a", "b", "size_a", "size_b", "common"])
 
     return lists.groupBy("part").applyInArrow(run, _PAIR)
 
@@ -314,15 +371,12 @@ def jaccard_links(spark: SparkSession, docs: DataFrame, sizes: DataFrame, text_c
 
     def checked(lists: DataFrame, second: bool) -> DataFrame:
         pairs = _pairs(lists, num, den, second).groupBy("a", "b", "size_a", "size_b").agg(F.sum("common").alias("common"))
-        if second:  # beyond its prefix a class has ceil(t n) - 1 shingles, and the sum is that of all prefixes
-            beyond = F.ceil(F.greatest("size_a", "size_b") * num / den) - 1
-            pairs = pairs.where((F.col("common") + beyond) * (num + den) >= (F.col("size_a") + F.col("size_b")) * num)
         return written(_overlaps(pairs, classes, num, den), spark, "links")
 
     first = checked(_lists(alone, fragments), False)
     labels = written(components(first, spark), spark, "labels")
     joined = classes.join(labels, F.col("class") == F.col("node"), "left").withColumn("label", F.coalesce("label", "class"))
-    second = checked(_lists(joined, fragments), True)
+    second = checked(_dealt(spark, _open_lists(_lists(joined, fragments)), fragments), True)
     links = first.unionByName(second)
     if not second.isEmpty():
         labels = written(components(links, spark), spark, "labels")
