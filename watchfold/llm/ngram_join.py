@@ -324,6 +324,26 @@ def _pairs(lists: DataFrame, num: int, den: int, second: bool) -> DataFrame:
     return lists.groupBy("part").applyInArrow(run, _PAIR)
 
 
+def _common(batches):
+    """Counts the keys that x and y of each pair share."""
+    for batch in batches:
+        lap = [
+            len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())
+        ]
+        yield pa.record_batch([*(batch.column(c) for c in ("a", "b", "size_a", "size_b")), pa.array(lap, pa.int64())], ["a", "b", "size_a", "size_b", "common"])
+
+
+def _due(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose whole prefixes share what a similar pair's must: a class has ceil(t n) - 1 shingles beyond its own."""
+
+    left = classes.select(F.col("class").alias("a"), F.col("prefix").alias("x"))
+    right = classes.select(F.col("class").alias("b"), F.col("prefix").alias("y"))
+    met = pairs.select("a", "b", "size_a", "size_b").join(left, "a").join(right, "b").select("a", "b", "size_a", "size_b", "x", "y")
+    beyond = F.ceil(F.greatest("size_a", "size_b") * num / den) - 1
+    return met.mapInArrow(_common, _PAIR).where((F.col("common") + beyond) * (num + den) >= (F.col("size_a") + F.col("size_b")) * num)
+
+
 def _overlaps(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs whose exact overlap reaches the threshold: overlaps per part of the order, summed per pair."""
 
@@ -339,20 +359,12 @@ def _overlaps(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataF
                     rows["segment"].append(keys[part == p].tobytes())
             yield pa.record_batch([pa.array(rows["class"], pa.int64()), pa.array(rows["part"], pa.int32()), pa.array(rows["segment"], pa.binary())], list(rows))
 
-    def count(batches):
-        for batch in batches:
-            lap = [
-                len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())
-            ]
-            yield pa.record_batch([*(batch.column(c) for c in ("a", "b", "size_a", "size_b")), pa.array(lap, pa.int64())], ["a", "b", "size_a", "size_b", "common"])
-
     segments = classes.select("class", "shared").mapInArrow(cut, "class bigint, part int, segment binary")
     dealt = pairs.select("a", "b", "size_a", "size_b", F.explode(F.array(*map(F.lit, range(PARTS)))).alias("part"))
     left = segments.select(F.col("class").alias("a"), "part", F.col("segment").alias("x"))
     right = segments.select(F.col("class").alias("b"), "part", F.col("segment").alias("y"))
     both = dealt.join(left, ["a", "part"]).join(right, ["b", "part"]).select("a", "b", "size_a", "size_b", "x", "y")
-    total = both.mapInArrow(count, _PAIR).groupBy("a", "b", "size_a", "size_b").agg(F.sum("common").alias("common"))
+    total = both.mapInArrow(_common, _PAIR).groupBy("a", "b", "size_a", "size_b").agg(F.sum("common").alias("common"))
     return total.where(F.col("common") * den >= (F.col("size_a") + F.col("size_b") - F.col("common")) * num)
 
 
@@ -371,6 +383,8 @@ def jaccard_links(spark: SparkSession, docs: DataFrame, sizes: DataFrame, text_c
 
     def checked(lists: DataFrame, second: bool) -> DataFrame:
         pairs = _pairs(lists, num, den, second).groupBy("a", "b", "size_a", "size_b").agg(F.sum("common").alias("common"))
+        if second:
+            pairs = written(_due(pairs, classes, num, den), spark, "due")
         return written(_overlaps(pairs, classes, num, den), spark, "links")
 
     first = checked(_lists(alone, fragments), False)
