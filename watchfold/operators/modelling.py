@@ -87,13 +87,16 @@ def raw_scores(model: PipelineModel, df: DataFrame, features: Sequence[str], out
     return scored.select(*df.columns, out)
 
 
-def fit_calibrator(df: DataFrame, raw: str, label: str) -> IsotonicRegressionModel:
-    """Isotonic regression of the label on the score.
+CALIBRATION_DIGITS = 4  # scores are rounded to so many digits, so a fit has at most 10,001 points
 
-    Rows of equal score are one weighted point, so the fit sees the distinct
-    scores only, combined before any shuffle.
+
+def fit_calibrator(df: DataFrame, raw: str, label: str, digits: int = CALIBRATION_DIGITS) -> IsotonicRegressionModel:
+    """Isotonic regression of the label on the score (a probability).
+
+    Rows of equal rounded score are one weighted point, combined before any shuffle; the
+    fit gathers its points on the driver, of which there are at most ``10**digits + 1``.
     """
-    points = df.groupBy(F.col(raw).alias("x")).agg(
+    points = df.groupBy(F.round(raw, digits).alias("x")).agg(
         F.avg(F.col(label).cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("weight")
     )
     return IsotonicRegression(featuresCol="x", labelCol="label", weightCol="weight", predictionCol="__cal").fit(points)
