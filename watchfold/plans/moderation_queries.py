@@ -197,7 +197,9 @@ def pushed(t):
         attachment.alias("attachment"),
     )
     body = F.to_json(F.struct(message.alias("message")))
-    broken = F.when(F.col("turn") % 5 == 4, F.substring(body, F.lit(1), F.length(body) - 7)).otherwise(body)
+    # cut short, or a good body with more text behind it
+    cut = F.when(F.col("conv_id") % 2 == 0, F.substring(body, F.lit(1), F.length(body) - 7)).otherwise(F.concat(body, F.lit(' {"x": 1}')))
+    broken = F.when(F.col("turn") % 5 == 4, cut).otherwise(body)
     kind = F.when(F.col("role") == "system", "google.workspace.chat.message.v1.deleted").otherwise(
         "google.workspace.chat.message.v1.created"
     )
