@@ -55,7 +55,7 @@ def test_combine(spark, text, image, final):
 def test_parse_verdict(spark, raw, verdict, rationale):
     row = M.parse_verdict(spark.createDataFrame([(raw,)], "raw STRING"), "raw").first()
     assert row.verdict == verdict
-    assert row.rationale == rationale if rationale is not None else row.rationale.startswith("[parse error")
+    assert row.rationale == rationale if rationale is not None else row.rationale.startswith("unreadable")
 
 
 def test_bands_and_severity(spark):
@@ -240,7 +240,7 @@ def test_digest_keeps_every_line(spark):
     big = [r for r in got if r.email == "big@x.y"]
     assert len(big) == 5 and sum(r.item_list.count("http://") for r in big) == 500
     small = [r for r in got if r.email == "a.b@x.y"]
-    assert [(r.item_list, r.display_name) for r in small] == [("  • http://z [removal failed]\n    http://z", "A B")]
+    assert [(r.item_list, r.display_name) for r in small] == [("- http://z (not removed)\n  http://z", "A B")]
     assert rest.count() == 1
 
 

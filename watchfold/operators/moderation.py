@@ -230,7 +230,7 @@ def parse_verdict(df: DataFrame, raw: str) -> DataFrame:
     verdict = F.when(whole & F.col("__d.__bad").isNull(), F.upper("__d.verdict"))
     ok = F.coalesce(verdict.isin("TRUE_POSITIVE", "FALSE_POSITIVE"), F.lit(False))
     note = F.concat(
-        F.lit("[parse error — defaulting to TRUE_POSITIVE] raw="), F.substring(F.coalesce(F.col(raw), F.lit("")), 1, 100)
+        F.lit("unreadable answer: "), F.substring(F.coalesce(F.col(raw), F.lit("")), 1, 100)
     )
     return df.withColumn("__d", doc).withColumns(
         {
@@ -397,7 +397,7 @@ def open_cases(decided: DataFrame, opened_at: str) -> DataFrame:
             F.lit("MOD-"), F.date_format(opened_at, "yyyyMMdd"), F.lit("-"), F.upper(F.substring("case_id", 1, 8))
         ).alias("case_code"),
         F.concat(
-            F.lit("["), F.upper("final_action"), F.lit("] Content moderation — "), F.col("space_name")
+            F.lit("Message in "), F.col("space_name"), F.lit(": "), F.col("final_action")
         ).alias("title"),
         F.col("sender_email").alias("subject_ref"),
         F.col(opened_at).alias("opened_at_utc"),
@@ -406,8 +406,7 @@ def open_cases(decided: DataFrame, opened_at: str) -> DataFrame:
         score.alias("confidence_score"),
         L.confidence_band(score).alias("confidence_band"),
         F.concat(
-            F.lit("Auto-created by content moderation pipeline. Message: "), F.col("message_name"),
-            F.lit(". Action: "), F.col("final_action"), F.lit("."),
+            F.lit("message="), F.col("message_name"), F.lit(" action="), F.col("final_action"),
         ).alias("notes"),
         F.nullif(F.col("sender_email"), F.lit("")).alias("sender_email"),
     )

@@ -129,7 +129,7 @@ def removal_outcome(matches: DataFrame, removed: DataFrame, on: Sequence[str], d
     gone = removed.select(*on).distinct().withColumn("__gone", F.lit(True))
     done = F.col("__gone").isNotNull()
     home = F.col("item_type") == "homepage"
-    reason = F.when(home, "Homepage URL changed before removal").otherwise("URL not found in file during removal")
+    reason = F.when(home, "homepage is another by now").otherwise("no such bookmark any more")
     return matches.join(gone, list(on), "left").withColumns(
         {"action_taken": F.when(done, "removed").otherwise("failed"), "action_error": F.when(~done, reason)}
     ).drop("__gone")
@@ -155,7 +155,7 @@ def assign_daily_case(violations: DataFrame, cases: DataFrame, host: str, day: s
     created = resolved.where(F.col("__known").isNull()).select(
         "case_id",
         "case_code",
-        F.concat(F.lit("Sensitive URLs detected on "), F.col(f"w.{host}")).alias("title"),
+        F.concat(F.lit("Listed URLs on "), F.col(f"w.{host}")).alias("title"),
         F.col(f"w.{user}").alias("subject_ref"),
         F.lit("low").alias("severity"),
     )
@@ -164,8 +164,8 @@ def assign_daily_case(violations: DataFrame, cases: DataFrame, host: str, day: s
 
 def digest_line(title: str = "title", url: str = "url", action: str = "action_taken") -> Column:
     """How one outcome reads in a recipient's notice."""
-    failed = F.when(F.col(action) == "removed", "").otherwise(" [removal failed]")
-    return F.concat(F.lit("  • "), F.coalesce(title, url), failed, F.lit("\n    "), F.col(url))
+    failed = F.when(F.col(action) == "removed", "").otherwise(" (not removed)")
+    return F.concat(F.lit("- "), F.coalesce(title, url), failed, F.lit("\n  "), F.col(url))
 
 
 def notification_digest(outcomes: DataFrame, email: str, per_notice: int = 200) -> tuple[DataFrame, DataFrame]:

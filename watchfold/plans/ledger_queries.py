@@ -38,8 +38,8 @@ def e2(spark, sf):
     return E.manifest_digest(m, fields).select("doc_id", "manifest_sha256")
 
 
-_BREAKS = ["artefact_id is not a UUID", "collection_method invalid", "query empty or too long", "collected_at_utc not ISO-8601",
-           "collected_at_utc not UTC", "sha256 not 64-hex-char lowercase", "s3_uri not s3://", "manifest_version mismatch"]
+_BREAKS = ["artefact_id:uuid", "collection_method:known", "query:length", "collected_at_utc:iso",
+           "collected_at_utc:utc", "sha256:hex", "s3_uri:scheme", "manifest_version:current"]
 
 
 def manifests(t):
@@ -183,8 +183,8 @@ VERIFY_SQL = REPLAY_SQL + """, docs AS (SELECT doc_id, text, CASE WHEN doc_id %
     f"""WITH RECURSIVE {VERIFY_SQL} SELECT 'conv-' || doc_id AS artefact_id,
         CASE WHEN NOT known THEN 'lookup_evidence_items=false' WHEN NOT present THEN 'lookup_evidence_items=true get_artefact=false'
           ELSE 'lookup_evidence_items=true rehash_artefact=' || rehash || ' verify_manifest_signature=' || signed || ' manifest_vs_rehash=' || agrees || ' replay_custody_chain=' || chained END AS steps,
-        CASE WHEN NOT known THEN 'unknown artefact' WHEN NOT present THEN 'artefact download failed' WHEN NOT agrees THEN 'manifest sha256 differs from recomputed sha256'
-          WHEN NOT signed THEN 'manifest signature invalid' WHEN NOT rehash THEN 'artefact bytes do not match recorded hash' WHEN NOT chained THEN 'custody chain broken' END AS error,
+        CASE WHEN NOT known THEN 'item:missing' WHEN NOT present THEN 'blob:missing' WHEN NOT agrees THEN 'manifest:differs'
+          WHEN NOT signed THEN 'manifest:unsigned' WHEN NOT rehash THEN 'blob:differs' WHEN NOT chained THEN 'chain:broken' END AS error,
         error IS NULL AS ok FROM v""",
 )
 def e7(spark, sf):

@@ -113,7 +113,7 @@ RAW_SQL = """raw AS (SELECT doc_id, CASE WHEN doc_id % 9 = 3 THEN 'no json at al
     WHEN doc_id % 9 = 7 THEN '{"verdict": "FALSE_POSITIVE"}}' WHEN doc_id % 9 = 8 THEN '{"verdict": "FALSE_POSITIVE"}, {}'
     ELSE '{"verdict": "' || CASE WHEN toxic = 1 THEN 'TRUE_POSITIVE' ELSE 'FALSE_POSITIVE' END || '", "rationale": "why ' || doc_id || '"}' END AS raw FROM labels),
   parsed AS (SELECT doc_id, raw, CASE WHEN doc_id % 9 IN (3, 4, 6, 7, 8) THEN 'TRUE_POSITIVE' ELSE upper(json_extract_string(CASE WHEN json_valid(raw) THEN raw END, '$.verdict')) END AS verdict,
-    CASE WHEN doc_id % 9 IN (3, 4, 6, 7, 8) THEN '[parse error — defaulting to TRUE_POSITIVE] raw=' || raw[1:100]
+    CASE WHEN doc_id % 9 IN (3, 4, 6, 7, 8) THEN 'unreadable answer: ' || raw[1:100]
          ELSE coalesce(json_extract_string(CASE WHEN json_valid(raw) THEN raw END, '$.rationale'), '') END AS rationale FROM raw)"""
 
 
@@ -362,10 +362,10 @@ def d15(spark, sf):
 
 
 _CASES_SQL = """cases AS (SELECT case_id, 'MOD-' || strftime(received_at, '%Y%m%d') || '-' || upper(case_id[1:8]) AS case_code,
-    '[' || upper(final_action) || '] Content moderation — ' || space_name AS title, sender_email AS subject_ref, 'open' AS disposition,
+    'Message in ' || space_name || ': ' || final_action AS title, sender_email AS subject_ref, 'open' AS disposition,
     CASE final_action WHEN 'block' THEN 'high' ELSE 'medium' END AS severity, CASE final_action WHEN 'block' THEN 80 ELSE 55 END AS confidence_score,
     CASE final_action WHEN 'block' THEN 'strong' ELSE 'mixed' END AS confidence_band,
-    'Auto-created by content moderation pipeline. Message: ' || message_name || '. Action: ' || final_action || '.' AS notes, sender_email
+    'message=' || message_name || ' action=' || final_action AS notes, sender_email
     FROM cased WHERE final_action <> 'pass')"""
 
 

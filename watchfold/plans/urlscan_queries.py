@@ -106,7 +106,7 @@ MATCHES_SQL = LEAVES_SQL + f", {HOMES_SQL}" + f""", matches AS (
    UNION ALL SELECT page_id, url, title, pattern_name, item_type, email FROM homes WHERE lower(email) LIKE '%@corp.example'),
   found AS (SELECT 'host' || (page_id % 10) AS hostname, 'os' || page_id AS os_username, 'Profile ' || page_id AS profile_dir, email AS chrome_email, url, title, item_type, pattern_name FROM matches),
   outcomes AS (SELECT *, CASE WHEN length(url) % 7 <> 0 THEN 'removed' ELSE 'failed' END AS action_taken,
-     CASE WHEN length(url) % 7 = 0 THEN CASE item_type WHEN 'homepage' THEN 'Homepage URL changed before removal' ELSE 'URL not found in file during removal' END END AS action_error FROM found)"""
+     CASE WHEN length(url) % 7 = 0 THEN CASE item_type WHEN 'homepage' THEN 'homepage is another by now' ELSE 'no such bookmark any more' END END AS action_error FROM found)"""
 
 
 def found(t):
@@ -198,14 +198,14 @@ def c8(spark, sf):
 
 @query(
     "c8_new_daily_cases",
-    f"""WITH {_CASE_SQL} SELECT case_id, case_code, 'Sensitive URLs detected on ' || hostname AS title, os_username AS subject_ref, 'low' AS severity
+    f"""WITH {_CASE_SQL} SELECT case_id, case_code, 'Listed URLs on ' || hostname AS title, os_username AS subject_ref, 'low' AS severity
         FROM res WHERE known IS NULL""",
 )
 def c8_new(spark, sf):
     return _daily(Tables(spark, sf))[1]
 
 
-_DIGEST_SQL = MATCHES_SQL + """, lines AS (SELECT chrome_email, '  • ' || coalesce(title, url) || CASE action_taken WHEN 'removed' THEN '' ELSE ' [removal failed]' END || E'\\n    ' || url AS line,
+_DIGEST_SQL = MATCHES_SQL + """, lines AS (SELECT chrome_email, '- ' || coalesce(title, url) || CASE action_taken WHEN 'removed' THEN '' ELSE ' (not removed)' END || E'\\n  ' || url AS line,
      count(*) OVER (PARTITION BY chrome_email) AS count FROM outcomes),
   parts AS (SELECT *, CAST(ceil(count / 4) AS BIGINT) AS parts, CAST((row_number() OVER (PARTITION BY chrome_email ORDER BY sha256('0:' || line)) - 1) // 4 + 1 AS BIGINT) AS part FROM lines)"""
 

@@ -1,13 +1,4 @@
-"""Schemas of the tables and records."""
-
-from __future__ import annotations
-
-from pyspark.sql.types import StructType
-
-
-def ddl(text: str) -> StructType:
-    return StructType.fromDDL(text)
-
+"""Schema of a pushed chat message."""
 
 MESSAGE = (
     "name STRING, createTime STRING, "
@@ -16,54 +7,3 @@ MESSAGE = (
     "attachment ARRAY<STRUCT<name: STRING, contentType: STRING, attachmentDataRef: STRUCT<resourceName: STRING>>>, "
     "_space_members ARRAY<STRUCT<email: STRING, displayName: STRING, type: STRING>>"
 )
-ENVELOPE = (
-    "source_system STRING, event_id STRING, occurred_at_utc TIMESTAMP, original_timezone STRING, "
-    "raw_json STRING, collected_at_utc TIMESTAMP, sha256 STRING"
-)
-PROFILES = (
-    "hostname STRING, os_username STRING, profile_dir STRING, bookmarks_json STRING, preferences_json STRING"
-)
-CASES = (
-    "case_id STRING, case_code STRING, title STRING, subject_ref STRING, opened_at_utc TIMESTAMP, "
-    "closed_at_utc TIMESTAMP, disposition STRING, severity STRING, confidence_score SMALLINT, "
-    "confidence_band STRING, notes STRING, sender_email STRING"
-)
-FINDINGS = (
-    "finding_id STRING, case_id STRING, title STRING, description STRING, mitre_ttps ARRAY<STRING>, "
-    "severity STRING, confidence_score SMALLINT, confidence_band STRING, disposition STRING, "
-    "single_source BOOLEAN, created_at_utc TIMESTAMP, updated_at_utc TIMESTAMP"
-)
-EVIDENCE_ITEMS = (
-    "artefact_id STRING, case_id STRING, source_system STRING, collection_method STRING, query STRING, "
-    "collector_principal STRING, collected_at_utc TIMESTAMP, original_tz STRING, bytes BIGINT, sha256 STRING, "
-    "mime_type STRING, s3_uri STRING, pii_tags ARRAY<STRING>, retention_class STRING, manifest_uri STRING, "
-    "signing_key_id STRING, manifest_version INT"
-)
-CUSTODY = (
-    "event_id STRING, artefact_id STRING, event_type STRING, actor STRING, actor_ip STRING, host STRING, "
-    "purpose STRING, event_time_utc STRING, prev_event_hash STRING, this_event_hash STRING"
-)
-AUDIT = (
-    "audit_id STRING, event_time_utc TIMESTAMP, actor STRING, action STRING, target STRING, outcome STRING, details STRING"
-)
-PIPELINE_RUNS = (
-    "run_id STRING, pipeline_run_id STRING, stage STRING, status STRING, started_at_utc TIMESTAMP, "
-    "completed_at_utc TIMESTAMP, watermark_start TIMESTAMP, watermark_end TIMESTAMP, records_in BIGINT, "
-    "records_out BIGINT, config_hash STRING, error_message STRING"
-)
-PIPELINE_ERRORS = (
-    "error_id STRING, run_id STRING, stage STRING, attempt INT, error_class STRING, error_message STRING, payload_sha256 STRING"
-)
-ENTITY_HITS = (
-    "event_id STRING, source_system STRING, entity_type STRING, entity_id STRING, is_privileged BOOLEAN, "
-    "is_asset_critical BOOLEAN, matched_at_utc TIMESTAMP"
-)
-VIOLATIONS = (
-    "violation_id STRING, detected_at_utc TIMESTAMP, hostname STRING, os_username STRING, chrome_profile STRING, "
-    "chrome_email STRING, url STRING, title STRING, item_type STRING, pattern_name STRING, action_taken STRING, "
-    "action_error STRING, notified_at_utc TIMESTAMP, evidence_artefact_id STRING"
-)
-TRANSACTIONS = (
-    "TransactionID BIGINT, isFraud INT, TransactionDT BIGINT, TransactionAmt DOUBLE, ProductCD STRING, card1 BIGINT, "
-    "dist1 DOUBLE, P_emaildomain STRING, R_emaildomain STRING, D1 DOUBLE"
-)
