@@ -165,6 +165,15 @@ def e6(spark, sf):
     return E.replay_chain(altered(Tables(spark, sf)))
 
 
+@query(
+    "e6_signature_break",
+    f"""WITH RECURSIVE {REPLAY_SQL} SELECT event_id, CASE WHEN kind IS NULL AND substr(sha256(event_id), 1, 1) = '0' THEN 'signature' ELSE kind END AS break_kind FROM kinds""",
+)
+def e6_signed(spark, sf):
+    good = F.substring(F.sha2("event_id", 256), 1, 1) != "0"
+    return E.check_chain(altered(Tables(spark, sf)).withColumn("signature_ok", good), signed="signature_ok").select("event_id", "break_kind")
+
+
 @query("e6_check_chain", f"WITH RECURSIVE {REPLAY_SQL} SELECT event_id, kind AS break_kind FROM kinds")
 def e6_events(spark, sf):
     return E.check_chain(altered(Tables(spark, sf))).select("event_id", "break_kind")
