@@ -128,6 +128,35 @@ def finding_links(findings: DataFrame, events: DataFrame, key: str, ts: str, win
     ).distinct()
 
 
+def detection_run(
+    events: DataFrame, rule: str, where: Column, key: str, ts: str, window: str, n: int, entities: DataFrame, sources: Sequence[str],
+    known: DataFrame | None = None, allow: DataFrame | None = None, source: str = "source_system",
+) -> tuple[DataFrame, DataFrame]:
+    """(new findings, their evidence links) of one rule over a batch of events.
+
+    A key with more than ``n`` selected events in a window is a finding; it is corroborated if the window also holds events of
+    the key from a listed source that the rule did not select.  ``entities`` (key, is_privileged, is_asset_critical) adds to
+    its confidence.  Findings whose id ``known`` has are left out.  ``events`` needs artefact_id and the source column.
+    """
+    hot = threshold_rule(events, where, key, ts, window, n, allow)
+    other = events.where(F.col(source).isin(*sources) & ~F.coalesce(where, F.lit(False)))
+    seen = other.groupBy(key, F.window(ts, window)["start"].alias("window_start")).agg(F.count(F.lit(1)).alias("matches"))
+    about = entities.groupBy(key).agg(F.max("is_privileged").alias("is_privileged"), F.max("is_asset_critical").alias("is_asset_critical"))
+    found = hot.join(seen, [key, "window_start"], "left").join(about, key, "left").withColumns(
+        {
+            "rule": F.lit(rule),
+            "matches": F.coalesce("matches", F.lit(0).cast("bigint")),
+            "is_privileged": F.coalesce("is_privileged", F.lit(False)),
+            "is_asset_critical": F.coalesce("is_asset_critical", F.lit(False)),
+            "finding_id": finding_id(F.lit(rule), F.unix_micros(F.col("window_start").cast("timestamp")).cast("string"), F.col(key).cast("string")),
+        }
+    )
+    scored = confidence(found.withColumn("single_source", F.col("matches") == 0)).drop("terms")
+    if known is not None:
+        scored = scored.join(known.select("finding_id").distinct(), "finding_id", "left_anti")
+    return scored, finding_links(scored, events.where(where), key, ts, window)
+
+
 def rule_precision(findings: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
     """Per rule: true and false positives closed in the trailing days, and their ratio."""
     recent = findings.where(

@@ -132,3 +132,21 @@ def apply_codes(df: DataFrame, codes: DataFrame, col: str, code: str = "code") -
 def select_by_id(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows whose id is listed, with the list's other columns (such as its position)."""
     return df.join(ids, key)
+
+
+def fraud_features(
+    tx: DataFrame, identity: DataFrame, key: str, witness: str, account: str, micros: str, amount: str, windows: Mapping[str, int],
+    distance: str, age: str, product: str, device: str, coded: Sequence[str] = (), express: str = "S", new_days: float = 7, high: float = 500,
+) -> DataFrame:
+    """The whole feature run: identity, imputed distance, account age, linkage, codes, and velocity.
+
+    What depends on a row or on value counts comes first, so that it is counted on the
+    transactions themselves; the windows are built once, at the end.  Code columns are ``<column>_code``.
+    """
+    out = join_identity(tx, identity, key, witness)
+    out = impute_median(out, distance)
+    out = interactions(out, age, amount, product, express, new_days, high)
+    out = linkage_count(counter_totals(out), device, "device_linkage_count")
+    for c in coded:
+        out = apply_codes(out, fit_codes(tx, c, f"{c}_code"), c, f"{c}_code")
+    return velocity(out, account, micros, amount, windows)

@@ -355,3 +355,38 @@ def g3(spark, sf):
 @query("g5_lookup_counts", f"WITH {LOOK_SQL} SELECT (SELECT count(*) FROM v) AS violations, (SELECT count(*) FROM h) AS entity_hits")
 def g5(spark, sf):
     return G.lookup_counts(*_lookup(Tables(spark, sf)))
+
+
+_RUN_SQL = EVENTS_SQL + """, sel AS (SELECT user_id, time_bucket(INTERVAL 6 HOUR, ts) AS w, event_type, event_id FROM ev),
+  hot AS (SELECT user_id, w, count(*) AS n FROM sel WHERE event_type = 'click' GROUP BY 1, 2 HAVING count(*) > 1),
+  seen AS (SELECT user_id, w, count(*) AS matches FROM sel WHERE event_type IN ('error', 'purchase') GROUP BY 1, 2),
+  fnd AS (SELECT h.*, coalesce(matches, 0) AS matches, coalesce(c_nationkey < 5, false) AS is_privileged,
+     sha256('clicks' || CAST(epoch_us(w) AS VARCHAR) || CAST(h.user_id AS VARCHAR)) AS finding_id FROM hot h LEFT JOIN seen USING (user_id, w) LEFT JOIN customer ON c_custkey = h.user_id),
+  fresh AS (SELECT * FROM fnd WHERE user_id % 6 <> 0)"""
+
+
+def _detection_run(spark, sf):
+    t = Tables(spark, sf)
+    ev = t.events.withColumns({"source_system": F.col("event_type"), "artefact_id": F.concat(F.lit("e"), F.col("event_id").cast("string"))})
+    entities = t.customer.select(F.col("c_custkey").alias("user_id"), (F.col("c_nationkey") < 5).alias("is_privileged"), F.lit(False).alias("is_asset_critical"))
+    args = ("clicks", F.col("event_type") == "click", "user_id", "ts", "6 hours", 1, entities, ["error", "purchase"])
+    known, _ = D.detection_run(ev.where(F.col("user_id") % 6 == 0), *args)
+    return D.detection_run(ev, *args, known=known)
+
+
+@query(
+    "f_detection_findings",
+    f"""WITH {_RUN_SQL}, s AS (SELECT *, 55 + CASE WHEN matches = 0 THEN -10 ELSE 30 END + CASE WHEN is_privileged THEN 10 ELSE 0 END AS score FROM fresh)
+      SELECT finding_id, user_id, n, matches, matches = 0 AS single_source, is_privileged, CAST(score AS INTEGER) AS confidence_score,
+        CASE WHEN score <= 39 THEN 'weak' WHEN score <= 69 THEN 'mixed' WHEN score <= 89 THEN 'strong' ELSE 'multi_source' END AS confidence_band FROM s""",
+)
+def f_findings(spark, sf):
+    """A rule over the events, corroborated, scored; findings of an earlier run left out."""
+    return _detection_run(spark, sf)[0].select(
+        "finding_id", "user_id", "n", "matches", "single_source", "is_privileged", "confidence_score", "confidence_band"
+    )
+
+
+@query("f_detection_links", f"WITH {_RUN_SQL} SELECT finding_id, 'e' || event_id AS artefact_id FROM fresh JOIN sel USING (user_id, w) WHERE event_type = 'click'")
+def f_links(spark, sf):
+    return _detection_run(spark, sf)[1]

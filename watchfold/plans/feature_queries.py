@@ -186,3 +186,27 @@ def i11(spark, sf):
     errors = ev.where(F.col("event_type") == "error").select(key.alias("o"), F.lit(1).alias("n"))
     ids = prefix_sum(errors, "o", ["n"]).select(F.col("o.event_id").alias("event_id"), F.col("cum_n").alias("pos"))
     return X.select_by_id(ev.drop("event_type"), ids, "event_id")
+
+
+@query(
+    "i_fraud_features",
+    f"""WITH {VELOCITY_SQL}, tx AS (SELECT *, CASE WHEN event_id % 3 <> 0 THEN value END AS dist0, CASE WHEN k % 5 <> 0 THEN k END AS age FROM vel),
+      med AS (SELECT quantile_cont(dist0, 0.5) AS m FROM tx), codes AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS code FROM (SELECT DISTINCT event_type FROM ev))
+    SELECT event_id, CAST(c_custkey IS NOT NULL AS INTEGER) AS has_identity, c_mktsegment AS segment, coalesce(dist0, m) AS dist, CAST(dist0 IS NULL AS INTEGER) AS dist_missing,
+      CAST(coalesce(age, 999) < 20 AS INTEGER) AS new_acct_flag, CAST(coalesce(age, 999) < 20 AND value > 50 AND event_type = 'purchase' AS INTEGER) AS new_acct_highval_express,
+      CAST(least(coalesce(age, 999), 365) AS DOUBLE) AS addr_age_days, count(*) OVER (PARTITION BY k) AS device_linkage_count, CAST(code AS INTEGER) AS event_type_code,
+      velocity_count_1h, round(velocity_value_1h, 4) AS velocity_value_1h, velocity_count_24h, round(velocity_value_24h, 4) AS velocity_value_24h
+    FROM tx CROSS JOIN med JOIN codes USING (event_type) LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 4 <> 0) c ON c_custkey = user_id""",
+)
+def i_run(spark, sf):
+    """All features of a transaction in one run."""
+    t = Tables(spark, sf)
+    tx = t.events.withColumns(
+        {"dist": F.when(F.col("event_id") % 3 != 0, F.col("value")), "age": F.when(F.col("k") % 5 != 0, F.col("k"))}
+    ).select("event_id", "user_id", "us", "value", "k", "event_type", "dist", "age")
+    identity = t.customer.where(F.col("c_custkey") % 4 != 0).select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("segment"))
+    out = X.fraud_features(
+        tx, identity, "user_id", "segment", "user_id", "us", "value", WINDOWS, "dist", "age", "event_type", "k", ["event_type"], "purchase", 20, 50
+    )
+    rounded = {c: F.round(c, 4) for c in ("velocity_value_1h", "velocity_value_24h")}
+    return out.withColumns(rounded).drop("user_id", "us", "value", "k", "event_type", "age")
