@@ -28,7 +28,9 @@ VELOCITY_SQL = EVENTS_SQL + """, vel AS (
         FROM linked WHERE velocity_count_24h >= 3 GROUP BY user_id ORDER BY sum(value) DESC, user_id LIMIT 20""",
 )
 def flagship(spark, sf):
-    linked = X.linkage_count(velocity_frame(spark, sf), "k", "device_linkage_count")
+    # devices are counted on the events themselves, so that the windows are built once
+    counted = X.linkage_count(Tables(spark, sf).events, "k", "device_linkage_count")
+    linked = X.velocity(counted, "user_id", "us", "value", WINDOWS)
     per_user = (
         linked.where(F.col("velocity_count_24h") >= 3)
         .groupBy("user_id")
