@@ -230,7 +230,7 @@ def test_url_rules_against_every_rule(spark):
     hosts = ["com", "a.com", "b.a.com", "xa.com", "org", "x.org", "A.Com:80"]
     rules = list({(rng.choice(hosts[:6]), "/" + "".join(rng.choice("ab/") for _ in range(rng.randrange(4))), rng.choice(("allow", "block"))) for _ in range(60)})
     urls = [f"h://{rng.choice(hosts)}/{''.join(rng.choice('ab/?#') for _ in range(rng.randrange(7)))}" for _ in range(300)]
-    urls += [None, "", "no scheme", "x://", "http://a.com", "http://a.com?/b", "//a.com/", "a://b://a.com/ab"]
+    urls += [None, "", "no scheme", "x://", "http://a.com", "http://a.com?/b", "//a.com/", "a://b://a.com/ab", "x" * 100_000, "h://" + "a." * 5_000 + "com/" + "b" * 50_000]
     verdicts = {}
     for h, p, v in rules:
         verdicts[h, p] = max(v, verdicts.get((h, p), v))

@@ -21,14 +21,21 @@ BLOCK = 50_000  # rules swept at once: the bound of what is sent to tasks
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _after_scheme(url: Column) -> Column:
+    """What follows the first ``://``; empty without one."""
+    url = F.coalesce(url, F.lit(""))
+    at = F.instr(url, "://")
+    return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
+
+
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; empty for null or no ``://``."""
-    return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)\A(?:(?!://).)*://([^/?#]*)", 1), _UPPER, _LOWER)
+    return F.translate(F.regexp_extract(_after_scheme(url), r"\A[^/?#]*", 0), _UPPER, _LOWER)
 
 
 def path_of(url: Column) -> Column:
     """What follows the host, up to ``?``, ``#`` or the end."""
-    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)\A(?:(?!://).)*://[^/?#]*([^?#]*)", 1)
+    return F.regexp_extract(_after_scheme(url), r"\A[^/?#]*([^?#]*)", 1)
 
 
 def reversed_host(host: str) -> str:
