@@ -123,6 +123,21 @@ def test_decontamination_on_hard_texts(spark):
     assert sha[1] == hashlib.sha256(b"1,4").hexdigest() and sha[3] == hashlib.sha256(b"").hexdigest()
 
 
+def test_decontamination_of_repeated_ids(spark):
+    phrase = [f"w{n}" for n in range(13)]
+    tests = spark.createDataFrame([(1, " ".join(phrase)), (2, "lone")], "item_id bigint, text string")
+    dirty = (1, "before " + " ".join(phrase))
+    # w0 is the rarest term, w1 the next: both texts of id 5 have w1 alone at its place.
+    rows = [dirty, dirty, (2, "lone"), (2, "lone"), (5, "a w1 b"), (5, "c w1 d"), (6, " ".join(phrase)), (6, "other words"), (9, " ".join(phrase[2:] * 3))]
+    rows += [(10 + n, "w1") for n in range(2)]
+    docs = documents(spark, rows)
+    got = sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontam.contamination(spark, docs, tests).collect() if r.doc_id < 9)
+    assert got == [
+        (1, 14, 13, 1, True), (1, 14, 13, 1, True), (2, 1, 1, 1, True), (2, 1, 1, 1, True), (5, 3, 0, 0, False), (5, 3, 0, 0, False), (6, 2, 13, 1, True), (6, 13, 13, 1, True),
+    ]
+    assert {r.doc_id for r in decontam.keep_clean(spark, docs, tests).collect()} == {5, 9, 10, 11}
+
+
 def test_proximity(spark):
     tokens = decontam.token_store(spark, documents(spark, [(1, "a x b y c"), (2, "a x x x x b c"), (3, "c b a"), (4, None)]))
     wanted = spark.createDataFrame([("q", "a"), ("q", "b"), ("q", "c")], "query string, term string")

@@ -86,7 +86,7 @@ def phrase_matches(spark: SparkSession, tokens: DataFrame, windows: DataFrame, l
         shifted = lists_of.join(F.broadcast(rare), "term").withColumn("start", F.col("pos") - F.col("offset")).where("start >= 0")
         exact = F.slice("near", F.greatest(F.col("start") - F.col("lo"), F.lit(0)) + 1, F.col("length")) == F.col("phrase")
         shifted = shifted.where(F.col("phrase").isNull() | exact)
-        met = shifted.groupBy("id", "window", "start", "length", "needed").agg(F.count("*").alias("ranks"))  # a rank's term is at a place once
+        met = shifted.groupBy("id", "window", "start", "length", "needed").agg(F.count_distinct("rank").alias("ranks"))  # rows may repeat an id
         part = met.where("ranks = needed").select("id", "start", "length", "window")
         found = part if found is None else found.union(part)
     return written(found, spark, "phrase-matches")
