@@ -359,6 +359,18 @@ def test_toxicity_on_unseen_documents(spark):
     assert toxicity.score(spark, documents(spark, []), field).collect() == []
 
 
+def test_toxicity_scale_does_not_depend_on_the_cap(spark, monkeypatch):
+    docs = documents(spark, [(n, "plain words only") for n in range(600)])
+    labels = spark.createDataFrame([(n, int(n % 6 == 0)) for n in range(600)], "doc_id bigint, toxic int")
+    whole = toxicity.train(spark, docs, labels)
+    for most in (150, 20):  # cuts the clean class; cuts both
+        monkeypatch.setattr(toxicity, "SAMPLE", most)
+        cut = toxicity.train(spark, docs, labels)
+        assert np.allclose(cut.scale, whole.scale, atol=1e-3) and abs(cut.bias - whole.bias) < 0.05
+    known = [int(n % 6 == 0) for n in range(600) if zlib.crc32(str(n).encode()) % 3 != 1]
+    assert abs(1 / (1 + np.exp(-whole.scale[0])) - np.mean(known)) < 0.01
+
+
 # quality
 
 

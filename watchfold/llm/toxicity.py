@@ -96,8 +96,8 @@ def look_up(hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == hashes, at + 1, 0).astype(np.int32)
 
 
-def windows(sample: DataFrame, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(features, labels) of windows around sample tokens with a feature, and around two others of each document."""
+def windows(sample: DataFrame, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, labels, class of the document) of windows around sample tokens with a feature, and around two others of each document."""
     wide = 2 * HALF + 1
 
     def run(batches):
@@ -105,7 +105,7 @@ def windows(sample: DataFrame, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray
             toxic = np.array(batch.column(0).to_pylist(), bool)
             for a, n, _, _, hashes, _, rows in tokens(batch.column(1)):
                 found = look_up(hashes, keys)
-                out, labels = [], []
+                out, labels, classes = [], [], []
                 bounds = np.searchsorted(rows, np.arange(n + 1))
                 for r in range(n):
                     own = found[bounds[r] : bounds[r + 1]]
@@ -118,15 +118,16 @@ def windows(sample: DataFrame, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray
                         piece = padded[m : m + wide]
                         out.append(piece.tobytes())
                         labels.append(((piece > 0).any(1) & toxic[a + r]).tobytes())
-                yield pa.record_batch([pa.array(out, pa.binary()), pa.array(labels, pa.binary())], ["x", "y"])
+                        classes.append(int(toxic[a + r]))
+                yield pa.record_batch([pa.array(out, pa.binary()), pa.array(labels, pa.binary()), pa.array(classes, pa.int32())], ["x", "y", "toxic"])
 
-    got = sample.select("toxic", "text").mapInArrow(run, "x binary, y binary").orderBy(F.xxhash64("x", "y")).limit(WINDOWS).toPandas()
+    got = sample.select("toxic", "text").mapInArrow(run, "x binary, y binary, toxic int").orderBy(F.xxhash64("x", "y"), "toxic").limit(WINDOWS).toPandas()
     x = np.frombuffer(b"".join(got["x"]), np.int32).reshape(-1, wide, 1 + len(HEADS))
-    return x, np.frombuffer(b"".join(got["y"]), bool).reshape(-1, wide)
+    return x, np.frombuffer(b"".join(got["y"]), bool).reshape(-1, wide), got["toxic"].to_numpy(int)
 
 
-def fit(x: np.ndarray, y: np.ndarray, n_features: int, rounds: int = 120, rate: float = 0.1, ridge: float = 1e-4):
-    """(weights, bias, moves): gradient ascent (Adam) on the conditional likelihood of the windows."""
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, n_features: int, rounds: int = 120, rate: float = 0.1, ridge: float = 1e-4):
+    """(weights, bias, moves): gradient ascent (Adam) on the conditional likelihood of the windows, each counted ``weight`` times."""
     real = x[:, :, 0] >= 0
     ids = np.maximum(x, 0)
     theta = np.zeros(n_features + 1 + 1 + 4)  # feature 0 is none; bias; moves
@@ -153,7 +154,7 @@ def fit(x: np.ndarray, y: np.ndarray, n_features: int, rounds: int = 120, rate:
             beta[:, t] = np.where(real[:, t + 1, None] & real[:, t, None], both, beta[:, t + 1] * real[:, t, None])
         total = np.logaddexp(alpha[:, :, 0] + beta[:, :, 0], alpha[:, :, 1] + beta[:, :, 1])
         p1 = np.exp(alpha[:, :, 1] + beta[:, :, 1] - total)
-        error = (y - p1) * real
+        error = (y - p1) * real * weight[:, None]
         slope = np.zeros_like(theta)
         slope[: n_features + 1] = np.bincount(ids.ravel(), np.repeat(error.ravel(), ids.shape[2]), n_features + 1)
         slope[0] = 0
@@ -163,8 +164,8 @@ def fit(x: np.ndarray, y: np.ndarray, n_features: int, rounds: int = 120, rate:
             for j in (0, 1):
                 joint = np.exp(alpha[:, :-1, i] + moves[i, j] + node[:, 1:, j] + beta[:, 1:, j] - total[:, 1:])
                 seen = (y[:, :-1] == i) & (y[:, 1:] == j)
-                slope[-4 + 2 * i + j] = ((seen - joint) * pair).sum()
-        slope = slope / n - ridge * theta
+                slope[-4 + 2 * i + j] = ((seen - joint) * pair * weight[:, None]).sum()
+        slope = slope / weight.sum() - ridge * theta
         mean, var = 0.9 * mean + 0.1 * slope, 0.99 * var + 0.01 * slope**2
         theta += rate * (mean / (1 - 0.9**step)) / (np.sqrt(var / (1 - 0.99**step)) + 1e-6)
     return theta[1 : n_features + 1], float(theta[n_features + 1]), theta[-4:].reshape(2, 2).copy()
@@ -250,14 +251,14 @@ def tag(spark: SparkSession, docs: DataFrame, field: Field, id_col: str = "doc_i
     return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {kind}, {_OUT}")
 
 
-def calibrate(s: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float, ...]:
-    """Logistic regression of labels on summaries, with a small ridge."""
+def calibrate(s: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 100) -> tuple[float, ...]:
+    """Logistic regression of labels on summaries, each counted ``weight`` times, with a small ridge."""
     x = np.column_stack([np.ones(len(s)), s]) if len(s) else np.zeros((0, 4))
     beta = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        bend = (x.T * (p * (1 - p))) @ x + 0.1 * np.eye(x.shape[1])
-        move = np.linalg.solve(bend, x.T @ (y - p) - 0.1 * beta)
+        bend = (x.T * (weight * p * (1 - p))) @ x + 0.1 * np.eye(x.shape[1])
+        move = np.linalg.solve(bend, x.T @ (weight * (y - p)) - 0.1 * beta)
         beta += np.clip(move, -2, 2)
         if np.abs(move).max() < 1e-7:
             break
@@ -267,19 +268,23 @@ def calibrate(s: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float, .
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Field:
     """A field fitted on at most ``SAMPLE`` labelled documents of each class, none of them held out.
 
-    Rows without an id or a label of 0 or 1 are left out; with one class only the field says nothing.
+    A class cut to its sample counts as many times as it has labelled documents, so that the scores' base rate is
+    that of all labels whatever their number.  Rows without an id or a label of 0 or 1 are left out; with one class only the field says nothing.
     """
     known = labels.where(~held_out(F.col(id_col)) & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("i")).agg(F.max(label_col).cast("int").alias("toxic"))
     ordered = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("i"), "i").limit(SAMPLE) for c in (0, 1)]
     ids = written(ordered[0].union(ordered[1]), spark, "sample-ids")  # at most 2 * SAMPLE rows, hence the broadcast
     sample = written(docs.join(F.broadcast(ids), F.col(id_col) == F.col("i")).select("toxic", F.col(text_col).alias("text"), "i"), spark, "sample")
+    # Classes count as in all labels, not as in the sample; without a cut these are ones.
+    n = dict(known.groupBy("toxic").count().collect())
+    share = np.array([max(1.0, n.get(c, 0) / SAMPLE) for c in (0, 1)])
     keys = feature_table(sample)
-    x, y = windows(sample, keys)
-    weights, bias, moves = fit(x, y, len(keys))
+    x, y, own = windows(sample, keys)
+    weights, bias, moves = fit(x, y, share[own], len(keys))
     field = Field(keys, weights, bias, moves, ())
     seen = tag(spark, sample, field, "i", "text").select("id", "s0", "s1", "s2").join(F.broadcast(ids), F.col("id") == F.col("i")).toPandas()
-    return field._replace(scale=calibrate(seen[["s0", "s1", "s2"]].to_numpy(float), seen["toxic"].to_numpy(float)))
+    return field._replace(scale=calibrate(seen[["s0", "s1", "s2"]].to_numpy(float), seen["toxic"].to_numpy(float), share[seen["toxic"].to_numpy(int)]))
 
 
 def score(spark: SparkSession, docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
