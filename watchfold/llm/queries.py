@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from watchfold.llm import chat, decontam, exact_dedup, ngram_join, packing, pii, quality, sharding, toxicity, urlrules
+from watchfold.llm import alignment, chat, decontam, exact_dedup, ngram_join, packing, pii, quality, sharding, toxicity, urlrules
 
 QUERIES = {}
 ORACLES = {}
@@ -143,3 +143,8 @@ def op6(spark, folder):
     docs = table(spark, folder, "documents")
     field = toxicity.train(spark, docs, table(spark, folder, "labels"))
     return toxicity.score(spark, docs, field).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op12_cross_tokenizer_alignment")
+def op12(spark, folder):
+    return alignment.align(spark, table(spark, folder, "documents"))
