@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from watchfold.llm import alignment, chat, decontam, exact_dedup, ngram_join, packing, pii, quality, sharding, toxicity, urlrules
+from watchfold.llm import alignment, chat, decontam, exact_dedup, ngram_join, packing, pii, quality, sharding, spelling, toxicity, urlrules
 
 QUERIES = {}
 ORACLES = {}
@@ -148,3 +148,28 @@ def op6(spark, folder):
 @query("op12_cross_tokenizer_alignment")
 def op12(spark, folder):
     return alignment.align(spark, table(spark, folder, "documents"))
+
+
+@query("op11_spelling_variants", r"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END), i)) AS t),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS w FROM documents),
+seen AS (SELECT doc_id, w, count(*) AS n FROM runs WHERE length(w) >= 7 GROUP BY ALL),
+hashed AS (SELECT w, n, xor(4294967295, list_reduce(list_transform(range(1, length(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT)),
+  lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295)) AS h
+  FROM (SELECT w, n, hex(encode(doc_id || ':' || w)) AS h FROM seen), crc),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cuts AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT a.word AS a, b.word AS b, b.n FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, c.word, c.n FROM words a JOIN cuts c ON c.rest = a.word
+  UNION SELECT c.word, a.word, a.n FROM words a JOIN cuts c ON c.rest = a.word),
+best AS (SELECT a AS word, count(*) AS n_near, first(b ORDER BY n DESC, b) AS b, max(n) AS bn FROM pairs GROUP BY a),
+f AS (SELECT w.word, w.n, CASE WHEN bn >= 10 * w.n THEN b END AS form, coalesce(n_near, 0) AS n_near, CASE WHEN bn >= 10 * w.n THEN bn END AS form_n
+  FROM words w LEFT JOIN best USING (word)),
+walk AS (SELECT word, form AS far FROM f WHERE form IS NOT NULL UNION ALL SELECT w.word, f.form FROM walk w JOIN f ON f.word = w.far WHERE f.form IS NOT NULL),
+last AS (SELECT walk.word, far AS root FROM walk JOIN f ON f.word = far WHERE f.form IS NULL)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM f LEFT JOIN last USING (word)""")
+def op11(spark, folder):
+    return spelling.group_variants(spark, table(spark, folder, "documents"))
