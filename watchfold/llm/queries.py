@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from watchfold.llm import alignment, chat, decontam, exact_dedup, ngram_join, packing, pii, quality, sharding, spelling, toxicity, urlrules
+from watchfold.llm import alignment, chat, decontam, embedding_dedup, exact_dedup, ngram_join, packing, pii, quality, sharding, spelling, toxicity, urlrules
 
 QUERIES = {}
 ORACLES = {}
@@ -173,3 +173,8 @@ last AS (SELECT walk.word, far AS root FROM walk JOIN f ON f.word = far WHERE f.
 SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM f LEFT JOIN last USING (word)""")
 def op11(spark, folder):
     return spelling.group_variants(spark, table(spark, folder, "documents"))
+
+
+@query("op13_embedding_near_dedup")
+def op13(spark, folder):
+    return embedding_dedup.near_copies(spark, table(spark, folder, "embeddings"))
