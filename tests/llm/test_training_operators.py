@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -376,10 +377,9 @@ def test_toxicity_scale_does_not_depend_on_the_cap(spark, monkeypatch):
 
 def brute_kneser_ney(texts):
     """P of every n-gram by the textbook recursion over dictionaries."""
-    table, size = quality.symbol_table(), quality.SYMBOLS
-    counts = {}
+    size, counts = 257, {}
     for t in texts:
-        symbols = (0,) * (quality.ORDER - 1) + tuple(table[list(t.encode())])
+        symbols = (0,) * (quality.ORDER - 1) + tuple(b + 1 for b in t.encode())
         for k in range(len(symbols) - quality.ORDER + 1):
             gram = symbols[k : k + quality.ORDER]
             counts[gram] = counts.get(gram, 0) + 1
@@ -412,15 +412,25 @@ def brute_kneser_ney(texts):
     return p
 
 
-def test_kneser_ney_equals_the_recursion(spark):
-    texts = ["the cat. The mat", "a cat, a hat!", "é 12 tt tt tt", ""]
-    costs = quality.model(spark, quality.gram_counts(documents(spark, list(enumerate(texts)))))
-    p, size = brute_kneser_ney(texts), quality.SYMBOLS
-    rng = random.Random(1)
-    seen = [tuple(int(x) for x in quality.symbol_table()[list(t.encode())][k : k + 4]) for t in texts for k in range(max(0, len(t.encode()) - 3))]
-    for gram in seen + [tuple(rng.randrange(size) for _ in range(4)) for _ in range(50)]:
-        number = sum(s * size**k for k, s in enumerate(reversed(gram)))
-        assert abs(costs[number] / 16 + np.log(p(gram))) <= 1 / 32 + 1e-3
+@pytest.mark.parametrize("block, shard_rows, turn", [(8 << 20, 200_000, 256), (40, 1, 1)])
+def test_kneser_ney_equals_the_recursion(spark, monkeypatch, block, shard_rows, turn):
+    """Perplexities of whole texts, in one block and in many, against dictionaries."""
+    for name, value in (("BLOCK", block), ("SHARD_ROWS", shard_rows), ("TURN", turn)):
+        monkeypatch.setattr(quality, name, value)
+    texts = ["the cat. The mat", "a cat, a hat!", "é 12 tt tt tt", "", "the cat. The mat"]
+    p = brute_kneser_ney(texts)
+    docs = documents(spark, [*enumerate(texts), (8, "xyz the hat " * 30), (8, "漢字"), (9, None), (None, "the mat")])
+    kn = quality.model(spark, quality.gram_counts(docs.where("doc_id < 8")))
+    want = []
+    for r in docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect():
+        symbols = (0,) * (quality.ORDER - 1) + tuple(b + 1 for b in r.text.encode())
+        nats = [-np.log(p(symbols[k : k + quality.ORDER])) for k in range(len(symbols) - quality.ORDER + 1)]
+        want.append((r.doc_id, len(nats), np.mean(nats) if nats else None))
+    got = [(r.id, r.symbols, r.nats) for r in quality.scores(spark, docs, kn).collect()]
+    for rows in (got, want):
+        rows.sort(key=lambda x: (x[0] is None, x[0], x[1]))
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert all(a[2] == b[2] if b[2] is None else abs(a[2] - b[2]) < 1e-3 for a, b in zip(got, want))
 
 
 def test_quality_keeps_good_and_drops_junk(spark):
