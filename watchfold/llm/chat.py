@@ -45,7 +45,7 @@ def paths(spark: SparkSession, tree: DataFrame, conv_col: str = "conv_id") -> Da
     """(conv, leaf, node, up): the messages on each leaf's way to its root, ``up`` steps above the leaf.
 
     ``tree`` has conv, node, parent.  A parent that is missing, or the message itself, makes its
-    child a root.  Messages on a cycle have no root and are on no path.
+    child a root.  Messages on a cycle, or below one, have no root and are on no path.
     """
     nodes = tree.select(F.col(conv_col).alias("conv"), "node", "parent")
     known = nodes.select(F.col("conv").alias("c"), F.col("node").alias("p"))
@@ -56,9 +56,10 @@ def paths(spark: SparkSession, tree: DataFrame, conv_col: str = "conv_id") -> Da
     leaves = jump.join(inner, same, "left_anti").select("conv", F.col("node").alias("leaf"), "node", F.lit(0).cast("bigint").alias("up"))
     total = jump.groupBy("conv").count().agg(F.max("count")).first()[0] or 0
     steps = []
-    while len(steps) < total.bit_length():  # beyond the largest conversation only cycles still point upwards
-        far = jump.where("up is not null")
-        if far.isEmpty():
+    while not (far := jump.where("up is not null")).isEmpty():
+        if len(steps) == total.bit_length():  # beyond the largest conversation only what stands on or below a cycle points upwards
+            stuck = far.select(F.col("conv").alias("c"), F.col("node").alias("n"))
+            leaves = leaves.join(stuck, leaves["conv"].eqNullSafe(stuck["c"]) & (leaves["node"] == stuck["n"]), "left_anti")
             break
         steps.append(far)
         nxt = jump.select(F.col("conv").alias("c"), F.col("node").alias("n"), F.col("up").alias("far"))

@@ -66,11 +66,17 @@ def _emails(text: str):
         at = text.find("@", last)
 
 
+def _is_byte(part: str) -> bool:
+    """Whether digits, with any number of leading zeros, stand for at most 255."""
+    part = part.lstrip("0")
+    return len(part) <= 3 and int(part or "0") <= 255
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the base spans, kind by kind."""
     out = [("email", a, b) for a, b in _emails(text)] if "@" in text else []
     for m in _IP.finditer(text):
-        if all(len(p) < 20 and int(p) <= 255 for p in m[0].split(".")):
+        if all(map(_is_byte, m[0].split("."))):
             out.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
@@ -87,7 +93,7 @@ def broad_spans(text: str) -> list[tuple[str, int, int]]:
     """Candidates of the broader patterns."""
     out = [("email", *m.span()) for m in _SPELT.finditer(text)] if "(at)" in text or "[at]" in text else []
     for m in _IP.finditer(text):
-        if not all(len(p) < 20 and int(p) <= 255 for p in m[0].split(".")):
+        if not all(map(_is_byte, m[0].split("."))):
             out.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")

@@ -238,8 +238,7 @@ def tag(spark: SparkSession, docs: DataFrame, field: Field, id_col: str = "doc_i
                         point = np.append(0, np.cumsum((text & 0xC0) != 0x80))
                         for token, q in zip(own[p >= least].tolist(), p[p >= least].tolist()):
                             a = int(starts[token] - offsets[r])
-                            after = np.flatnonzero(gap[text[a:]][: 1 << 16])
-                            b = a + int(after[0]) if len(after) else len(text)
+                            b = _token_end(text, a, gap)
                             spans.append({"start": int(point[a]), "end": int(point[b]), "p": q})
                     s = summary(p, length)
                     for name, value in zip(columns, (length, *s, spans)):
@@ -251,6 +250,16 @@ def tag(spark: SparkSession, docs: DataFrame, field: Field, id_col: str = "doc_i
     return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {kind}, {_OUT}")
 
 
+def _token_end(text: np.ndarray, at: int, gap: np.ndarray, step: int = 1 << 12) -> int:
+    """The first byte from ``at`` on that is no part of a token, or the text's end."""
+    while at < len(text):
+        after = np.flatnonzero(gap[text[at : at + step]])
+        if len(after):
+            return at + int(after[0])
+        at, step = at + step, 2 * step
+    return len(text)
+
+
 def calibrate(s: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 100) -> tuple[float, ...]:
     """Logistic regression of labels on summaries, each counted ``weight`` times, with a small ridge."""
     x = np.column_stack([np.ones(len(s)), s]) if len(s) else np.zeros((0, 4))
