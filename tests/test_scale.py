@@ -84,6 +84,51 @@ def test_quantiles_equal_numpy(spark):
     assert "none" not in got
 
 
+@pytest.mark.parametrize("kind", ["DOUBLE", "BIGINT", "DECIMAL(38, 2)", "TIMESTAMP"])
+def test_selection_is_exact_on_hot_and_odd_values(spark, kind):
+    """A third of the rows share one value; more rows than the sketch keeps; ranks beside the hot value."""
+    n = 60_000
+    value = F.when(F.col("id") % 3 == 0, F.lit(7_000)).otherwise(F.pmod(F.xxhash64("id"), F.lit(50_000)))
+    group = F.when(F.col("id") % 9 < 8, "hot").otherwise("rest")
+    df = spark.range(0, n, 1, 6).select(group.alias("g"), value.cast("bigint").cast(kind).alias("v"))
+    ps = {f"q{i}": p for i, p in enumerate([0, 0.001, 0.1, 0.25, 1 / 3, 0.4, 0.5, 0.75, 0.9, 0.9999, 1])}
+    number = F.unix_micros("v").alias("v") if kind == "TIMESTAMP" else F.col("v").cast("double").alias("v")
+    rows = df.select("g", number).collect()
+    if kind == "TIMESTAMP":
+        df = df.select("g", F.unix_micros("v").alias("v"))
+    for by in ([], ["g"]):
+        for r in S.exact_quantiles(df, "v", ps, by, groups=5).collect():
+            own = [x.v for x in rows if not by or x.g == r.g]
+            assert [r[c] for c in ps] == pytest.approx(list(np.percentile(own, [100 * p for p in ps.values()])), rel=1e-12)
+
+
+def test_selection_with_not_a_number_and_infinity(spark):
+    odd = [float("nan")] * 3000 + [float("inf")] * 3000 + [float("-inf")] * 3000 + [float(x) for x in range(12_000)]
+    df = frame(spark, [(v,) for v in odd], "v DOUBLE").repartition(5)
+    order = sorted(odd, key=lambda v: (v != v, v if v == v else 0))
+    got = S.exact_quantiles(df, "v", {"a": 0.0, "b": 0.5, "c": 0.9, "d": 1.0}).first()
+    assert got.a == float("-inf") and got.b == (order[10_499] + order[10_500]) / 2
+    assert got.c != got.c and got.d != got.d  # 18,899.1: NaN comes after infinity
+
+
+def test_selection_shuffles_no_raw_values(spark):
+    df = spark.range(0, 200_000, 1, 4).select((F.xxhash64("id") % 10**9).cast("double").alias("v"))
+    cells = S.selection_cells(df, F.col("v"), F.col("v"), [0.25, 0.5])
+    assert cells.count() < 200_000 * 0.004 and cells.agg(F.sum("n")).first()[0] == 200_000
+    with pytest.raises(Exception, match="more than 3 groups"):
+        S.exact_quantiles(df.withColumn("g", F.col("v") % 7), "v", {"q": 0.5}, ["g"], groups=3).collect()
+    assert S.exact_quantiles(df.limit(0), "v", {"q": 0.5}).first().q is None
+
+
+def test_hash_cuts_equal_ranks(spark):
+    df = spark.range(0, 40_000, 1, 5).select("id", F.when(F.col("id") % 97 == 0, "few").when(F.col("id") % 89 != 0, "hot").alias("k"))
+    edges = [0.1, 0.8, 0.95]
+    cut = S.hash_cuts(df, "id", edges, ["k"], 7, out="c")
+    ranked = {r.id: sum(r.rank >= int(r.total * e + 0.5) for e in edges) for r in S.hash_rank(df, "id", ["k"], 7).collect()}
+    assert {r.id: r.c for r in cut.collect()} == ranked
+    assert S.hash_cuts(df.limit(0), "id", edges, ["k"], 7).collect() == []
+
+
 def test_hash_rank_is_whole_and_stable(spark):
     df = frame(spark, [(i, "big" if i % 10 else "small") for i in range(1000)], "id INT, k STRING")
     a = {r.id: (r.k, r.rank, r.total) for r in S.hash_rank(df, "id", ["k"]).collect()}

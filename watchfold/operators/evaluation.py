@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from watchfold import constants as K
 from watchfold.functions.levels import psi_band
-from watchfold.scale import exact_quantiles, hash_order, hash_rank, prefix_sum
+from watchfold.scale import exact_quantiles, hash_cuts, hash_order, hash_rank, prefix_sum
 
 
 # --- splits and weights --------------------------------------------------------
@@ -18,16 +18,18 @@ from watchfold.scale import exact_quantiles, hash_order, hash_rank, prefix_sum
 def stratified_split(
     df: DataFrame, id_col: str, label: str, fractions: Mapping[str, float], seed: int = 42
 ) -> DataFrame:
-    """Adds ``split``: exact shares of every class, decided by the hash of the id."""
-    ranked = hash_rank(df, id_col, [label], seed)
-    names = list(fractions)
-    edge, out = 0.0, None
+    """Adds ``split``: exact shares of every class, decided by the hash of the id.
+
+    Only hashes near a cut are ranked (see ``scale.hash_cuts``); rows that repeat an id go together.
+    """
+    names, edges, edge = list(fractions), [], 0.0
     for name in names[:-1]:
         edge += fractions[name]
-        inside = F.col("rank") < F.floor(F.col("total") * F.lit(round(edge, 10)) + 0.5)
-        out = F.when(inside, name) if out is None else out.when(inside, name)
-    last = F.lit(names[-1])
-    return ranked.withColumn("split", last if out is None else out.otherwise(last)).drop("rank", "total")
+        edges.append(edge)
+    if not edges:
+        return df.withColumn("split", F.lit(names[-1]))
+    passed = hash_cuts(df, id_col, edges, [label], seed, out="__passed")
+    return passed.withColumn("split", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("__passed") + 1)).drop("__passed")
 
 
 def stratified_folds(df: DataFrame, id_col: str, label: str, k: int, seed: int = 42) -> DataFrame:
@@ -243,7 +245,7 @@ def psi_baseline(baseline: DataFrame, cols: Sequence[str], bins: int = 10) -> Da
     """Per feature: distinct bin edges, rows, and counts per bin, to compare others with."""
     long = _long(baseline, cols)
     names = {f"e{i}": i / bins for i in range(bins + 1)}
-    edges = exact_quantiles(long, "v", names, ["feature"]).select(
+    edges = exact_quantiles(long, "v", names, ["feature"], groups=len(cols)).select(
         "feature", F.struct(F.array_sort(F.array_distinct(F.array(*names))).alias("edges")).alias("b")
     )
     return _bin_counts(long, _lookup(edges)).select("feature", "b.edges", "rows", "counts")

@@ -56,8 +56,11 @@ def quantiles(df: DataFrame, col: str, probabilities: Mapping[str, float], exact
     return df.agg(*[F.percentile_approx(col, float(p), 10_000).alias(n) for n, p in probabilities.items()])
 
 
-def describe_by(df: DataFrame, key: str, col: str) -> DataFrame:
-    """Per group: count, mean, sample deviation, minimum, quartiles, maximum."""
+def describe_by(df: DataFrame, key: str, col: str, groups: int | None = None) -> DataFrame:
+    """Per group: count, mean, sample deviation, minimum, quartiles, maximum.
+
+    With a bound on the number of ``groups`` only values near a quartile are shuffled.
+    """
     seen = df.where(F.col(key).isNotNull() & F.col(col).isNotNull())
     basic = seen.groupBy(key).agg(
         F.count(col).alias("count"),
@@ -66,7 +69,7 @@ def describe_by(df: DataFrame, key: str, col: str) -> DataFrame:
         F.min(col).alias("min"),
         F.max(col).alias("max"),
     )
-    quarters = exact_quantiles(seen, col, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, [key])
+    quarters = exact_quantiles(seen, col, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, [key], groups=groups)
     return basic.join(quarters, key)
 
 

@@ -98,33 +98,96 @@ def prefix_sum(
     )
 
 
+def _as_double(df: DataFrame, col: str) -> Column:
+    """The column as a double that never falls as the column rises; NaN is beyond infinity."""
+    kind = df.schema[col].dataType.typeName()
+    if kind in ("timestamp", "timestamp_ntz"):
+        return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
+    if kind == "date":
+        return F.unix_date(col).cast("double")
+    return F.col(col).cast("double")
+
+
+def selection_cells(
+    df: DataFrame, near: Column, value: Column, shares: Sequence[float], by: Sequence[str] = (), groups: int = 10_000, accuracy: int = 10_000
+) -> DataFrame:
+    """What is needed to find the values at some ranks, in two scans: (by, s, v, n, sure).
+
+    The first scan makes a sketch per group and takes from it an interval of values around each
+    wanted share of the rows; the sketch's error is 1 / ``accuracy`` of the rows, the intervals are
+    four times as wide on either side.  The second scan counts: rows inside an interval by ``value``, all others only by the gap
+    between intervals they lie in (``v`` is null).  ``s``, then ``v``, order the cells as ``value`` does; ``sure``
+    is false where a wanted rank would mean that an interval missed it.
+
+    ``near`` is a double that never falls as ``value`` rises.  ``groups`` bounds the number of groups, whose intervals go to
+    every task; with more the query fails.
+    """
+    by, edge = list(by), 4 / accuracy
+    at = df.select(*by, near.alias("__d"), value.alias("__v")).where(F.col("__v").isNotNull())
+    for key in by:
+        at = at.where(F.col(key).isNotNull())
+    d = F.when(F.isnan("__d"), F.lit(float("inf"))).otherwise(F.col("__d"))
+    inner = sorted({x for p in shares for x in (p - edge, p + edge) if 0 < x < 1})
+    place = {x: i for i, x in enumerate(inner)}
+    spans = at.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.min(d).alias("__a"), F.max(d).alias("__z"), *([F.percentile_approx(d, inner, accuracy).alias("__q")] if inner else []))
+    pick = lambda x: F.col("__a") if x <= 0 else F.col("__z") if x >= 1 else F.col("__q")[place[x]]
+    few = F.col("__n") <= accuracy  # a rank is less than an interval's slack only among more rows
+    lower = [F.when(few, F.col("__a")).otherwise(pick(p - edge)) for p in sorted(shares)]
+    upper = [F.when(few, F.col("__z")).otherwise(pick(p + edge)) for p in sorted(shares)]
+    upper = [F.when(x == float("inf"), F.lit(float("nan"))).otherwise(x) for x in upper]
+    both = F.struct(F.array(*lower).alias("lo"), F.array(*upper).alias("hi"))
+    if by:
+        pairs = F.collect_list(F.struct(F.struct(*by).alias("key"), both.alias("span")))
+        known = F.when(F.count(F.lit(1)) <= groups, F.map_from_entries(pairs)).otherwise(F.raise_error(F.lit(f"more than {groups} groups")))
+        # No more than ``groups`` rows get as far as the list.
+        span = F.try_element_at(spans.limit(groups + 1).agg(known).scalar(), F.struct(*by))
+    else:
+        span = spans.select(both).scalar()
+    placed = at.withColumn("__span", span)
+    k = F.size(F.filter(F.col("__span.lo"), lambda x: x <= F.col("__d")))
+    j = F.size(F.filter(F.col("__span.hi"), lambda x: x < F.col("__d")))
+    placed = placed.select(*by, "__v", k.alias("__k"), j.alias("__j"))
+    inside = F.col("__k") > F.col("__j")
+    cells = placed.select(*by, (F.col("__k") + F.col("__j")).alias("s"), F.when(inside, F.col("__v")).alias("v"), inside.alias("sure"))
+    return cells.groupBy(*by, "s", "v", "sure").agg(F.count(F.lit(1)).alias("n"))
+
+
 def exact_quantiles(
     df: DataFrame,
     col: str,
     probabilities: Mapping[str, float],
     by: Sequence[str] = (),
     buckets: int | None = None,
+    groups: int | None = None,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group.
 
-    ``probabilities`` maps output names to probabilities.  Equal values are
-    counted first and ranked by prefix sum, so no task holds a whole group (the
-    built-in exact percentile keeps every distinct value of a group in memory).
-    Nulls in ``col`` are left out, and so are rows with a null in ``by``.
+    ``probabilities`` maps output names to probabilities.  Nulls in ``col`` are left out, and so are rows with a null in ``by``.
+
+    A sketch narrows each quantile down to a few values first (``selection_cells``), so that only those are shuffled and
+    ranked, by prefix sum.  With ``by`` that needs a bound on the number of ``groups``; without one, equal values are
+    counted and all of them are ranked.  No task ever holds a whole group (as the built-in exact percentile does).
     """
     by = list(by)
-    seen = df.where(F.col(col).isNotNull())
-    for key in by:
-        seen = seen.where(F.col(key).isNotNull())
-    counted = seen.groupBy(*by, col).agg(F.count(F.lit(1)).alias("n"))
-    ranked = prefix_sum(counted, col, ["n"], by, buckets)
+    if by and groups is None:
+        seen = df.where(F.col(col).isNotNull())
+        for key in by:
+            seen = seen.where(F.col(key).isNotNull())
+        counted = seen.groupBy(*by, F.col(col).alias("o")).agg(F.count(F.lit(1)).alias("n")).withColumn("sure", F.lit(True))
+        shown = F.col("o")
+    else:
+        cells = selection_cells(df, _as_double(df, col), F.col(col), list(probabilities.values()), by, groups or 1)
+        counted = cells.select(*by, F.struct("s", "v").alias("o"), "sure", "n")
+        shown = F.col("o.v")
+    ranked = prefix_sum(counted, "o", ["n"], by, buckets)
     first, last, total = F.col("cum_n") - F.col("n"), F.col("cum_n"), F.col("total_n")
     positions = [F.lit(float(p)) * (total - 1) for p in probabilities.values()]
     # Only the values at or beside a wanted position go on: two per quantile and group.
     beside = [(first <= F.ceil(pos)) & (F.floor(pos) < last) for pos in positions]
+    missed = F.raise_error(F.lit("a sketch missed its quantile; ask for more accuracy"))
     wanted = F.array(*[F.struct(F.lit(i).alias("i"), pos.alias("pos")) for i, pos in enumerate(positions)])
     near = ranked.where(reduce(or_, beside)).select(
-        *by, F.col(col).alias("__v"), first.alias("__a"), last.alias("__z"), F.inline(wanted)
+        *by, F.when(F.col("sure"), shown).otherwise(missed).alias("__v"), first.alias("__a"), last.alias("__z"), F.inline(wanted)
     )
 
     def at(index: Column) -> Column:
@@ -132,7 +195,8 @@ def exact_quantiles(
 
     pos = F.col("pos")
     ends = near.groupBy(*by, "i").agg(at(F.floor(pos)).alias("lo"), at(F.ceil(pos)).alias("hi"), F.max("pos").alias("pos"))
-    value = (F.col("lo") + (pos - F.floor(pos)) * (F.col("hi") - F.col("lo"))).cast("double")
+    between = F.col("lo") + (pos - F.floor(pos)) * (F.col("hi") - F.col("lo"))
+    value = F.when(F.col("lo") == F.col("hi"), F.col("lo").cast("double")).otherwise(between.cast("double"))  # also of infinities
     found = ends.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("i", value))).alias("m"))
     return found.select(*by, *[F.try_element_at("m", F.lit(i)).alias(n) for i, n in enumerate(probabilities)])
 
@@ -148,6 +212,34 @@ def hash_order(id_col: str, seed: int = 0) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")), 256)
 
 
+def hash_cuts(df: DataFrame, id_col: str, edges: Sequence[float], keys: Sequence[str] = (), seed: int = 0, groups: int = 10_000, out: str = "cuts") -> DataFrame:
+    """Adds the number of cuts at or before each row, when the rows of a key are put in hash order.
+
+    Cut ``i`` stands before the row of rank ``floor(total * edges[i] + 0.5)``.  Only the hashes near a cut are ranked; every row
+    then compares its own with the cuts, so no row is shuffled.  ``groups`` bounds the number of keys.
+    """
+    g = _groups(keys)
+    hashed = df.select(hash_order(id_col, seed).alias("h"), F.col(id_col).alias("i"), *[c.alias(n) for n, c in g.items()])
+    hashed = hashed.withColumns({"d": F.conv(F.substring("h", 1, 13), 16, 10).cast("double"), "o": F.struct(F.coalesce("h", F.lit("")).alias("h"), F.col("i"))})
+    by = list(g) or ["all"]
+    hashed = hashed if g else hashed.withColumn("all", F.lit(0))
+    cells = selection_cells(hashed.withColumn("d", F.coalesce("d", F.lit(-1.0))), F.col("d"), F.col("o"), list(edges), by, groups)
+    ranked = prefix_sum(cells.select(*by, F.struct("s", "v").alias("p"), "sure", "n"), "p", ["n"], by)
+    cuts = F.array(*[F.struct(F.lit(i).alias("i"), F.floor(F.col("total_n") * F.lit(round(e, 10)) + 0.5).alias("at")) for i, e in enumerate(edges)])
+    first = F.col("cum_n") - F.col("n")
+    met = ranked.select(*by, F.col("p.v").alias("v"), "sure", "n", first.alias("first"), F.explode(cuts).alias("cut"))
+    met = met.where((F.col("first") <= F.col("cut.at")) & (F.col("cut.at") < F.col("first") + F.col("n")))
+    missed = F.raise_error(F.lit("a sketch missed its cut"))
+    # (h, id) is unique unless rows repeat an id: these stay together, on the side of the cut where the first of them is.
+    cut = F.struct(F.col("cut.i").alias("i"), F.when(F.col("sure"), F.col("v")).otherwise(missed).alias("v"))
+    table = met.groupBy(*by).agg(F.sort_array(F.collect_list(cut)).alias("cuts"))
+    found = table.agg(F.map_from_entries(F.collect_list(F.struct(F.struct(*by), "cuts")))).scalar()
+    own = F.struct(F.coalesce(hash_order(id_col, seed), F.lit("")).alias("h"), F.col(id_col).alias("i"))
+    key = F.struct(*[c.alias(n) for n, c in g.items()]) if g else F.struct(F.lit(0).alias("all"))
+    met = df.withColumn("__cuts", F.try_element_at(found, key))
+    return met.select(*df.columns, F.greatest(F.lit(0), F.size(F.filter("__cuts", lambda c: c["v"] <= own))).alias(out))
+
+
 def hash_rank(
     df: DataFrame, id_col: str, keys: Sequence[str] = (), seed: int = 0, digits: int = 3
 ) -> DataFrame:
