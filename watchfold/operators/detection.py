@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from watchfold.functions import levels as L
 from watchfold.functions.hashing import sha256
 from watchfold.functions.text import redact_email
-from watchfold.scale import count_near, trailing_totals
+from watchfold.scale import count_near, pairs_near, trailing_totals
 
 # --- correlation -----------------------------------------------------------------------
 
@@ -54,6 +56,29 @@ def corroborate(
     return joined.withColumns({"matches": n, "single_source": n == 0}).drop("near")
 
 
+def corroborating_events(
+    hits: DataFrame, events: DataFrame, hit_id: str, event_id: str, key: str, micros: str, source: str,
+    sources: Sequence[str], window_seconds: float = 900,
+) -> DataFrame:
+    """(hit_id, event_id) of the events that ``corroborate`` counts: another listed source, same key, inside the window."""
+    facts = events.where(F.col(source).isin(*sources)).select(key, micros, source, event_id)
+    asks = hits.select(key, micros, source, hit_id)
+    other = ~F.col("l")[source].eqNullSafe(F.col("r")[source])
+    pairs = pairs_near(asks, facts, key, micros, window_seconds / 2, other)
+    return pairs.select(F.col("l")[hit_id].alias(hit_id), F.col("r")[event_id].alias("corroborating_id"))
+
+
+def evidence_links(finding_hits: DataFrame, corroborating: DataFrame, hit_id: str) -> DataFrame:
+    """(finding_id, artefact_id, role): each finding's own hits and the events that corroborate them, once each.
+
+    ``finding_hits`` has finding_id and ``hit_id``; an event that is both is a hit.
+    """
+    own = finding_hits.select("finding_id", F.col(hit_id).alias("artefact_id"), F.lit(0).alias("r"))
+    others = finding_hits.join(corroborating, hit_id).select("finding_id", F.col("corroborating_id").alias("artefact_id"), F.lit(1).alias("r"))
+    role = F.when(F.min("r") == 0, "hit").otherwise("corroborating")
+    return own.union(others).groupBy("finding_id", "artefact_id").agg(role.alias("role"))
+
+
 # --- rules -----------------------------------------------------------------------------
 
 
@@ -72,6 +97,75 @@ def threshold_rule(
     return hot if allow is None else hot.join(allow.select(key), key, "left_anti")
 
 
+class Rule(NamedTuple):
+    """More than ``n`` events selected by ``where`` for one ``key`` in a window of ``seconds`` are a finding."""
+
+    rule_id: str
+    where: Column
+    key: Column
+    seconds: int
+    n: int
+    trailing: bool = False  # the window ends at an event, (t - seconds, t], and does not stand on the clock
+
+
+def tagged_events(events: DataFrame, rules: Sequence[Rule], micros: str, since: Mapping[str, int] | None = None, columns: Sequence[str] = ()) -> DataFrame:
+    """(rule_id, key, us, seconds, n, trailing, columns) for every rule and every event it selects, from one scan.
+
+    ``since`` (rule_id to microseconds) is each rule's watermark: it reads what came at or after it.  An event that
+    no rule selects ends at the scan; a null key is selected by no rule.
+    """
+    us = F.col(micros).cast("bigint")
+
+    def tag(r: Rule) -> Column:
+        chosen = r.where & r.key.isNotNull()
+        if since and r.rule_id in since:
+            chosen = chosen & (us >= F.lit(since[r.rule_id]))
+        own = F.struct(F.lit(r.rule_id).alias("rule_id"), r.key.cast("string").alias("key"), F.lit(r.seconds).alias("seconds"), F.lit(r.n).cast("bigint").alias("limit"), F.lit(r.trailing).alias("trailing"))
+        return F.when(chosen, own)
+
+    tags = F.array_compact(F.array(*[tag(r) for r in rules]))
+    return events.select(us.alias("us"), *columns, F.explode(tags).alias("t")).select("t.*", "us", *columns)
+
+
+def run_rules(events: DataFrame, rules: Sequence[Rule], micros: str, since: Mapping[str, int] | None = None, allow: DataFrame | None = None) -> DataFrame:
+    """Findings of many rules: rule_id, key, window_start_us, window_end_us, n.
+
+    However many rules there are, windows on the clock are one scan and one aggregation, combined before the shuffle, and
+    trailing ones are one scan and one call of ``trailing_totals``, which splits a busy key by time.  ``allow`` (rule_id, key) names what is not reported.
+    """
+    if len({r.rule_id for r in rules}) < len(rules):
+        raise ValueError("two rules have one id")
+    if not rules:
+        raise ValueError("no rules")
+    fixed, moving, parts = [r for r in rules if not r.trailing], [r for r in rules if r.trailing], []
+    if fixed:
+        tagged = tagged_events(events, fixed, micros, since)
+        step = F.col("seconds").cast("bigint") * 1_000_000
+        counted = tagged.groupBy("rule_id", "key", "seconds", "limit", (F.col("us") - F.pmod("us", step)).alias("window_start_us")).agg(F.count(F.lit(1)).alias("n"))
+        hot = counted.where(F.col("n") > F.col("limit"))
+        parts.append(hot.select("rule_id", "key", "window_start_us", (F.col("window_start_us") + step).alias("window_end_us"), "n"))
+    if moving:
+        # One pass per window length; the rules of a length share it.
+        tagged = tagged_events(events, moving, micros, since).withColumn("who", F.struct("rule_id", "key"))
+        spans = sorted({r.seconds for r in moving})
+        totals = trailing_totals(tagged, "who", "us", {f"w{s}": s for s in spans}, inclusive=True)
+        n = F.coalesce(*[F.when(F.col("seconds") == s, F.col(f"count_w{s}")) for s in spans])
+        hot = totals.withColumn("n", n).where(F.col("n") > F.col("limit"))
+        start = F.col("us") - F.col("seconds").cast("bigint") * 1_000_000
+        parts.append(hot.select("rule_id", "key", start.alias("window_start_us"), F.col("us").alias("window_end_us"), "n"))
+    found = reduce(DataFrame.union, parts)
+    if allow is not None:
+        found = found.join(allow.select("rule_id", F.col("key").cast("string").alias("key")), ["rule_id", "key"], "left_anti")
+    return found
+
+
+def next_watermarks(events: DataFrame, rules: Sequence[Rule], micros: str, now_us: int) -> DataFrame:
+    """(rule_id, last_event_us, last_run_us) to store after a run: the newest event each rule selected, if any."""
+    newest = tagged_events(events, rules, micros).groupBy("rule_id").agg(F.max("us").alias("last_event_us"))
+    all_rules = events.sparkSession.createDataFrame([(r.rule_id,) for r in rules], "rule_id string")
+    return all_rules.join(newest, "rule_id", "left").withColumn("last_run_us", F.lit(now_us).cast("bigint"))
+
+
 def threshold_trailing(
     events: DataFrame, where: Column, key: str, micros: str, seconds: int, n: int, allow: DataFrame | None = None
 ) -> DataFrame:

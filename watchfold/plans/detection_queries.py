@@ -103,6 +103,63 @@ def f7(spark, sf):
     return corroborated(Tables(spark, sf)).select("event_id", "matches", "single_source")
 
 
+_PAIRS_SQL = EVENTS_SQL + """, pairs AS (SELECT a.event_id, b.event_id AS corroborating_id FROM ev a JOIN ev b ON b.user_id = a.user_id AND b.event_type <> a.event_type
+    AND b.us BETWEEN a.us - 450000000 AND a.us + 450000000)"""
+
+
+@query("f7_corroborating_events", f"WITH {_PAIRS_SQL} SELECT event_id, corroborating_id FROM pairs")
+def f7_pairs(spark, sf):
+    ev = Tables(spark, sf).events
+    return D.corroborating_events(ev, ev, "event_id", "event_id", "user_id", "us", "event_type", SOURCES, 900)
+
+
+@query(
+    "f11_evidence_links",
+    f"""WITH {_PAIRS_SQL}, hot AS (SELECT user_id, time_bucket(INTERVAL 6 HOUR, ts) AS w FROM ev WHERE event_type <> 'view' GROUP BY 1, 2 HAVING count(*) > 2),
+        own AS (SELECT 'f-' || e.user_id || '-' || epoch_us(w) AS finding_id, event_id FROM ev e JOIN hot ON hot.user_id = e.user_id AND hot.w = time_bucket(INTERVAL 6 HOUR, e.ts) WHERE event_type <> 'view'),
+        links AS (SELECT finding_id, event_id AS artefact_id, 0 AS r FROM own UNION ALL SELECT finding_id, corroborating_id, 1 FROM own JOIN pairs USING (event_id))
+        SELECT finding_id, artefact_id, CASE WHEN min(r) = 0 THEN 'hit' ELSE 'corroborating' END AS role FROM links GROUP BY 1, 2""",
+)
+def f11_links(spark, sf):
+    ev = Tables(spark, sf).events
+    chosen, start = ev.where("event_type <> 'view'"), F.window("ts", "6 hours")["start"]
+    found = D.threshold_rule(ev, F.col("event_type") != "view", "user_id", "ts", "6 hours", 2).select("user_id", "window_start")
+    name = F.concat_ws("-", F.lit("f"), F.col("user_id").cast("string"), F.unix_micros(F.col("window_start").cast("timestamp")).cast("string"))
+    own = chosen.withColumn("window_start", start).join(found, ["user_id", "window_start"]).withColumn("finding_id", name)
+    pairs = D.corroborating_events(own, ev, "event_id", "event_id", "user_id", "us", "event_type", SOURCES, 900)
+    return D.evidence_links(own.select("finding_id", "event_id"), pairs, "event_id")
+
+
+_RULE_SET = 50
+_RULE_SET_SQL = EVENTS_SQL + """, rules AS (SELECT i, 'rule-' || i AS rule_id, (1 + i % 6) * 3600000000 AS step, 1 + i % 3 AS n, i % 10 = 9 AS moves FROM range(50) t(i)),
+  tagged AS (SELECT rule_id, step, n AS most, moves, CASE WHEN i % 2 = 0 THEN user_id ELSE k END AS key, us FROM ev JOIN rules ON k % 10 = i % 10 AND (i % 4 > 0 OR event_type = 'error')),
+  fixed AS (SELECT rule_id, CAST(key AS VARCHAR) AS key, us - us % step AS window_start_us, us - us % step + step AS window_end_us, count(*) AS n FROM tagged WHERE NOT moves GROUP BY rule_id, key, step, most, us - us % step HAVING count(*) > most),
+  moving AS (SELECT rule_id, CAST(key AS VARCHAR) AS key, us - step AS window_start_us, us AS window_end_us, most,
+    count(*) OVER (PARTITION BY rule_id, key ORDER BY us RANGE BETWEEN 21599999999 PRECEDING AND CURRENT ROW) AS n6,
+    count(*) OVER (PARTITION BY rule_id, key ORDER BY us RANGE BETWEEN 14399999999 PRECEDING AND CURRENT ROW) AS n4,
+    count(*) OVER (PARTITION BY rule_id, key ORDER BY us RANGE BETWEEN 7199999999 PRECEDING AND CURRENT ROW) AS n2, step FROM tagged WHERE moves),
+  m AS (SELECT rule_id, key, window_start_us, window_end_us, most, CASE step WHEN 21600000000 THEN n6 WHEN 14400000000 THEN n4 ELSE n2 END AS n FROM moving)"""
+
+
+def rule_set():
+    """Fifty rules over users or devices, every tenth with a trailing window."""
+    def one(i):
+        chosen = F.col("k") % 10 == i % 10
+        if i % 4 == 0:
+            chosen = chosen & (F.col("event_type") == "error")
+        return D.Rule(f"rule-{i}", chosen, F.col("user_id" if i % 2 == 0 else "k"), (1 + i % 6) * 3600, 1 + i % 3, i % 10 == 9)
+
+    return [one(i) for i in range(_RULE_SET)]
+
+
+@query(
+    "f2_rule_set",
+    f"WITH {_RULE_SET_SQL} SELECT * FROM fixed UNION ALL SELECT rule_id, key, window_start_us, window_end_us, n FROM m WHERE n > most",
+)
+def f2_rules(spark, sf):
+    return D.run_rules(Tables(spark, sf).events, rule_set(), "us")
+
+
 _CONF_SQL = NEAR_SQL + """, flags AS (SELECT e.event_id, matches = 0 AS single_source, coalesce(c_nationkey < 5, false) AS is_privileged, k < 20 AS is_asset_critical, least(k, 60) AS base FROM ev e JOIN near USING (event_id)
     LEFT JOIN customer ON c_custkey = user_id),
   conf AS (SELECT event_id, CASE WHEN single_source THEN -10 ELSE 30 END AS corroboration, CASE WHEN is_privileged THEN 10 ELSE 0 END AS privileged, CASE WHEN is_asset_critical THEN 10 ELSE 0 END AS critical FROM flags)"""

@@ -443,6 +443,42 @@ def count_near(
     )
 
 
+def pairs_near(left: DataFrame, right: DataFrame, key: str, micros: str, half_seconds: float, where: Column | None = None, rows: int = 10_000) -> DataFrame:
+    """All pairs of a left and a right row with the same key whose times differ by at most ``half_seconds``.
+
+    The pair's columns are the structs ``l`` and ``r``; ``where`` may narrow the pairs further.  Time is cut into buckets of the
+    window's reach: a left row goes to its own bucket, a right row to its own and both its neighbours, so a pair
+    meets in exactly one (key, bucket) cell.  Where a cell holds more than ``rows`` left or right rows, both sides are dealt into that
+    many blocks and every block of one side meets every block of the other, so no task gets a whole hot cell.
+    Rows without a key or a time are in no pair.  There are as many rows as pairs; ``count_near`` counts without making them.
+    """
+    half = int(half_seconds * MICROS)
+    step = max(1, half)
+
+    def placed(df: DataFrame, name: str, shifts: Sequence[int]) -> DataFrame:
+        known = df.where(F.col(key).isNotNull() & F.col(micros).isNotNull())
+        own = time_bucket(F.col(micros).cast("bigint"), step)
+        to = F.explode(F.array(*[own + F.lit(x) for x in shifts])) if len(shifts) > 1 else own
+        return known.select(F.col(key).alias("__k"), F.struct(*df.columns).alias(name), F.xxhash64(*df.columns).alias("__h"), to.alias("__b"))
+
+    a, b = placed(left, "l", [0]), placed(right, "r", [-1, 0, 1])
+    n = lambda df, name: df.groupBy("__k", "__b").agg(F.count(F.lit(1)).alias(name))
+    parts = lambda c: F.ceil(F.col(c) / rows).cast("int")
+    # Only hot cells are listed; all others are one block.
+    crowded = n(a, "__n").join(n(b, "__m"), ["__k", "__b"]).where((F.col("__n") > rows) | (F.col("__m") > rows))
+    crowded = crowded.select("__k", "__b", parts("__n").alias("__x"), parts("__m").alias("__y"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("__s"))
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        met = df.withColumn("__s", F.pmod("__h", F.lit(64)).cast("int")).join(crowded, ["__k", "__b", "__s"], "left")
+        mine = F.pmod(F.shiftright("__h", 6), F.coalesce(F.col(own), F.lit(1))).cast("int")
+        theirs = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1))
+        return met.withColumns({f"__p{own}": mine}).withColumn(f"__p{other}", theirs).drop("__x", "__y", "__h", "__s")
+
+    met = dealt(a, "__x", "__y").join(dealt(b, "__y", "__x"), ["__k", "__b", "__p__x", "__p__y"])
+    near = met.where(F.abs(F.col(f"l.{micros}").cast("bigint") - F.col(f"r.{micros}").cast("bigint")) <= half)
+    return (near if where is None else near.where(where)).select("l", "r")
+
+
 def previous_in_key(
     df: DataFrame, key: str, order: Sequence[str], bucket: Column, col: str, out: str
 ) -> DataFrame:
