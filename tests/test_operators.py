@@ -3,6 +3,7 @@
 import hashlib
 import hmac
 import json
+import random
 import re
 
 import pytest
@@ -110,21 +111,54 @@ def test_keyword_scan_equals_word_boundaries(spark, large):
     terms += [("soft", 200, "ab", "word")]
     table = spark.createDataFrame(terms, "tier STRING, ord BIGINT, term STRING, kind STRING")
     msgs = spark.createDataFrame(list(enumerate(TEXTS)), "id INT, text STRING")
-    out = M._scan_by_join(msgs, "text", table, "id") if large else M.keyword_scan(msgs, "text", table, "id")
+    out = M.keyword_scan(msgs, "text", table if large else [Term(tier, term, kind) for tier, _, term, kind in terms], "id")
     for r in out.collect():
         assert list(r.hard_terms) == python_scan(TEXTS[r.id], WORDS, PHRASES), TEXTS[r.id]
         assert list(r.soft_terms) == python_scan(TEXTS[r.id], ["ab"], [])
         assert list(r.all_terms) == list(dict.fromkeys([*r.hard_terms, *r.soft_terms]))
 
 
-def test_long_term_list_leaves_the_driver(spark):
-    table = spark.range(M.LITERAL_TERMS + 5).select(
+def test_long_term_table(spark):
+    table = spark.range(2_005).select(
         F.lit("soft").alias("tier"), F.col("id").alias("ord"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("term"), F.lit("word").alias("kind")
     )
-    assert M.bounded_terms(table) is None
-    msgs = spark.createDataFrame([(1, "t7 and T2003"), (2, "none")], "id INT, text STRING")
+    msgs = spark.createDataFrame([(1, "t7 and T2003"), (2, "none"), (3, None)], "id INT, text STRING")
     got = {r.id: list(r.soft_terms) for r in M.keyword_scan(msgs, "text", table, "id").collect()}
-    assert got == {1: ["t7", "t2003"], 2: []}
+    assert got == {1: ["t7", "t2003"], 2: [], 3: []}
+
+
+@pytest.mark.parametrize("size", [1, 3, 40, 400])
+def test_terms_that_begin_alike_meet_few_texts(spark, size):
+    """Any number of terms with one beginning and hard texts of the same letters, against plain search."""
+    rng = random.Random(size)
+    heads = ["the offer ", "the offer-", "the c+", "é🙂"]
+    terms = sorted({rng.choice(heads) + "".join(rng.choice("xyz +") for _ in range(rng.randrange(1, 4))) for _ in range(size)} | {"z", "yx", "+ "})
+    kinds = [("soft" if i % 2 else "hard", i, t, "phrase" if i % 3 else "word") for i, t in enumerate(terms)]
+    texts = ["".join(rng.choice(["the offer ", "The Offer-", "x", "y", "z", " ", "+", "the c+", "É🙂"]) for _ in range(rng.randrange(0, 14))) for _ in range(150)] + ["the offer x" * 30] * 75
+    msgs = spark.createDataFrame(list(enumerate(texts)), "id INT, text STRING").repartition(3)
+    table = spark.createDataFrame(kinds, "tier STRING, ord BIGINT, term STRING, kind STRING")
+    for r in M.keyword_scan(msgs, "text", table, "id").collect():
+        for tier, got in (("hard", r.hard_terms), ("soft", r.soft_terms)):
+            words = [t for x, _, t, k in kinds if x == tier and k == "word"]
+            assert list(got) == python_scan(texts[r.id], words, [t for x, _, t, k in kinds if x == tier and k == "phrase"]), texts[r.id]
+    low = msgs.select(F.lower("text").alias("low"))
+    lows = [t.lower() for t in texts]
+    for r in M.rarest_pieces(low, "low", table, one_in=1).collect():
+        if r.re is not None:
+            held = lambda p: sum(p in t for t in lows)
+            runs = [r.term[i : i + 3] for i in range(len(r.term) - 2)] or [r.term]
+            assert held(r.piece) == min(map(held, runs))
+
+
+def test_the_scan_is_one_plan_at_every_size(spark):
+    msgs = spark.createDataFrame([(1, "a b c")], "id INT, text STRING")
+
+    def shape(n):
+        table = spark.range(n).select(F.lit("soft").alias("tier"), F.col("id").alias("ord"), F.col("id").cast("string").alias("term"), F.lit("word").alias("kind"))
+        plan = M.keyword_scan(msgs, "text", table, "id")._jdf.queryExecution().analyzed().toString()
+        return [re.match(r"\W*(\w+)", line)[1] for line in plan.splitlines()]
+
+    assert shape(1) == shape(100_000)
 
 
 def test_canonical_json_and_hmac(spark):
@@ -251,7 +285,7 @@ def test_missing_product_is_not_risky(spark):
 
 
 def test_many_words_are_cut_into_tokens(spark):
-    words = WORDS + [f"filler{i}" for i in range(M.SEARCHED_WORDS)]
+    words = WORDS + [f"filler{i}" for i in range(64)]
     msgs = spark.createDataFrame(list(enumerate(TEXTS)), "id INT, text STRING").withColumn("low", F.lower("text"))
     for r in msgs.select("id", M.scan_words(F.col("low"), words).alias("x")).collect():
         assert list(r.x) == python_scan(TEXTS[r.id], words, [])

@@ -74,9 +74,7 @@ def resolve_sender(msgs: DataFrame, directory: DataFrame) -> DataFrame:
 
 # --- keyword tiers ---------------------------------------------------------------
 
-LITERAL_TERMS = 2_000
-# Up to so many words a search for each is cheaper than cutting the text into tokens.
-SEARCHED_WORDS = 64
+RARE_FROM = 16  # one text in so many is counted to find a term's rarest piece
 
 
 class Term(NamedTuple):
@@ -85,29 +83,20 @@ class Term(NamedTuple):
     kind: str
 
 
-def bounded_terms(terms: DataFrame, limit: int = LITERAL_TERMS) -> list[Term] | None:
-    """The list on the driver if it has at most ``limit`` rows, else None."""
-    rows = terms.select("tier", "ord", "term", "kind").limit(limit + 1).collect()
-    if len(rows) > limit:
-        return None
-    return [Term(r.tier, r.term, r.kind) for r in sorted(rows, key=lambda r: r.ord)]
-
-
 def scan_words(low: Column, words: Sequence[str]) -> Column:
     """Words found in a lower-case text, in list order.
 
     ``low`` should be a column of its own: it is read once per word.
 
-    A short list is searched word by word: a plain substring search first, and the
-    boundaries only where it hits.  In a long one, words made of word characters
-    only are whole tokens, so the text is cut once and intersected.
+    Words made of word characters only are whole tokens, so the text is cut once and intersected.
+    Any other word is searched: a plain substring search first, and the boundaries only where it hits.
     """
 
     def searched(word: str) -> Column:
         return F.when(F.contains(low, F.lit(word)) & low.rlike(word_regex(word)), F.lit(word))
 
-    if len(words) <= SEARCHED_WORDS:
-        return F.array_compact(F.array(*[searched(w) for w in words])) if words else _strings([])
+    if not words:
+        return _strings([])
     plain = [w for w in words if all(c == "_" or c.isalnum() for c in w)]
     odd = [w for w in words if w not in set(plain)]
     found = F.array_intersect(_strings(plain), tokens(low))
@@ -132,17 +121,15 @@ def _strings(values: Sequence[str]) -> Column:
 def keyword_scan(df: DataFrame, text: str, terms: DataFrame | Sequence[Term], id_col: str) -> DataFrame:
     """Adds ``hard_terms``, ``soft_terms`` and ``all_terms`` (no repeats, hard first).
 
-    A list of up to ``LITERAL_TERMS`` terms becomes part of the plan and needs no
-    shuffle.  A longer one stays a table and is joined on the texts' tokens and
-    three-letter pieces.
+    A list of ``Term`` is written into the plan and needs no shuffle.  A table (tier, ord, term, kind) of any size is
+    joined, each term on its rarest piece; the plan is the same whatever its size.
     """
-    listed = bounded_terms(terms) if isinstance(terms, DataFrame) else list(terms)
-    if listed is None:
-        return _scan_by_join(df, text, terms, id_col)
+    if isinstance(terms, DataFrame):
+        return _scan_by_rarest_piece(df, text, terms, id_col)
 
     def of(tier: str) -> Column:
-        words = list(dict.fromkeys(t.term for t in listed if t.tier == tier and t.kind == "word"))
-        phrases = list(dict.fromkeys(t.term for t in listed if t.tier == tier and t.kind == "phrase"))
+        words = list(dict.fromkeys(t.term for t in terms if t.tier == tier and t.kind == "word"))
+        phrases = list(dict.fromkeys(t.term for t in terms if t.tier == tier and t.kind == "phrase"))
         return F.concat(scan_words(F.col("__low"), words), scan_phrases(F.col("__low"), phrases))
 
     return (
@@ -153,50 +140,76 @@ def keyword_scan(df: DataFrame, text: str, terms: DataFrame | Sequence[Term], id
     )
 
 
-def _scan_by_join(df: DataFrame, text: str, terms: DataFrame, id_col: str) -> DataFrame:
-    """Keyword scan against a term table of any size.
+def _runs_of_three(text: Column) -> Column:
+    """The distinct runs of three characters."""
+    cut = lambda t: F.regexp_extract_all(t, F.lit("(?s).{3}"), F.lit(0))
+    return F.array_distinct(F.concat(cut(text), cut(F.substring(text, 2, 2**31 - 1)), cut(F.substring(text, 3, 2**31 - 1))))
 
-    A plain word meets the distinct tokens of a text.  Any other term occurs only
-    in texts that hold its first three characters, so it is joined on those and
-    then checked against the whole text.
-    """
-    low = df.select(id_col, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("__low"))
-    plain = F.col("term").rlike(f"^[{WORD_CLASS}]+$")
-    words = terms.where(plain & (F.col("kind") == "word"))
-    others = terms.where(~(plain & (F.col("kind") == "word"))).withColumn("__n", F.length("term"))
-
-    by_token = (
-        low.select(id_col, F.explode(F.array_distinct(tokens(F.col("__low")))).alias("term"))
-        .join(words, "term")
-        .select(id_col, "tier", "kind", "ord", "term", F.lit(None).cast("string").alias("__re"))
-    )
 
+def text_pieces(texts: DataFrame, low: str) -> DataFrame:
+    """``texts`` once for each piece a term may be found by in the lower-case column ``low``, without that column.
+
+    Pieces are the text's distinct tokens of four characters or more, and its distinct runs of one to three characters.
+    """
+    of_size = lambda x, n: F.filter(x, lambda p: F.length(p) == n)
+    end = lambda n: of_size(F.array(F.right(low, F.lit(n))), n)
+    heads = lambda c, n: F.transform(c, lambda p: F.substring(p, 1, n))
+    # Each column is used twice, so each is made once.  Any two neighbours begin a run of three but for the text's last ones.
+    cut = texts.withColumn("__three", _runs_of_three(F.col(low)))
+    cut = cut.withColumn("__two", F.array_distinct(F.concat(heads("__three", 2), end(2))))
+    cut = cut.withColumn("__one", F.array_distinct(F.concat(heads("__two", 1), end(1))))
+    words = F.array_distinct(F.filter(tokens(F.col(low)), lambda t: F.length(t) > 3))
+    kept = [c for c in texts.columns if c != low]
+    return cut.select(*kept, F.explode(F.concat(words, "__three", "__two", "__one")).alias("piece"))
+
+
+def term_pieces(terms: DataFrame) -> DataFrame:
+    """(tier, kind, ord, term, re, piece): each piece that every text holding the term must have.
+
+    A word of four word characters or more is one token and nothing else; ``re`` is null then.
+    Any other word has a pattern for its boundaries, a phrase an empty one.
+    """
+    plain = F.col("term").rlike(f"^[{WORD_CLASS}]{{4,}}$") & (F.col("kind") == "word")
     # the same pattern as functions.text.word_regex, from a column
     quoted = F.regexp_replace("term", r"([^\p{L}\p{N}_\s])", r"\\$1")
     word = f"[{WORD_CLASS}]"
     left = F.when(F.substring("term", 1, 1).rlike(word), f"(?<!{word}").otherwise(f"(?<={word}")
     right = F.when(F.right("term", F.lit(1)).rlike(word), f"(?!{word})").otherwise(f"(?={word})")
-    others = others.withColumn("__re", F.concat(quoted, left, quoted, F.lit(")"), right))
-
-    def pieces(n: int) -> Column:
-        return F.array_distinct(F.regexp_extract_all("__low", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
-
-    found = by_token
-    for n in (1, 2, 3):
-        match = others.where(F.col("__n") == n if n < 3 else F.col("__n") >= 3)
-        seen = low.select(id_col, F.explode(pieces(n)).alias("__piece"))
-        joined = seen.join(match, F.col("__piece") == F.substring("term", 1, n))
-        found = found.unionByName(joined.select(id_col, "tier", "kind", "ord", "term", "__re"))
-    # The terms a text may hold, no more of them than it has pieces; only these rows
-    # are shuffled, and the text meets them once to check those not certain yet.
+    pattern = F.when(F.col("kind") == "word", F.concat(quoted, left, quoted, F.lit(")"), right)).otherwise("")
+    runs = F.when(F.length("term") >= 3, _runs_of_three(F.col("term"))).otherwise(F.array("term"))
+    pieces = F.when(plain, F.array("term")).otherwise(runs)
+    return terms.where(F.length("term") > 0).select("tier", "kind", "ord", "term", F.when(~plain, pattern).alias("re"), F.explode(pieces).alias("piece"))
+
+
+def rarest_pieces(texts: DataFrame, low: str, terms: DataFrame, one_in: int = RARE_FROM) -> DataFrame:
+    """(tier, kind, ord, term, re, piece): of each term's pieces the one that the fewest ``texts`` hold.
+
+    One text in ``one_in``, chosen by hash, is counted: the choice decides how many texts are searched, never what is found.
+    """
+    pieces = term_pieces(terms)
+    wanted = pieces.select("piece").distinct()
+    held = text_pieces(texts.where(F.pmod(F.xxhash64(low), F.lit(one_in)) == 0).select(low), low)
+    often = held.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).join(wanted, "piece", "left_semi")
+    rated = pieces.join(often, "piece", "left").select("tier", "kind", "ord", "term", "re", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece").alias("p"))
+    best = rated.groupBy("tier", "kind", "ord", "term", "re").agg(F.min("p").alias("p"))
+    return best.select("tier", "kind", "ord", "term", "re", F.col("p.piece").alias("piece"))
+
+
+def _scan_by_rarest_piece(df: DataFrame, text: str, terms: DataFrame, id_col: str) -> DataFrame:
+    """Keyword scan against a term table of any size.
+
+    Texts are cut into their distinct pieces; the pieces that terms are made of are counted, each term is
+    joined on its rarest one, and the texts it may be in are then searched for it.  So terms that begin alike, or are made of
+    frequent pieces but for one, do not meet the texts that only share those.
+    """
+    low = df.select(id_col, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("__low"))
+    index = rarest_pieces(low, "__low", terms)
+    found = text_pieces(low, "__low").join(index, "piece")
+    # The terms a text may hold; only these rows are shuffled, and the text meets them once to check those not certain yet.
     candidate = F.struct(
-        F.when(F.col("tier") == "hard", 0).otherwise(1).alias("t"),
-        F.when(F.col("kind") == "word", 0).otherwise(1).alias("k"),
-        "ord",
-        "term",
-        F.col("__re").alias("re"),
+        F.when(F.col("tier") == "hard", 0).otherwise(1).alias("t"), F.when(F.col("kind") == "word", 0).otherwise(1).alias("k"), "ord", "term", "re"
     )
-    per_text = found.groupBy(id_col).agg(F.array_sort(F.collect_set(candidate)).alias("__f"))
+    per_text = found.groupBy(F.col(id_col).alias("__i")).agg(F.array_sort(F.collect_set(candidate)).alias("__f"))
     body = F.lower(F.coalesce(F.col(text), F.lit("")))
 
     def holds(s: Column) -> Column:
@@ -208,12 +221,12 @@ def _scan_by_join(df: DataFrame, text: str, terms: DataFrame, id_col: str) -> Da
         return F.coalesce(F.array_distinct(F.transform(kept, lambda s: s["term"])), _strings([]))
 
     return (
-        df.join(per_text, id_col, "left")
+        df.join(per_text, F.col(id_col) == F.col("__i"), "left")
         .withColumn("__body", F.when(F.col("__f").isNotNull(), body))
         .withColumn("__f", F.filter("__f", holds))
         .withColumns({"hard_terms": of(0), "soft_terms": of(1)})
         .withColumn("all_terms", F.array_distinct(F.concat("hard_terms", "soft_terms")))
-        .drop("__f", "__body")
+        .drop("__f", "__body", "__i")
     )
 
 

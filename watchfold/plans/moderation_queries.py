@@ -103,9 +103,9 @@ def term_table(spark):
 
 @query("d5_keyword_scan_large_list", f"WITH {SCAN_SQL} {_SCAN_OUT}")
 def d5_join(spark, sf):
-    """The same scan by the plan that serves term lists of any length."""
+    """The same scan by the plan that serves term tables of any length."""
     msgs = messages(Tables(spark, sf))
-    return _joined_terms(M._scan_by_join(msgs, "text", term_table(spark), "message_name"))
+    return _joined_terms(M.keyword_scan(msgs, "text", term_table(spark), "message_name"))
 
 
 RAW_SQL = """raw AS (SELECT doc_id, CASE WHEN doc_id % 9 = 3 THEN 'no json at all ' || doc_id WHEN doc_id % 9 = 4 THEN '{"verdict": "MAYBE"}'
