@@ -87,16 +87,15 @@ def raw_scores(model: PipelineModel, df: DataFrame, features: Sequence[str], out
     return scored.select(*df.columns, out)
 
 
-CALIBRATION_DIGITS = 4  # scores are rounded to so many digits, so a fit has at most 10,001 points
-
-
-def fit_calibrator(df: DataFrame, raw: str, label: str, digits: int = CALIBRATION_DIGITS) -> IsotonicRegressionModel:
+def fit_calibrator(df: DataFrame, raw: str, label: str, digits: int | None = None) -> IsotonicRegressionModel:
     """Isotonic regression of the label on the score (a probability).
 
-    Rows of equal rounded score are one weighted point, combined before any shuffle; the
-    fit gathers its points on the driver, of which there are at most ``10**digits + 1``.
+    Rows of equal score are one weighted point, combined before any shuffle.  Points are pooled in each partition of the
+    ordered scores first; what is left, the steps of a rising function, is pooled on the driver.  ``digits`` rounds the
+    scores before that, which bounds the steps by ``10**digits + 1`` but blurs cuts at small probabilities.
     """
-    points = df.groupBy(F.round(raw, digits).alias("x")).agg(
+    x = F.col(raw) if digits is None else F.round(raw, digits)
+    points = df.groupBy(x.alias("x")).agg(
         F.avg(F.col(label).cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("weight")
     )
     return IsotonicRegression(featuresCol="x", labelCol="label", weightCol="weight", predictionCol="__cal").fit(points)
