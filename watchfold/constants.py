@@ -61,4 +61,19 @@ PSI_ALARM = 0.2
 PSI_WATCH = 0.1
 
 TOMBSTONE = "[message taken down by content moderation]"
+
+# What evidence rows of a moderated message carry; parts of them are hashed.
+EVIDENCE = {
+    "source_system": "chat_moderation",
+    "collection_method": "api",
+    "collector_principal": "content_moderation_pipeline",
+    "original_tz": "UTC",
+    "pii_tags": ("PII:sender_email",),
+    "retention_class": "moderation_evidence",
+    "signing_key_id": "moderation_pipeline_v1",
+    "manifest_version": 1,
+    "uri": "moderation://",
+    "text_query": "chat_moderation:text:",
+    "image_query": "chat_moderation:image:",
+}
 # -----------------------------------------------------------------------------

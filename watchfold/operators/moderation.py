@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -426,13 +426,14 @@ def open_cases(decided: DataFrame, opened_at: str) -> DataFrame:
 
 
 def case_evidence(
-    decided: DataFrame, images: DataFrame | None = None, source_system: str = "chat_moderation",
-    principal: str = "content_moderation_pipeline",
+    decided: DataFrame, images: DataFrame | None = None, collected_at: Column | None = None, fixed: Mapping[str, object] = K.EVIDENCE,
 ) -> DataFrame:
     """Evidence rows of every opened case: its text payload, and each image's bytes.
 
-    ``images`` has message_name, image_idx, mime_type and content.
+    ``images`` has message_name, image_idx, mime_type and content.  ``collected_at`` is the time of collection, a column of
+    ``decided`` (else now).  ``fixed`` gives the values that are the same in all rows.
     """
+    decided = decided.withColumn("collected_at_utc", F.current_timestamp() if collected_at is None else collected_at)
     cased = decided.where(F.col("case_id").isNotNull())
     payload = spaced_object(
         {
@@ -447,37 +448,45 @@ def case_evidence(
     )
     texts = cased.where(F.coalesce(F.length("text"), F.lit(0)) > 0).select(
         "case_id",
+        "collected_at_utc",
         F.encode(payload, "UTF-8").alias("content"),
         F.lit("application/json").alias("mime_type"),
-        F.concat(F.lit("chat_moderation:text:"), F.col("message_name")).alias("query"),
+        F.concat(F.lit(fixed["text_query"]), F.col("message_name")).alias("query"),
     )
     rows = texts
     if images is not None:
-        shown = images.join(cased.select("message_name", "case_id"), "message_name").select(
+        shown = images.join(cased.select("message_name", "case_id", "collected_at_utc"), "message_name").select(
             "case_id",
+            "collected_at_utc",
             "content",
             "mime_type",
             F.concat(
-                F.lit("chat_moderation:image:"), F.col("message_name"), F.lit(":attachment_"),
+                F.lit(fixed["image_query"]), F.col("message_name"), F.lit(":attachment_"),
                 F.col("image_idx").cast("string"),
             ).alias("query"),
         )
         rows = texts.unionByName(shown)
     artefact = uuid_form(sha256(F.concat_ws(":", F.col("case_id"), F.col("query"))))
+    uri = F.concat(F.lit(fixed["uri"]), F.col("case_id"), F.lit("/"), F.col("artefact_id"))
+    same = lambda name: F.lit(fixed[name]).alias(name)
     return rows.withColumn("artefact_id", artefact).select(
         "artefact_id",
         "case_id",
-        F.lit(source_system).alias("source_system"),
-        F.lit("api").alias("collection_method"),
+        same("source_system"),
+        same("collection_method"),
         "query",
-        F.lit(principal).alias("collector_principal"),
-        F.lit("UTC").alias("original_tz"),
+        same("collector_principal"),
+        "collected_at_utc",
+        same("original_tz"),
         F.octet_length("content").cast("bigint").alias("bytes"),
         F.sha2("content", 256).alias("sha256"),
         "mime_type",
-        F.concat(F.lit("moderation://"), F.col("case_id"), F.lit("/"), F.col("artefact_id")).alias("s3_uri"),
-        F.array(F.lit("PII:sender_email")).alias("pii_tags"),
-        F.lit("moderation_evidence").alias("retention_class"),
+        uri.alias("s3_uri"),
+        F.array(*[F.lit(x) for x in fixed["pii_tags"]]).alias("pii_tags"),
+        same("retention_class"),
+        F.concat(uri, F.lit(".manifest.json")).alias("manifest_uri"),
+        same("signing_key_id"),
+        same("manifest_version"),
         "content",
     )
 
@@ -528,14 +537,21 @@ def apply_dispositions(cases: DataFrame, events: DataFrame, key: bytes) -> tuple
     return updated, checked.where(F.col("reject_reason").isNotNull())
 
 
-def tombstone(decided: DataFrame, cases: DataFrame) -> DataFrame:
-    """Messages as they read afterwards: blocked ones, and those found true positive, replaced."""
+def tombstone(decided: DataFrame, cases: DataFrame, attachments: str | None = None) -> DataFrame:
+    """Messages as they read afterwards: blocked ones, and those found true positive, replaced.
+
+    With the name of their array of ``attachments``, these are shown too, and emptied where the text is replaced.
+    """
     later = cases.select("case_id", F.col("disposition").alias("__d"))
     gone = F.coalesce((F.col("final_action") == "block") | (F.col("__d") == "true_positive"), F.lit(False))
+    left = []
+    if attachments:
+        left = [F.when(gone, F.array().cast(decided.schema[attachments].dataType)).otherwise(F.col(attachments)).alias(attachments)]
     return decided.join(later, "case_id", "left").select(
         "message_name",
         gone.alias("removed"),
         F.when(gone, K.TOMBSTONE).otherwise(F.col("text")).alias("text"),
+        *left,
     )
 
 

@@ -374,12 +374,12 @@ def d16(spark, sf):
     return M.open_cases(decided(Tables(spark, sf)), "received_at").drop("opened_at_utc")
 
 
-_EVIDENCE_SQL = """payload AS (SELECT case_id, 'chat_moderation:text:' || message_name AS query,
+_EVIDENCE_SQL = """payload AS (SELECT case_id, received_at, 'chat_moderation:text:' || message_name AS query,
     '{"message_name": ' || CAST(to_json(message_name) AS VARCHAR) || ', "space_name": ' || CAST(to_json(space_name) AS VARCHAR) || ', "sender_email": ' || CAST(to_json(sender_email) AS VARCHAR)
     || ', "text": ' || CAST(to_json(text) AS VARCHAR) || ', "text_verdict": ' || CAST(to_json(text_result) AS VARCHAR) || ', "matched_terms": [' ||
     array_to_string(list_transform(matched_terms, lambda m: '"' || m || '"'), ', ') || '], "llm_rationale": ' || coalesce(CAST(to_json(rationale) AS VARCHAR), 'null') || '}' AS body,
     'application/json' AS mime_type FROM cased WHERE case_id IS NOT NULL AND text <> ''
-    UNION ALL SELECT case_id, 'chat_moderation:image:' || message_name || ':attachment_0', 'pixels of ' || doc_id, 'image/png' FROM cased
+    UNION ALL SELECT case_id, received_at, 'chat_moderation:image:' || message_name || ':attachment_0', 'pixels of ' || doc_id, 'image/png' FROM cased
       WHERE case_id IS NOT NULL AND image_action IS NOT NULL),
   items AS (SELECT *, sha256(case_id || ':' || query) AS h FROM payload)"""
 
@@ -387,7 +387,8 @@ _EVIDENCE_SQL = """payload AS (SELECT case_id, 'chat_moderation:text:' || messag
 @query(
     "d17_case_evidence",
     f"""WITH {DECISION_SQL}, {_EVIDENCE_SQL} SELECT h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] AS artefact_id,
-        case_id, query, CAST(octet_length(encode(body)) AS BIGINT) AS bytes, sha256(body) AS sha256, mime_type FROM items""",
+        case_id, query, CAST(octet_length(encode(body)) AS BIGINT) AS bytes, sha256(body) AS sha256, mime_type, strftime(received_at, '%Y-%m-%d %H:%M:%S') AS collected_at_utc,
+        'moderation://' || case_id || '/' || artefact_id || '.manifest.json' AS manifest_uri, 'moderation_pipeline_v1' AS signing_key_id, 1 AS manifest_version FROM items""",
 )
 def d17(spark, sf):
     out = decided(Tables(spark, sf))
@@ -397,7 +398,9 @@ def d17(spark, sf):
         F.lit("image/png").alias("mime_type"),
         F.encode(F.concat(F.lit("pixels of "), F.col("doc_id").cast("string")), "UTF-8").alias("content"),
     )
-    return M.case_evidence(out, images).select("artefact_id", "case_id", "query", "bytes", "sha256", "mime_type")
+    rows = M.case_evidence(out, images, F.col("received_at"))
+    shown = ["artefact_id", "case_id", "query", "bytes", "sha256", "mime_type", "manifest_uri", "signing_key_id", "manifest_version"]
+    return rows.select(*shown, F.date_format("collected_at_utc", "yyyy-MM-dd HH:mm:ss").alias("collected_at_utc"))
 
 
 def _blob(pad):
@@ -458,14 +461,17 @@ def d18_bad(spark, sf):
 @query(
     "d19_tombstone",
     f"""WITH {DECISION_SQL}, {_DISPO_SQL} SELECT message_name, final_action = 'block' OR coalesce(l.disposition = 'true_positive', false) AS removed,
-        CASE WHEN final_action = 'block' OR l.disposition = 'true_positive' THEN '{TOMBSTONE}' ELSE text END AS text
+        CASE WHEN final_action = 'block' OR l.disposition = 'true_positive' THEN '{TOMBSTONE}' ELSE text END AS text,
+        CASE WHEN final_action = 'block' OR l.disposition = 'true_positive' OR image_action IS NULL THEN '' ELSE 'image-' || doc_id END AS attachments
         FROM cased c LEFT JOIN last l USING (case_id)""",
 )
 def d19(spark, sf):
     t = Tables(spark, sf)
     out = decided(t)
     cases, _ = M.apply_dispositions(M.open_cases(out, "received_at"), disposition_events(t, out), KEY)
-    return M.tombstone(out, cases)
+    image = F.array_compact(F.array(F.when(F.col("image_action").isNotNull(), F.concat(F.lit("image-"), F.col("doc_id").cast("string")))))
+    left = M.tombstone(out.withColumn("attachments", image), cases, "attachments")
+    return left.withColumn("attachments", F.array_join("attachments", ","))
 
 
 @query(
