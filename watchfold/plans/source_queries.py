@@ -87,6 +87,43 @@ def a7_written(spark, sf):
     return out.withColumn("day", F.col("day").cast("string"))
 
 
+@query(
+    "a7_commit_log",
+    f"""WITH {EVENTS_SQL} SELECT event_id, value, event_type AS source_system, strftime(ts, '%Y-%m-%d') AS day,
+        CASE WHEN event_id % 3 = 0 THEN 'run-0' WHEN event_id % 3 = 1 THEN 'run-1' ELSE 'run-2' END AS run FROM ev""",
+)
+def a7_log(spark, sf):
+    """Three overlapping runs: one repeated after its commit, one that died before it, ids that come again much later."""
+    ev = Tables(spark, sf).events.select(
+        "event_id", "value", F.col("event_type").alias("source_system"), F.date_format("ts", "yyyy-MM-dd").alias("day")
+    )
+    store = sink.EventStore(spark, shared_dir(spark, "store"), ev.schema, "event_id", ("source_system", "day"))
+    first, second = ev.where("event_id % 3 = 0"), ev.where("event_id % 3 < 2")
+    store.commit("run-0", first, "value")
+    store.commit("run-1", second, "value")
+    ev.write.partitionBy("source_system", "day").parquet(f"{store.path}/data/run=run-2")  # no commit follows
+    store.commit("run-1", ev, "value")
+    store.commit("run-2", ev.union(first), "value")
+    return store.read().select("event_id", "value", "source_system", "day", "run")
+
+
+@query(
+    "a7_commit_counts",
+    f"""WITH {EVENTS_SQL}, n AS (SELECT count(*) FILTER (event_id % 3 = 0) AS a, count(*) FILTER (event_id % 3 = 1) AS b FROM ev)
+        SELECT 'run-0' AS run, a AS records_in, a AS created, CAST(0 AS BIGINT) AS duplicates FROM n UNION ALL SELECT 'run-1', 2 * a + b, b, 2 * a FROM n""",
+)
+def a7_log_counts(spark, sf):
+    """What each run recorded, read after the store has grown."""
+    ev = Tables(spark, sf).events.select(
+        "event_id", "value", F.col("event_type").alias("source_system"), F.date_format("ts", "yyyy-MM-dd").alias("day")
+    )
+    store = sink.EventStore(spark, shared_dir(spark, "store"), ev.schema, "event_id", ("source_system", "day"))
+    first = ev.where("event_id % 3 = 0")
+    store.commit("run-0", first, "value")
+    store.commit("run-1", ev.where("event_id % 3 < 2").union(first), "value")
+    return store.commits().drop("committed_at")
+
+
 @query("a8_json_export", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def a8(spark, sf):
     path = shared_dir(spark, "json")
