@@ -20,6 +20,7 @@ import os
 import re
 from array import array
 from bisect import bisect_left, bisect_right
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from watchfold.llm.common import written
 
 HOT = 1 << 18  # pairs that are sent to all tasks; the others are joined
-_CUTS = 400_000  # cuts that a worker remembers (speed only)
+_CUTS = 200_000  # cuts that a worker remembers, and as many older ones (speed only)
 _LONG = 256  # characters; longer cuts are not remembered
 _FLUSH = 1 << 21  # pairs a task holds before it counts them
 
@@ -89,13 +90,13 @@ class Aligner:
             self.bytes_a[number] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
         pieces = [self.b.id_to_piece(n) for n in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(n) else p.replace("▁", " ").encode() for n, p in enumerate(pieces)]
+        self.name_a, self.name_b = [b"%d" % x for x in range(len(self.bytes_a))], [b"%d" % x for x in range(len(self.bytes_b))]
         self.size_a, self.size_b = [len(x) for x in self.bytes_a], [len(x) for x in self.bytes_b]
         self.space = self.b.piece_to_id("▁")
         self.cut = self._cutter(pieces)
-        self.known: dict[str, int] = {}
-        self.sizes = np.zeros((1024, 4), np.int64)
-        self.groups: list[bytes] = []
-        self.pairs: list[bytes] = []
+        # What a cut comes to: (n_a, n_b, n_groups, n_links, groups, pairs), or False if a side's tokens do not spell it.
+        self.known: dict[str, tuple | bool] = {}
+        self.older: dict[str, tuple | bool] = {}
 
     def _cutter(self, pieces: list[str]):
         """A function that cuts a text where neither tokenizer's tokens can reach over.
@@ -114,13 +115,12 @@ class Aligner:
         # White space, in the widest sense, stays with the white space before it.
         return re.compile(f"(?s:.)(?:[^{blanks}{stops}]+|(?<=[\\s\u180e\u200b\ufeff])[{blanks}]" + (f"|(?<![{_LETTERS}])[{stops}]" if marks else "") + ")*").findall
 
-    def _add(self, cut: str, ids_a: list[int], ids_b: list[int]) -> int:
-        """The number under which a cut's alignment is remembered; -1 if a side's tokens do not spell it."""
+    def _aligned(self, cut: str, ids_a: list[int], ids_b: list[int]) -> tuple | bool:
         spelt = cut.encode()
         if b"".join([self.bytes_a[x] for x in ids_a]) != spelt or b"".join([self.bytes_b[x] for x in ids_b]) != spelt:
-            return -1
+            return False
         if len(ids_a) == 1 or len(ids_b) == 1:
-            n_groups, groups = 1, ",".join(map(str, ids_a)) + "|" + ",".join(map(str, ids_b))
+            n_groups, groups = 1, b",".join([self.name_a[x] for x in ids_a]) + b"|" + b",".join([self.name_b[x] for x in ids_b])
             pairs = [a << 32 | b for a in ids_a for b in ids_b]
         else:
             ends_a = list(itertools.accumulate([self.size_a[x] for x in ids_a]))
@@ -128,17 +128,11 @@ class Aligner:
             ends, links = groups_and_links(ends_a, ends_b)
             shown, i, j = [], 0, 0
             for gi, gj in ends:
-                shown.append(",".join(map(str, ids_a[i : gi + 1])) + "|" + ",".join(map(str, ids_b[j : gj + 1])))
+                shown.append(b",".join([self.name_a[x] for x in ids_a[i : gi + 1]]) + b"|" + b",".join([self.name_b[x] for x in ids_b[j : gj + 1]]))
                 i, j = gi + 1, gj + 1
-            n_groups, groups = len(ends), ";".join(shown)
+            n_groups, groups = len(ends), b";".join(shown)
             pairs = [ids_a[k] << 32 | ids_b[x] for k, lo, hi in links for x in range(lo, hi + 1)]
-        n = len(self.groups)
-        if n == len(self.sizes):
-            self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-        self.sizes[n] = len(ids_a), len(ids_b), n_groups, len(pairs)
-        self.groups.append(groups.encode())
-        self.pairs.append(array("q", pairs).tobytes())
-        return n
+        return len(ids_a), len(ids_b), n_groups, len(pairs), groups, array("q", pairs).tobytes()
 
     def _pieces(self, cuts: list[str]) -> list[list[int]]:
         """B's ids of cuts, as they are in the text: B puts a space before all it reads."""
@@ -149,28 +143,28 @@ class Aligner:
         """((n_a, n_b, n_groups, n_links), groups, distinct linked pairs a << 32 | b, their counts); None without tokens."""
         if not text:
             return None
-        if len(self.groups) > _CUTS:
-            self.known.clear()
-            self.groups.clear()
-            self.pairs.clear()
+        if len(self.known) > _CUTS:
+            self.known, self.older = {}, self.known
         cuts = self.cut(" " + text)
-        known, passing = self.known, {}
-        new = [c for c in dict.fromkeys(cuts) if c not in known]
+        times, known, older, passing, new = Counter(cuts), self.known, self.older, {}, []
+        for cut in times:
+            if cut not in known:
+                if cut in older:
+                    known[cut] = older[cut]
+                else:
+                    new.append(cut)
         if new:
-            for cut, a, b in zip(new, self.a.encode_batch(new, add_special_tokens=False), self._pieces(new)):
-                number = self._add(cut, a.ids, b)
-                (known if len(cut) <= _LONG else passing)[cut] = number
-        if passing:
-            at = np.array([passing[c] if c in passing else known[c] for c in cuts])
-        else:
-            at = np.fromiter(map(known.__getitem__, cuts), np.int64, len(cuts))
-        if at.min() < 0:
+            for cut, a, b in zip(new, self.a.encode_batch_fast(new, add_special_tokens=False), self._pieces(new)):
+                (known if len(cut) <= _LONG else passing)[cut] = self._aligned(cut, a.ids, b)
+        met = known if not passing else {c: passing[c] if c in passing else known[c] for c in times}
+        found = [met[c] for c in times]
+        if not all(found):
             return None
-        once, times = np.unique(at, return_counts=True)
-        held = [self.pairs[n] for n in once.tolist()]
-        pairs, place = np.unique(np.frombuffer(b"".join(held), np.int64), return_inverse=True)
-        counts = np.bincount(place, np.repeat(times, [len(x) // 8 for x in held]), len(pairs)).astype(np.int64)
-        return self.sizes[at].sum(0), b";".join([self.groups[n] for n in at.tolist()]), pairs, counts
+        n = list(times.values())
+        sizes = np.array([x[:4] for x in found]).T @ np.array(n)
+        pairs, place = np.unique(np.frombuffer(b"".join([x[5] for x in found]), np.int64), return_inverse=True)
+        counts = np.bincount(place, np.repeat(n, [x[3] for x in found]), len(pairs)).astype(np.int64)
+        return sizes, b";".join([met[c][4] for c in cuts]), pairs, counts
 
 
 @functools.lru_cache(1)
