@@ -44,21 +44,38 @@ def source(spark, events, files, per_batch=2):
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", per_batch).parquet(files)
 
 
+def crowded(df):
+    """A third of the events under one user, some under none; a row of the closing file keeps its own."""
+    user = F.when(F.col("event_id") < 0, F.col("user_id")).when(F.col("event_id") % 3 == 0, 7).when(F.col("event_id") % 50 != 1, F.col("user_id"))
+    return df.withColumn("user_id", user)
+
+
 def test_velocity_over_batches_equals_batch(spark, events, files):
     S.use_rocksdb(spark)
-    got, q = replay(spark, S.velocity_stream(source(spark, events, files), "user_id", "event_id", "us", "value", WINDOWS))
-    assert len(q.recentProgress) > 1
-    want = X.velocity(events, "user_id", "us", "value", WINDOWS)
+    ev = crowded(source(spark, events, files, 1)).where("user_id IS NOT NULL")
+    got, q = replay(spark, S.velocity_stream(ev, "user_id", "event_id", "ts", "value", WINDOWS))
+    assert len(q.recentProgress) > 6
+    want = X.velocity(crowded(events).where("user_id IS NOT NULL"), "user_id", "us", "value", WINDOWS)
     cols = [f"velocity_{k}_{w}" for k in ("count", "value") for w in WINDOWS]
     got = {r.event_id: [round(r[c], 4) for c in cols] for r in got.where("event_id >= 0").collect()}
     assert got == {r.event_id: [round(r[c], 4) for c in cols] for r in want.collect()}
+    # the closing event's key alone has state left: totals, rows and one timer
+    assert q.lastProgress.stateOperators[0].numRowsTotal < 10
 
 
-def test_corroboration_over_batches_equals_batch(spark, events, files):
+def test_velocity_state_is_that_of_its_reach(spark, events, files):
     S.use_rocksdb(spark)
-    df = S.corroborate_stream(source(spark, events, files), "user_id", "event_id", "ts", "us", "event_type", 900, "1 hour")
-    got, _ = replay(spark, df)
-    want = D.corroborate(events, events, "event_id", "user_id", "us", "event_type", SOURCES, 900)
+    _, q = replay(spark, S.velocity_stream(source(spark, events, files, 1), "user_id", "event_id", "ts", "value", {"1h": 3600}))
+    held = [p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.numInputRows]
+    assert max(held) < 6 * events.count() / 2  # of thirty days no more than the two batches that the watermark spans
+
+
+def test_corroboration_over_batches_equals_batch(spark, events, files):
+    ev = crowded(source(spark, events, files))
+    got, q = replay(spark, S.corroborate_stream(ev, ev, "user_id", "event_id", "ts", "event_type", 900, "1 hour"))
+    assert len(q.recentProgress) > 1
+    base = crowded(events)
+    want = D.corroborate(base, base, "event_id", "user_id", "us", "event_type", SOURCES, 900)
     got = {r.hit_id: (r.matches, r.single_source) for r in got.where("hit_id >= 0").collect()}
     assert got == {r.event_id: (r.matches, r.single_source) for r in want.collect()}
 

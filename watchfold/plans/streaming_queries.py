@@ -93,8 +93,8 @@ def k3(spark, sf):
         SELECT hit_id, matches, matches = 0 AS single_source FROM n WHERE us + 450000000 < floor(epoch_us({_CLOSED}) / 1000) * 1000""",
 )
 def k4(spark, sf):
-    S.use_rocksdb(spark)
-    out = S.corroborate_stream(event_stream(spark, sf), "user_id", "event_id", "ts", "us", "event_type", 900, "1 hour")
+    ev = event_stream(spark, sf)
+    out = S.corroborate_stream(ev, ev, "user_id", "event_id", "ts", "event_type", 900, "1 hour")
     return run_to_table(out, "corroborated").select("hit_id", "matches", "single_source")
 
 
@@ -104,7 +104,7 @@ def k4(spark, sf):
 )
 def k5(spark, sf):
     S.use_rocksdb(spark)
-    out = run_to_table(S.velocity_stream(event_stream(spark, sf), "user_id", "event_id", "us", "value", FQ.WINDOWS), "velocity")
+    out = run_to_table(S.velocity_stream(event_stream(spark, sf), "user_id", "event_id", "ts", "value", FQ.WINDOWS), "velocity")
     return out.select(
         "event_id",
         "velocity_count_1h",

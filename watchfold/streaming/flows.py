@@ -122,131 +122,145 @@ def observed(query: StreamingQuery, name: str) -> list[dict]:
 
 
 class _Velocity(StatefulProcessor):
-    """Earlier rows of a key no older than the longest window, kept in time order."""
+    """A key's rows by bucket of time, and each bucket's totals, until no accepted row can look back at them."""
 
-    def __init__(self, windows: Mapping[str, int], delay_seconds: int):
-        self.windows = dict(windows)
-        self.reach = (max(self.windows.values()) + delay_seconds) * 1_000_000
+    def __init__(self, windows: Mapping[str, int], bucket_seconds: int):
+        self.windows = {label: seconds * 1_000_000 for label, seconds in windows.items()}
+        self.step = bucket_seconds * 1_000_000
+        self.reach = max(self.windows.values())
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.past = handle.getListState("past", "us BIGINT, amount DOUBLE")
+        self.handle = handle
+        self.totals = handle.getMapState("totals", "bucket BIGINT", "n BIGINT, total DOUBLE")
+        self.rows = handle.getMapState("rows", "bucket BIGINT", "us ARRAY<BIGINT>, amount ARRAY<DOUBLE>")
+
+    def _alive(self, watermark_ms: int) -> dict[int, tuple[int, float]]:
+        """Totals by bucket, after those that ended before the reach of the watermark are dropped."""
+        floor = watermark_ms * 1000 - self.reach
+        known = {k[0]: (v[0], v[1]) for k, v in self.totals.iterator()}
+        for bucket in [b for b in known if (b + 1) * self.step <= floor]:
+            del known[bucket]
+            self.totals.removeKey((bucket,))
+            self.rows.removeKey((bucket,))
+        return known
+
+    def _wake(self, buckets) -> None:
+        """One timer a key, for when its newest bucket is out of reach."""
+        self.handle.registerTimer(((max(buckets) + 1) * self.step + self.reach) // 1000 + 1)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows)).sort_values("us", kind="stable")
-        kept = [(r[0], r[1]) for r in self.past.get()] if self.past.exists() else []
-        us = np.array([k[0] for k in kept] + new["us"].tolist(), dtype=np.int64)
-        amount = np.array([k[1] for k in kept] + new["amount"].tolist(), dtype=np.float64)
+        known = self._alive(timerValues.getCurrentWatermarkInMs())
+        at, value = new["us"].to_numpy(np.int64), new["amount"].fillna(0.0).to_numpy(np.float64)
+        own = at // self.step
+        # The buckets where a window begins or ends are read row by row, those between by their totals.
+        ends = np.unique(np.concatenate([own] + [(at - w) // self.step for w in self.windows.values()]))
+        stored = {b: self.rows.getValue((b,)) for b in ends.tolist() if b in known}
+        us = np.concatenate([np.array(r[0], np.int64) for r in stored.values()] + [at])
+        amount = np.concatenate([np.array(r[1], np.float64) for r in stored.values()] + [value])
+        for bucket in np.unique(own).tolist():
+            mine = own == bucket
+            was = stored.get(bucket, ([], []))
+            n, total = known.get(bucket, (0, 0.0))
+            if not known:
+                self._wake(own.tolist())
+            known[bucket] = (n + int(mine.sum()), total + float(value[mine].sum()))
+            self.totals.updateValue((bucket,), known[bucket])
+            self.rows.updateValue((bucket,), ([*was[0], *at[mine].tolist()], [*was[1], *value[mine].tolist()]))
         order = np.argsort(us, kind="stable")
-        us, amount = us[order], amount[order]
-        total = np.concatenate([[0.0], np.cumsum(amount)])
-        at = new["us"].to_numpy()
-        hi = np.searchsorted(us, at, side="left")
+        us = us[order]
+        sums = np.concatenate([[0.0], np.cumsum(amount[order])])
+        buckets = np.array(sorted(known), np.int64)
+        counted = np.concatenate([[0], np.cumsum([known[b][0] for b in buckets.tolist()])])
+        summed = np.concatenate([[0.0], np.cumsum([known[b][1] for b in buckets.tolist()])])
         out = {"key": key[0], "event_id": new["event_id"].to_numpy()}
-        for label, seconds in self.windows.items():
-            lo = np.searchsorted(us, at - seconds * 1_000_000, side="left")
-            out[f"velocity_count_{label}"] = (hi - lo).astype("int64")
-            out[f"velocity_value_{label}"] = np.where(hi > lo, total[hi] - total[lo], 0.0)
-        live = us >= us[-1] - self.reach
-        self.past.put(list(zip(us[live].tolist(), amount[live].tolist())))
+        for label, w in self.windows.items():
+            first = (at - w) // self.step
+            inner = np.searchsorted(buckets, first, "right"), np.searchsorted(buckets, own, "left")
+            inner = inner[0], np.maximum(*inner)
+            tail = np.searchsorted(us, at - w, "left"), np.searchsorted(us, np.minimum((first + 1) * self.step, at), "left")
+            head = np.searchsorted(us, np.where(first < own, own * self.step, at), "left"), np.searchsorted(us, at, "left")
+            out[f"velocity_count_{label}"] = sum(hi - lo for lo, hi in (tail, head)) + counted[inner[1]] - counted[inner[0]]
+            parts = sum(np.where(hi > lo, sums[hi] - sums[lo], 0.0) for lo, hi in (tail, head))
+            out[f"velocity_value_{label}"] = parts + np.where(inner[1] > inner[0], summed[inner[1]] - summed[inner[0]], 0.0)
         yield pd.DataFrame(out)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        known = self._alive(timerValues.getCurrentWatermarkInMs())
+        if known:
+            self._wake(known)
+        yield from ()
+
     def close(self) -> None:
         pass
 
 
 def velocity_stream(
-    stream: DataFrame, key: str, event_id: str, micros: str, amount: str, windows: Mapping[str, int], delay_seconds: int = 3600
+    stream: DataFrame, key: str, event_id: str, ts: str, amount: str, windows: Mapping[str, int], delay: str = "1 hour", bucket_seconds: int = 3600
 ) -> DataFrame:
     """Running velocity per key: count and sum of strictly earlier rows in each window.
 
-    State per key is the rows of the longest window and the delay.  Rows of one
-    micro-batch are put in order of time; a row that arrives within the delay
-    still sees its whole window, and is counted for the rows after it.
+    State per key is its rows by bucket of time and one total a bucket: a batch reads the rows of the buckets where its windows
+    begin or end, the totals of those between, and writes only the buckets it adds to.  A bucket is dropped when the watermark
+    has left it behind by the longest window, and a timer drops the last of a key that gets no more rows, so
+    state ends with its reach.  A key's rows of one batch, and those of its buckets read, are one group: rows that repeat one
+    (key, bucket) without bound are held by one task.
+
+    Rows of one micro-batch are put in order of time; a row that arrives within the delay still sees its whole window, and is
+    counted for the rows after it; later ones are dropped.  A null amount counts as a row of sum 0; rows without a time are dropped.
     """
-    rows = stream.select(F.col(key).alias("key"), F.col(event_id).alias("event_id"), F.col(micros).alias("us"), F.col(amount).alias("amount"))
-    key_type = dict(rows.dtypes)["key"]
+    rows = stream.where(F.col(ts).isNotNull()).withWatermark(ts, delay).select(
+        F.col(key).alias("key"), F.col(event_id).alias("event_id"), F.col(ts).alias("ts"), F.unix_micros(ts).alias("us"),
+        F.col(amount).cast("double").alias("amount"),
+    )
+    types = dict(rows.dtypes)
     cols = ", ".join(f"velocity_count_{w} BIGINT, velocity_value_{w} DOUBLE" for w in windows)
     return rows.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=_Velocity(windows, delay_seconds),
-        outputStructType=f"key {key_type}, event_id {dict(rows.dtypes)['event_id']}, {cols}",
+        statefulProcessor=_Velocity(windows, bucket_seconds),
+        outputStructType=f"key {types['key']}, event_id {types['event_id']}, {cols}",
         outputMode="Append",
-        timeMode="None",
+        timeMode="EventTime",
     )
 
 
 # --- running corroboration ----------------------------------------------------------------
 
 
-class _Corroboration(StatefulProcessor):
-    """Events of a key until no open window can need them; each hit answered once."""
-
-    def __init__(self, half_us: int):
-        self.half = half_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.seen = handle.getListState("seen", "us BIGINT, source STRING, hit_id BIGINT, open BOOLEAN")
-
-    def _settle(self, key, rows: list, watermark_ms: int) -> pd.DataFrame:
-        closed = watermark_ms * 1000
-        rows.sort(key=lambda r: r[0])
-        us = np.array([r[0] for r in rows], dtype=np.int64)
-        sources = np.array([r[1] for r in rows], dtype=object)
-        due = [i for i, r in enumerate(rows) if r[3] and r[0] + self.half < closed]
-        by_source = {s: us[sources == s] for s in set(sources[due])} if due else {}
-        out = []
-        for i in due:
-            t, source = rows[i][0], rows[i][1]
-            lo, hi = t - self.half, t + self.half
-            every = np.searchsorted(us, hi, "right") - np.searchsorted(us, lo, "left")
-            own = by_source[source]
-            same = np.searchsorted(own, hi, "right") - np.searchsorted(own, lo, "left")
-            out.append((key[0], rows[i][2], int(every - same), bool(every == same)))
-        done = set(due)
-        pending = [r[0] for i, r in enumerate(rows) if r[3] and i not in done]
-        if pending:
-            # wake up when the earliest open hit is due; that call sets the next one
-            self.handle.registerTimer((min(pending) + self.half) // 1000 + 1)
-        floor = min(pending + [closed]) - self.half
-        kept = [(r[0], r[1], r[2], r[3] and i not in done) for i, r in enumerate(rows) if r[0] >= floor]
-        if kept:
-            self.seen.put(kept)
-        else:
-            self.seen.clear()
-        answers = pd.DataFrame(out, columns=["key", "hit_id", "matches", "single_source"])
-        return answers.astype({"hit_id": "int64", "matches": "int64", "single_source": "bool"})
-
-    def _rows(self) -> list:
-        return [tuple(r) for r in self.seen.get()] if self.seen.exists() else []
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows))
-        both = self._rows() + [
-            (int(u), s, int(h), True) for u, s, h in zip(new["us"], new["source"], new["hit_id"])
-        ]
-        yield self._settle(key, both, timerValues.getCurrentWatermarkInMs())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._settle(key, self._rows(), timerValues.getCurrentWatermarkInMs())
-
-    def close(self) -> None:
-        pass
-
-
 def corroborate_stream(
-    stream: DataFrame, key: str, hit_id: str, ts: str, micros: str, source: str, window_seconds: float, delay: str
+    hits: DataFrame, events: DataFrame, key: str, hit_id: str, ts: str, source: str, window_seconds: float, delay: str
 ) -> DataFrame:
     """Per hit, the events of other sources within the window centred on it; none is single-source.
 
-    A hit is answered once, when the watermark has passed the end of its window,
-    so no pairs are formed and late matches are in the count.
+    An outer join of two streams: both sides meet on (key, time bucket) and within the bounds of the window, so Spark
+    itself drops a row from its state once the watermark of the other side can reach it no longer, and a key's rows are spread
+    over as many groups as it has buckets.  A bucket is as long as the window; a hit goes to its own, an event to the one or two
+    that its window touches, so each pair meets once.  The pairs are counted as they are formed; a hit is answered once, when
+    the watermark has passed the end of its window, and late matches up to then are in the count.
+
+    A hit without a key has no matches, one without a source is met by any; events without a source, and rows without a time,
+    meet nothing.  ``hits`` and ``events`` may be the same table, read twice; a hit's own row is never of another source.
     """
-    rows = stream.withWatermark(ts, delay).select(
-        F.col(key).alias("key"), F.col(hit_id).alias("hit_id"), F.col(ts).alias("ts"), F.col(micros).alias("us"), F.col(source).alias("source")
-    )
-    return rows.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=_Corroboration(int(window_seconds * 500_000)),
-        outputStructType=f"key {dict(rows.dtypes)['key']}, hit_id BIGINT, matches BIGINT, single_source BOOLEAN",
-        outputMode="Append",
-        timeMode="EventTime",
+    half = int(window_seconds * 500_000)
+    reach = F.expr(f"INTERVAL {half} MICROSECONDS")
+    step = max(1, 2 * half)
+
+    def bucket(at: Column) -> Column:
+        return F.floor(F.unix_micros(at) / F.lit(step)).cast("bigint")
+
+    asks = hits.select(F.col(ts).alias("__at"), F.col(hit_id).alias("hit_id"), F.col(key).alias("__key"), F.col(source).alias("__source"))
+    asks = asks.withWatermark("__at", delay).withColumn("__bucket", bucket(F.col("__at")))
+    facts = events.select(F.col(ts).alias("__ts"), F.col(key).alias("__k"), F.col(source).alias("__s"))
+    facts = facts.withWatermark("__ts", delay).where(F.col("__s").isNotNull())
+    touched = F.array_distinct(F.array(bucket(F.col("__ts") - reach), bucket(F.col("__ts") + reach)))
+    facts = facts.withColumn("__b", F.explode(touched))
+    met = asks.join(
+        facts,
+        (F.col("__key") == F.col("__k"))
+        & (F.col("__bucket") == F.col("__b"))
+        & ~F.col("__source").eqNullSafe(F.col("__s"))
+        & (F.col("__ts") >= F.col("__at") - reach)
+        & (F.col("__ts") <= F.col("__at") + reach),
+        "left",
     )
+    counted = met.groupBy("hit_id", "__at").agg(F.count("__k").alias("matches"))
+    return counted.select("hit_id", "matches", (F.col("matches") == 0).alias("single_source"))
