@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -10,6 +11,7 @@ from watchfold import constants as K
 from watchfold.functions.hashing import sha256
 from watchfold.functions.jsontext import uuid_form
 from watchfold.functions.text import display_name
+from watchfold.operators.ledger import Recorded, artefact_of, kept_in, record_evidence
 from watchfold.scale import hash_rank
 
 Patterns = Sequence[tuple[str, str]]
@@ -195,3 +197,71 @@ def notification_digest(outcomes: DataFrame, email: str, per_notice: int = 200)
 def outcome_summary(outcomes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     counts = [F.count_if(F.col("action_taken") == a).alias(a) for a in ("removed", "failed", "skipped")]
     return outcomes.groupBy(*by).agg(F.count(F.lit(1)).alias("violations"), *counts)
+
+
+# --- the whole run -----------------------------------------------------------------
+
+
+class GuardRun(NamedTuple):
+    """What one run over all profiles leaves behind."""
+
+    violations: DataFrame  # every match with its outcome, case and the snapshot that preceded it
+    new_cases: DataFrame
+    evidence: Recorded | None  # snapshots of the bookmark trees; none in a dry run
+    notices: DataFrame
+    unsent: DataFrame  # outcomes whose profile has no e-mail
+    summary: DataFrame
+
+
+_PROFILE = ("hostname", "os_username", "profile_dir")
+
+
+def guard_run(
+    profiles: DataFrame, patterns: Patterns, domain: str, removed: DataFrame, cases: DataFrame, at: str, vault: str, signing_key_id: str,
+    dry_run: bool = False, retention_class: str = "standard_7y", folder: str | None = None,
+) -> GuardRun:
+    """Detect, preserve, respond and notify in one run at the ISO time ``at``.
+
+    profiles: one row per (hostname, os_username, profile_dir) with bookmarks_json and preferences_json; ``removed``: the same three,
+    url and item_type of what was taken out.  Every match has a case, one per host and day.  The bookmark tree of each profile
+    with a matching bookmark is recorded as evidence, and the profile's bookmark violations carry its ``evidence_artefact_id``;
+    homepages carry none, nor do bookmarks whose snapshot was rejected.  A dry run takes out, opens and records
+    nothing: all outcomes are ``skipped``, case and artefact are null.
+
+    With a ``folder`` the outcomes and the recorded requests are written there once and shared by all results.
+    """
+    keys = [*_PROFILE, "url", "item_type"]
+    outcomes = removal_outcome(scan_profiles(profiles, patterns, domain), removed, keys, dry_run)
+    none = F.lit(None).cast("string")
+    if dry_run:
+        outcomes = kept_in(outcomes, folder and f"{folder}/outcomes")
+        notices, unsent = notification_digest(outcomes, "chrome_email")
+        skipped = outcomes.withColumns({"case_code": none, "case_id": none, "evidence_artefact_id": none})
+        opened = skipped.where(F.lit(False)).select("case_id", "case_code", F.col("title"), none.alias("subject_ref"), none.alias("severity"))
+        return GuardRun(skipped, opened, None, notices, unsent, outcome_summary(outcomes))
+    dated = outcomes.withColumn("__day", F.to_timestamp(F.lit(at)))
+    cased, opened = assign_daily_case(dated, cases, "hostname", "__day", "os_username")
+    cased = kept_in(cased.drop("__day"), folder and f"{folder}/outcomes")
+    request = F.concat_ws("|", *_PROFILE)
+    shown = cased.where(F.col("item_type") == "bookmark").select(*_PROFILE, "case_id").distinct()
+    snapshots = profiles.select(*_PROFILE, F.col("bookmarks_json").alias("content")).join(shown, list(_PROFILE)).select(
+        request.alias("request_id"),
+        "case_id",
+        "content",
+        F.lit("bookmark_guard.chrome").alias("source_system"),
+        F.lit("manual").alias("collection_method"),
+        F.concat(F.lit("bookmarks before removal: profile="), "profile_dir", F.lit(" host="), "hostname").alias("query"),
+        F.concat(F.lit("bookmark_guard:responder:"), "os_username").alias("collector_principal"),
+        F.lit(at).alias("collected_at_utc"),
+        F.lit("+00:00").alias("original_tz"),
+        F.lit("application/json").alias("mime_type"),
+        F.array(F.lit("browser_bookmark"), F.lit("pii_url")).alias("pii_tags"),
+        F.lit(retention_class).alias("retention_class"),
+        F.col("hostname").alias("host"),
+    )
+    evidence = record_evidence(snapshots, shown.select("case_id"), vault, signing_key_id, folder=folder and f"{folder}/evidence")
+    taken = evidence.items.select("artefact_id", F.col("artefact_id").alias("evidence_artefact_id"))
+    of = F.when(F.col("item_type") == "bookmark", artefact_of("case_id", request))
+    violations = cased.withColumn("artefact_id", of).join(taken, "artefact_id", "left").drop("artefact_id")
+    notices, unsent = notification_digest(cased, "chrome_email")
+    return GuardRun(violations, opened, evidence, notices, unsent, outcome_summary(cased))

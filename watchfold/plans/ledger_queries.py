@@ -371,3 +371,89 @@ def e15(spark, sf):
     audit = t.supplier.select(F.col("s_suppkey").alias("target"), F.col("s_name").alias("actor"))
     items = t.lineitem.select(F.col("l_orderkey").alias("case_id"), F.col("l_suppkey").alias("artefact_id"))
     return E.of_case(audit, "target", items, _busiest(t))
+
+
+# --- recording ---------------------------------------------------------------------------
+
+_AT = "2024-05-06T07:08:09Z"
+
+
+def uuid_sql(h):
+    return f"{h}[1:8] || '-' || {h}[9:12] || '-' || {h}[13:16] || '-' || {h}[17:20] || '-' || {h}[21:32]"
+
+
+def recorded(t):
+    """Every document as a request; one language in four has no case, and some requests have faults."""
+    d = F.col("doc_id")
+    requests = t.documents.select(
+        d.cast("string").alias("request_id"),
+        F.concat(F.lit("case-"), F.coalesce("lang", F.lit("none"))).alias("__c"),
+        F.lit("doc.store").alias("source_system"),
+        F.when(d % 10 == 2, "scrape").otherwise("api").alias("collection_method"),
+        F.concat(F.lit("doc "), d.cast("string")).alias("query"),
+        F.lit("svc").alias("collector_principal"),
+        F.when(d % 10 == 4, "yesterday").otherwise(_AT).alias("collected_at_utc"),
+        F.lit("UTC").alias("original_tz"),
+        F.col("text").alias("content"),
+        F.lit("text/plain").alias("mime_type"),
+        F.when(d % 7 == 1, "forever").otherwise("standard_7y").alias("retention_class"),
+        F.array(F.lit("PII:body")).alias("pii_tags"),
+        F.lit("h1").alias("host"),
+    )
+    requests = requests.withColumn("case_id", E.uuid_form(F.sha2("__c", 256))).drop("__c")
+    cases = t.documents.where(F.col("lang") != "de").select(E.uuid_form(F.sha2(F.concat(F.lit("case-"), "lang"), 256)).alias("case_id"))
+    return E.record_evidence(requests, cases, "s3://vault", "k1")
+
+
+RECORD_SQL = f"""req AS (SELECT *, sha256('case-' || coalesce(lang, 'none')) AS ch, {uuid_sql("ch")} AS case_id, sha256('artefact:' || case_id || ':' || doc_id) AS ah, {uuid_sql("ah")} AS artefact_id,
+     CASE WHEN doc_id % 10 = 2 THEN 'scrape' ELSE 'api' END AS method, coalesce(text, '') AS body,
+     CASE WHEN lang = 'de' OR lang IS NULL THEN 'case' WHEN doc_id % 7 = 1 THEN 'retention' WHEN doc_id % 10 IN (2, 4) THEN 'manifest' END AS stage,
+     CASE stage WHEN 'case' THEN 'case_id:known' WHEN 'retention' THEN 'retention_class:known' WHEN 'manifest' THEN CASE WHEN doc_id % 10 = 2 THEN 'collection_method:known' ELSE 'collected_at_utc:iso' END END AS reason FROM documents),
+  rec AS (SELECT artefact_id, case_id, octet_length(encode(body)) AS bytes, sha256(body) AS sha, sha256('collected:' || artefact_id) AS eh, {uuid_sql("eh")} AS event_id,
+     sha256('{{"artefact_id":"' || artefact_id || '","bytes":' || bytes || ',"case_id":"' || case_id || '","collected_at_utc":"{_AT}","collection_method":"api","collector_principal":"svc","manifest_version":1,"mime_type":"text/plain","original_tz":"UTC","pii_tags":["PII:body"],"query":"doc ' || doc_id
+       || '","retention_class":"standard_7y","s3_uri":"s3://vault/artefacts/' || case_id || '/' || artefact_id || '","sha256":"' || sha || '","source_system":"doc.store"}}') AS manifest_sha256,
+     sha256('{{"actor":"svc","actor_ip":null,"artefact_id":"' || artefact_id || '","event_id":"' || event_id || '","event_time_utc":"{_AT}","event_type":"collected","host":"h1","prev_event_hash":"{ZERO_HASH}","purpose":"collected by api from doc.store"}}') AS this_event_hash
+     FROM req WHERE stage IS NULL)"""
+
+
+@query(
+    "e_record_evidence",
+    f"""WITH {RECORD_SQL} SELECT artefact_id, case_id, bytes, manifest_sha256, event_id, this_event_hash,
+        '{{"case_id":"' || case_id || '","source_system":"doc.store","bytes":' || bytes || ',"sha256":"' || sha || '"}}' AS details FROM rec""",
+)
+def e_record(spark, sf):
+    """Item, first custody event and audit row of every recorded artefact, side by side."""
+    r = recorded(Tables(spark, sf))
+    audit = r.audit.select(F.col("target").alias("artefact_id"), "details")
+    events = r.events.select("artefact_id", "event_id", "this_event_hash")
+    items = r.items.select("artefact_id", "case_id", "bytes", "manifest_sha256")
+    return items.join(events, "artefact_id").join(audit, "artefact_id")
+
+
+@query("e_record_rejected", f"WITH {RECORD_SQL} SELECT CAST(doc_id AS VARCHAR) AS request_id, case_id, stage, reason FROM req WHERE stage IS NOT NULL")
+def e_record_rejected(spark, sf):
+    return recorded(Tables(spark, sf)).rejected
+
+
+@query(
+    "e7_record_access",
+    f"""WITH {RECORD_SQL}, ev AS (SELECT *, sha256('accessed:' || artefact_id || ':' || artefact_id) AS vh, {uuid_sql("vh")} AS access_id FROM rec)
+        SELECT artefact_id, this_event_hash AS prev_event_hash, sha256('{{"actor":"reader","actor_ip":null,"artefact_id":"' || artefact_id || '","event_id":"' || access_id
+          || '","event_time_utc":"2024-06-01T00:00:00Z","event_type":"accessed","host":null,"prev_event_hash":"' || this_event_hash || '","purpose":"audit"}}') AS this_event_hash,
+          'ok' AS outcome, '{{"steps":5}}' AS details FROM ev""",
+)
+def e7_access(spark, sf):
+    """Every recorded artefact is verified and read once; the access follows its first event."""
+    t = Tables(spark, sf)
+    r = recorded(t)
+    body = t.documents.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), F.coalesce("text", F.lit("")).alias("content")).dropDuplicates(["sha256"])
+    blobs = r.items.select("artefact_id", "sha256").join(body, "sha256").select("artefact_id", "content")
+    asked = r.items.select(
+        "artefact_id", F.col("artefact_id").alias("request_id"), F.lit("reader").alias("accessor"), F.lit("audit").alias("purpose"),
+        F.lit("2024-06-01T00:00:00Z").alias("accessed_at_utc"),
+    )
+    signed = r.items.select("artefact_id", "sha256", F.lit(True).alias("signature_ok"))
+    report = E.verify_evidence(asked, r.items, blobs, signed, E.replay_chain(r.events))
+    events, audit = E.record_access(report, E.chain_tips(r.events, r.items))
+    told = audit.select(F.col("target").alias("artefact_id"), "outcome", "details")
+    return events.select("artefact_id", "prev_event_hash", "this_event_hash").join(told, "artefact_id")

@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from watchfold.operators import urlscan as U
+from watchfold.plans.ledger_queries import uuid_sql
 from watchfold.plans.registry import Tables, query
+from watchfold.session import shared_dir
 
 PATTERNS = [
     ("spam", r"spam-farm"),
@@ -26,7 +28,7 @@ def c1(spark, sf):
 
 
 ACCOUNT_SQL = """acct AS (SELECT page_id, url, CASE WHEN page_id % 6 = 5 THEN NULL ELSE c_name || '@' || CASE WHEN page_id % 3 = 0 THEN 'Corp.Example' ELSE 'corp.example' END
-    || CASE WHEN page_id % 4 = 1 THEN '.org' ELSE '' END END AS email FROM pages JOIN customer ON c_custkey = page_id)"""
+    || CASE WHEN page_id % 4 = 1 THEN '.org' ELSE '' END END AS email FROM pages LEFT JOIN customer ON c_custkey = page_id)"""
 
 
 def accounts(t):
@@ -34,7 +36,7 @@ def accounts(t):
     tail = F.when(F.col("page_id") % 4 == 1, ".org").otherwise("")
     email = F.when(F.col("page_id") % 6 != 5, F.concat("c_name", F.lit("@"), domain, tail))
     people = t.customer.select(F.col("c_custkey").alias("page_id"), "c_name")
-    return t.pages.select("page_id", "url").join(people, "page_id").select("page_id", "url", email.alias("email"))
+    return t.pages.select("page_id", "url").join(people, "page_id", "left").select("page_id", "url", email.alias("email"))
 
 
 @query("c3_corporate_only", f"WITH {ACCOUNT_SQL} SELECT page_id, email FROM acct WHERE lower(email) LIKE '%@corp.example'")
@@ -235,3 +237,48 @@ def c9_none(spark, sf):
 )
 def c10(spark, sf):
     return U.outcome_summary(outcomes(Tables(spark, sf)), ["pattern_name"])
+
+
+# --- the whole run -----------------------------------------------------------------------
+
+_RUN_DAY = "2024-05-06"
+
+
+def guard(t, dry_run=False):
+    people = profiles(t)
+    keys = ["hostname", "os_username", "profile_dir", "url", "item_type"]
+    gone = U.scan_profiles(people, PATTERNS, "corp.example").where(F.length("url") % 7 != 0).select(*keys)
+    cases = t.region.select(
+        F.concat(F.lit("BG-host"), F.col("r_regionkey").cast("string"), F.lit(f"-{_RUN_DAY}")).alias("case_code"), F.col("r_name").alias("case_id")
+    )
+    folder = None if dry_run else shared_dir(t.spark, "guard")
+    return U.guard_run(people, PATTERNS, "corp.example", gone, cases, f"{_RUN_DAY}T10:00:00Z", "s3://vault", "k1", dry_run, folder=folder)
+
+
+# An id is a UUID only where the run opened the case itself; a snapshot for another case breaks the manifest's rule.
+GUARD_SQL = MATCHES_SQL + f""", cased AS (SELECT o.*, 'BG-' || hostname || '-{_RUN_DAY}' AS case_code, sha256(case_code) AS h, coalesce(r_name, {uuid_sql("h")}) AS case_id, r_name IS NULL AS opened,
+     sha256('artefact:' || coalesce(r_name, {uuid_sql("h")}) || ':' || hostname || '|' || os_username || '|' || profile_dir) AS a FROM outcomes o LEFT JOIN region ON hostname = 'host' || r_regionkey)"""
+
+
+@query(
+    "c_guard_run",
+    f"""WITH {GUARD_SQL} SELECT hostname, os_username, profile_dir, url, item_type, action_taken, case_code, case_id,
+        CASE WHEN item_type = 'bookmark' AND opened THEN {uuid_sql("a")} END AS evidence_artefact_id FROM cased""",
+)
+def c_guard(spark, sf):
+    out = guard(Tables(spark, sf)).violations
+    return out.select("hostname", "os_username", "profile_dir", "url", "item_type", "action_taken", "case_code", "case_id", "evidence_artefact_id")
+
+
+@query(
+    "c_guard_evidence",
+    f"""WITH {GUARD_SQL} SELECT DISTINCT case_id, {uuid_sql("a")} AS artefact_id, 'bookmarks before removal: profile=' || profile_dir || ' host=' || hostname AS query,
+        'bookmark_guard:responder:' || os_username AS collector_principal FROM cased WHERE item_type = 'bookmark' AND opened""",
+)
+def c_guard_evidence(spark, sf):
+    return guard(Tables(spark, sf)).evidence.items.select("case_id", "artefact_id", "query", "collector_principal")
+
+
+@query("c_guard_dry_run", f"WITH {MATCHES_SQL} SELECT profile_dir, url, item_type, 'skipped' AS action_taken, CAST(NULL AS VARCHAR) AS case_id FROM found")
+def c_guard_dry(spark, sf):
+    return guard(Tables(spark, sf), dry_run=True).violations.select("profile_dir", "url", "item_type", "action_taken", "case_id")
