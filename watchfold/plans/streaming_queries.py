@@ -10,10 +10,14 @@ from watchfold.streaming import flows as S
 
 
 def stream_of(spark, sf, name):
-    """A table of the folder as a file stream."""
+    """A table of the folder as a file stream.
+
+    The table may be one file or a folder of files.  A pattern (of one alternative) takes both: a plain path to a file
+    is no source of a stream, and a filter on file names misses those inside a folder.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{{{name}.parquet}}")
 
 
 def event_stream(spark, sf):
