@@ -524,6 +524,7 @@ def attach_by_key(df: DataFrame, counts: DataFrame, key: str, n: str, limit: int
     salted = marked.withColumn(
         "__salt", F.when(done, 1 + F.pmod(F.xxhash64(*df.columns), F.lit(8191))).otherwise(F.lit(0))
     )
-    rest = counts.select(F.col(key).alias("__ck"), F.col(n).alias("__cn"), F.lit(0).cast("bigint").alias("__cs"))
+    # the lookup rows' salt is 0, but not a constant: Spark would put that into the condition and join on the key alone
+    rest = counts.select(F.col(key).alias("__ck"), F.col(n).alias("__cn"), F.pmod(F.xxhash64(key), F.lit(1)).alias("__cs"))
     joined = salted.join(rest, (F.col(key) == F.col("__ck")) & (F.col("__salt") == F.col("__cs")), "left")
     return joined.select(*df.columns, F.coalesce("__hn", "__cn").alias(n))
