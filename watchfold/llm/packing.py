@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from watchfold.llm.common import written
+from watchfold.llm.common import bounded_batches, give_back, written
 
 CAPACITY = 2048
 WASTE = 32  # a rest stays whole if it leaves at most a part of 1/WASTE of its slot empty
@@ -151,6 +151,8 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         rows = [(*piece, k, task, n, 0, False) for k, own in waiting.items() for n, piece in enumerate(own)]
         if rows:
             yield out(rows)
+        del encoder, waiting, rows
+        give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(run, f"doc_id {kind}, {_ROWS}")
@@ -165,6 +167,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, id_
     A null or empty text is the end id alone; rows repeating an id are packed each; a null id stays null;
     an empty table gives no pieces.  Other columns of ``docs`` are ignored.
     """
+    bounded_batches(spark)
     cut = written(pieces(docs, tokenizer or tokenizer_path(), id_col, text_col, end_id, capacity, waste), spark, "pieces")
     shown = ["doc_id", "start", "length", "ids", "doc_tokens"]
     full = cut.where("full").select(*shown, (F.col("task").cast("bigint") * F.lit(1 << 32) + F.col("nth")).alias("sequence_id"), "offset")

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from watchfold.llm.common import mix, pack48, text_buffer, unpack48, written
+from watchfold.llm.common import bounded_batches, give_back, mix, pack48, text_buffer, unpack48, written
 
 ORDER = 5  # at most 5: longer n-grams do not fit into 48 bits
 FOLDS = 5  # one fold in FOLDS of the trusted documents sets the thresholds and is not trained on
@@ -81,6 +81,8 @@ def gram_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
                         size = 0
         if held:
             yield pa.record_batch([*map(pa.array, _counted(held))], ["gram", "n"])
+        del held
+        give_back()
 
     return texts.select(text_col).mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -176,6 +178,8 @@ def scores(spark: SparkSession, docs: DataFrame, kn: DataFrame, id_col: str = "d
             packed = [pack48(x.astype(np.uint64)) for x in np.split(wanted[order], first[1:])] if len(wanted) else []
             # A block without any text asks nothing, but is known.
             yield pa.record_batch([pa.array([number] * (len(there) or 1), pa.int64()), pa.array(there if len(there) else [-1], pa.int64()), pa.array(packed or [b""], pa.binary())], ["block", "shard", "grams"])
+            del texts, wanted, shard, order, packed
+            give_back()
 
     text = F.col(text_col).cast("string")
     asked = written(docs.select(text).mapInArrow(ask, "block bigint, shard bigint, grams binary"), spark, "asked")
@@ -271,6 +275,7 @@ def judge(spark: SparkSession, docs: DataFrame, trusted: DataFrame, id_col: str
     table gives no rows; very long texts are read whole; other columns are ignored.  ``docs`` is read
     more than once: give a table, or a plan whose partitions do not change.
     """
+    bounded_batches(spark)
     ids = trusted.select(F.col(id_col).alias("t")).where("t is not null").distinct()
     fold = F.pmod(F.xxhash64("t"), F.lit(FOLDS))
     seen = ids.where(fold != 0)
