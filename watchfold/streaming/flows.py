@@ -122,27 +122,40 @@ def observed(query: StreamingQuery, name: str) -> list[dict]:
 
 
 class _Velocity(StatefulProcessor):
-    """A key's rows by bucket of time, and each bucket's totals, until no accepted row can look back at them."""
+    """A key's rows until no accepted row can look back at them.
 
-    def __init__(self, windows: Mapping[str, int], bucket_seconds: int):
+    The rows of most keys are few: they are one list, read and added to in one call each.  Once a key has more than
+    ``few``, they go to maps, by bucket of time, with each bucket's totals; the list then begins anew.
+    """
+
+    def __init__(self, windows: Mapping[str, int], bucket_seconds: int, few: int = 4096):
         self.windows = {label: seconds * 1_000_000 for label, seconds in windows.items()}
         self.step = bucket_seconds * 1_000_000
         self.reach = max(self.windows.values())
+        self.few = few
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        self.loose = handle.getListState("loose", "us BIGINT, amount DOUBLE")
         self.totals = handle.getMapState("totals", "bucket BIGINT", "n BIGINT, total DOUBLE")
         self.rows = handle.getMapState("rows", "bucket BIGINT", "us ARRAY<BIGINT>, amount ARRAY<DOUBLE>")
 
-    def _alive(self, watermark_ms: int) -> dict[int, tuple[int, float]]:
-        """Totals by bucket, after those that ended before the reach of the watermark are dropped."""
+    def _alive(self, watermark_ms: int) -> tuple[dict[int, tuple[int, float]], list[tuple[int, float]]]:
+        """Totals by bucket and the listed rows, after those that ended before the reach of the watermark are dropped."""
         floor = watermark_ms * 1000 - self.reach
         known = {k[0]: (v[0], v[1]) for k, v in self.totals.iterator()}
         for bucket in [b for b in known if (b + 1) * self.step <= floor]:
             del known[bucket]
             self.totals.removeKey((bucket,))
             self.rows.removeKey((bucket,))
-        return known
+        listed = [(r[0], r[1]) for r in self.loose.get()]
+        loose = [r for r in listed if (r[0] // self.step + 1) * self.step > floor]
+        if len(loose) < len(listed):
+            if loose:
+                self.loose.put(loose)
+            else:
+                self.loose.clear()
+        return known, loose
 
     def _wake(self, buckets) -> None:
         """One timer a key, for when its newest bucket is out of reach."""
@@ -150,23 +163,34 @@ class _Velocity(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows)).sort_values("us", kind="stable")
-        known = self._alive(timerValues.getCurrentWatermarkInMs())
+        known, loose = self._alive(timerValues.getCurrentWatermarkInMs())
         at, value = new["us"].to_numpy(np.int64), new["amount"].fillna(0.0).to_numpy(np.float64)
         own = at // self.step
         # The buckets where a window begins or ends are read row by row, those between by their totals.
-        ends = np.unique(np.concatenate([own] + [(at - w) // self.step for w in self.windows.values()]))
+        ends = np.unique(np.concatenate([own] + [(at - w) // self.step for w in self.windows.values()])) if known else own[:0]
         stored = {b: self.rows.getValue((b,)) for b in ends.tolist() if b in known}
-        us = np.concatenate([np.array(r[0], np.int64) for r in stored.values()] + [at])
-        amount = np.concatenate([np.array(r[1], np.float64) for r in stored.values()] + [value])
-        for bucket in np.unique(own).tolist():
-            mine = own == bucket
-            was = stored.get(bucket, ([], []))
+        if not known and not loose:
+            self._wake(own.tolist())
+        few_us = np.concatenate([np.array([r[0] for r in loose], np.int64), at])
+        few_amount = np.concatenate([np.array([r[1] for r in loose], np.float64), value])
+        us = np.concatenate([np.array(r[0], np.int64) for r in stored.values()] + [few_us])
+        amount = np.concatenate([np.array(r[1], np.float64) for r in stored.values()] + [few_amount])
+        filed = len(few_us) > self.few
+        if filed:
+            self.loose.clear()
+        else:
+            self.loose.appendList(list(zip(at.tolist(), value.tolist())))
+        few_own = few_us // self.step
+        by_bucket = np.argsort(few_own, kind="stable")
+        touched, first = np.unique(few_own[by_bucket], return_index=True)
+        for bucket, mine in zip(touched.tolist(), np.split(by_bucket, first[1:])):
             n, total = known.get(bucket, (0, 0.0))
-            if not known:
-                self._wake(own.tolist())
-            known[bucket] = (n + int(mine.sum()), total + float(value[mine].sum()))
-            self.totals.updateValue((bucket,), known[bucket])
-            self.rows.updateValue((bucket,), ([*was[0], *at[mine].tolist()], [*was[1], *value[mine].tolist()]))
+            if filed:
+                was = (stored[bucket] if bucket in stored else self.rows.getValue((bucket,))) if bucket in known else ([], [])
+                self.rows.updateValue((bucket,), ([*was[0], *few_us[mine].tolist()], [*was[1], *few_amount[mine].tolist()]))
+            known[bucket] = (n + len(mine), total + float(few_amount[mine].sum()))
+            if filed:
+                self.totals.updateValue((bucket,), known[bucket])
         order = np.argsort(us, kind="stable")
         us = us[order]
         sums = np.concatenate([[0.0], np.cumsum(amount[order])])
@@ -186,9 +210,9 @@ class _Velocity(StatefulProcessor):
         yield pd.DataFrame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        known = self._alive(timerValues.getCurrentWatermarkInMs())
-        if known:
-            self._wake(known)
+        known, loose = self._alive(timerValues.getCurrentWatermarkInMs())
+        if known or loose:
+            self._wake([*known, *(r[0] // self.step for r in loose)])
         yield from ()
 
     def close(self) -> None:
@@ -200,8 +224,9 @@ def velocity_stream(
 ) -> DataFrame:
     """Running velocity per key: count and sum of strictly earlier rows in each window.
 
-    State per key is its rows by bucket of time and one total a bucket: a batch reads the rows of the buckets where its windows
-    begin or end, the totals of those between, and writes only the buckets it adds to.  A bucket is dropped when the watermark
+    State per key is a list of its rows while they are few.  More are kept by bucket of time, with one total a bucket: a batch reads
+    the list, the rows of the buckets where its windows begin or end and the totals of those between, and adds to the list; the
+    list is dealt to its buckets when it is long.  A bucket, and a listed row, is dropped when the watermark
     has left it behind by the longest window, and a timer drops the last of a key that gets no more rows, so
     state ends with its reach.  A key's rows of one batch, and those of its buckets read, are one group: rows that repeat one
     (key, bucket) without bound are held by one task.
