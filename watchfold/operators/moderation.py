@@ -15,6 +15,7 @@ from watchfold.functions.hashing import hmac_sha256, sha256
 from watchfold.functions.jsontext import is_one_json, json_list, json_scalar, spaced_object, uuid_form
 from watchfold.functions.text import WORD_CLASS, is_blank, tokens, word_regex
 from watchfold.schemas import MESSAGE
+from watchfold.session import shared_dir
 
 # --- messages ------------------------------------------------------------------
 
@@ -75,6 +76,7 @@ def resolve_sender(msgs: DataFrame, directory: DataFrame) -> DataFrame:
 # --- keyword tiers ---------------------------------------------------------------
 
 RARE_FROM = 16  # one text in so many is counted to find a term's rarest piece
+PLAIN_WORD = f"^[{WORD_CLASS}]+$"
 
 
 class Term(NamedTuple):
@@ -122,10 +124,11 @@ def keyword_scan(df: DataFrame, text: str, terms: DataFrame | Sequence[Term], id
     """Adds ``hard_terms``, ``soft_terms`` and ``all_terms`` (no repeats, hard first).
 
     A list of ``Term`` is written into the plan and needs no shuffle.  A table (tier, ord, term, kind) of any size is
-    joined, each term on its rarest piece; the plan is the same whatever its size.
+    joined, each term by the segments that hold its rarest part; the plan is the same whatever its size.  The segments are worked
+    out at once and written to the shared folder.
     """
     if isinstance(terms, DataFrame):
-        return _scan_by_rarest_piece(df, text, terms, id_col)
+        return _scan_by_rarest_segment(df, text, terms, id_col)
 
     def of(tier: str) -> Column:
         words = list(dict.fromkeys(t.term for t in terms if t.tier == tier and t.kind == "word"))
@@ -163,6 +166,15 @@ def text_pieces(texts: DataFrame, low: str) -> DataFrame:
     return cut.select(*kept, F.explode(F.concat(words, "__three", "__two", "__one")).alias("piece"))
 
 
+def _word_pattern(term: Column) -> Column:
+    """The same pattern as functions.text.word_regex, from a column."""
+    quoted = F.regexp_replace(term, r"([^\p{L}\p{N}_\s])", r"\\$1")
+    word = f"[{WORD_CLASS}]"
+    left = F.when(F.substring(term, 1, 1).rlike(word), f"(?<!{word}").otherwise(f"(?<={word}")
+    right = F.when(F.right(term, F.lit(1)).rlike(word), f"(?!{word})").otherwise(f"(?={word})")
+    return F.concat(quoted, left, quoted, F.lit(")"), right)
+
+
 def term_pieces(terms: DataFrame) -> DataFrame:
     """(tier, kind, ord, term, re, piece): each piece that every text holding the term must have.
 
@@ -170,12 +182,7 @@ def term_pieces(terms: DataFrame) -> DataFrame:
     Any other word has a pattern for its boundaries, a phrase an empty one.
     """
     plain = F.col("term").rlike(f"^[{WORD_CLASS}]{{4,}}$") & (F.col("kind") == "word")
-    # the same pattern as functions.text.word_regex, from a column
-    quoted = F.regexp_replace("term", r"([^\p{L}\p{N}_\s])", r"\\$1")
-    word = f"[{WORD_CLASS}]"
-    left = F.when(F.substring("term", 1, 1).rlike(word), f"(?<!{word}").otherwise(f"(?<={word}")
-    right = F.when(F.right("term", F.lit(1)).rlike(word), f"(?!{word})").otherwise(f"(?={word})")
-    pattern = F.when(F.col("kind") == "word", F.concat(quoted, left, quoted, F.lit(")"), right)).otherwise("")
+    pattern = F.when(F.col("kind") == "word", _word_pattern(F.col("term"))).otherwise("")
     runs = F.when(F.length("term") >= 3, _runs_of_three(F.col("term"))).otherwise(F.array("term"))
     pieces = F.when(plain, F.array("term")).otherwise(runs)
     return terms.where(F.length("term") > 0).select("tier", "kind", "ord", "term", F.when(~plain, pattern).alias("re"), F.explode(pieces).alias("piece"))
@@ -195,16 +202,88 @@ def rarest_pieces(texts: DataFrame, low: str, terms: DataFrame, one_in: int = RA
     return best.select("tier", "kind", "ord", "term", "re", F.col("p.piece").alias("piece"))
 
 
-def _scan_by_rarest_piece(df: DataFrame, text: str, terms: DataFrame, id_col: str) -> DataFrame:
+def text_segments(texts: DataFrame, low: str, parts: DataFrame) -> DataFrame:
+    """``texts`` once for each of its distinct segments, without the lower-case column ``low``.
+
+    Segments are the maximal runs of word characters and, if any of ``parts`` is without word characters, those between them.
+    """
+    asked = parts.agg(F.coalesce(F.bool_or(~F.col("part").rlike(PLAIN_WORD)), F.lit(False)).alias("__asked"))
+    between = F.when(F.col("__asked"), F.split(low, f"[{WORD_CLASS}]+")).otherwise(_strings([]))
+    cut = F.array_remove(F.array_distinct(F.concat(tokens(F.col(low)), between)), "")
+    kept = [c for c in texts.columns if c != low]
+    return texts.crossJoin(F.broadcast(asked)).select(*kept, F.explode(cut).alias("segment"))
+
+
+def term_parts(terms: DataFrame) -> DataFrame:
+    """(tier, kind, ord, term, re, part, starts, ends): the segments of each term, but a blank beside others.
+
+    A text that holds the term has, for each part, a segment that holds the part: one that begins with it if ``starts``,
+    ends with it if ``ends``, and is it if both.  ``re`` is null for a word that is one token, a pattern for other
+    words, empty for a phrase.
+    """
+    word = F.col("kind") == "word"
+    pattern = F.when(word, _word_pattern(F.col("term"))).otherwise("")
+    in_order = F.regexp_extract_all("term", F.lit(f"[{WORD_CLASS}]+|[^{WORD_CLASS}]+"), F.lit(0))
+    parts = terms.where(F.length("term") > 0).select(
+        "tier", "kind", "ord", "term", F.when(~(word & F.col("term").rlike(PLAIN_WORD)), pattern).alias("re"), in_order.alias("__parts")
+    )
+    parts = parts.select("*", F.posexplode("__parts").alias("__at", "part")).where((F.size("__parts") == 1) | (F.col("part") != " "))
+    starts, ends = word | (F.col("__at") > 0), word | (F.col("__at") < F.size("__parts") - 1)
+    return parts.select("tier", "kind", "ord", "term", "re", "part", F.coalesce(starts, F.lit(False)).alias("starts"), F.coalesce(ends, F.lit(False)).alias("ends"))
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """The table by way of the shared folder: made once, and of a size that Spark knows when it chooses how to join."""
+    folder = shared_dir(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def segment_terms(texts: DataFrame, low: str, parts: DataFrame) -> DataFrame:
+    """(segment, tier, kind, ord, term, re): each term by the segments that hold the one of its ``parts`` that the fewest texts hold.
+
+    The texts are cut once, into segments.  Only the distinct segments, which are far fewer than those of all texts, are
+    cut further and searched for the parts.
+    """
+    segments = text_segments(texts.select(low), low, parts).groupBy("segment").agg(F.count(F.lit(1)).alias("n"))
+    segments = _written(segments, "segments")
+    how = ["part", "starts", "ends"]
+    whole = F.col("starts") & F.col("ends")
+    # each part once, as a term of its own that is looked for in the segments
+    asked = parts.select(*how).distinct().select(
+        F.concat_ws(",", "starts", "ends").alias("tier"), F.when(whole, "word").otherwise("phrase").alias("kind"), F.lit(0).alias("ord"), F.col("part").alias("term")
+    )
+    index = rarest_pieces(segments, "segment", asked).select(
+        F.col("term").alias("part"), F.col("tier").startswith("true").alias("starts"), F.col("tier").endswith("true").alias("ends"), "piece"
+    )
+    index = _written(index, "part-pieces")
+    fits = (
+        F.when(whole, F.col("segment") == F.col("part"))
+        .when(F.col("starts"), F.startswith("segment", "part"))
+        .when(F.col("ends"), F.endswith("segment", "part"))
+        .otherwise(F.contains("segment", "part"))
+    )
+    held = text_pieces(segments.withColumn("__cut", F.col("segment")), "__cut").join(index, "piece").where(fits).drop("piece")
+    held = _written(held, "segments-held")
+
+    # a part that no segment holds is the rarest: its term is in no text and joins nothing
+    rated = parts.join(held.groupBy(*how).agg(F.sum("n").alias("n")), how, "left")
+    best = rated.groupBy("tier", "kind", "ord", "term", "re").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), *how)).alias("p"))
+    best = best.select("tier", "kind", "ord", "term", "re", *[F.col(f"p.{c}").alias(c) for c in how])
+    return held.drop("n").join(best, how).drop(*how)
+
+
+def _scan_by_rarest_segment(df: DataFrame, text: str, terms: DataFrame, id_col: str) -> DataFrame:
     """Keyword scan against a term table of any size.
 
-    Texts are cut into their distinct pieces; the pieces that terms are made of are counted, each term is
-    joined on its rarest one, and the texts it may be in are then searched for it.  So terms that begin alike, or are made of
-    frequent pieces but for one, do not meet the texts that only share those.
+    Texts are cut into their distinct segments; each term is joined on the segments that hold its rarest part, and the texts it may
+    be in are then searched for it.  So terms that begin alike, or are made of frequent parts but for one, do not
+    meet the texts that only share those.
     """
     low = df.select(id_col, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("__low"))
-    index = rarest_pieces(low, "__low", terms)
-    found = text_pieces(low, "__low").join(index, "piece")
+    parts = term_parts(terms)
+    index = _written(segment_terms(low, "__low", parts), "segment-terms")
+    found = text_segments(low, "__low", parts).join(index, "segment")
     # The terms a text may hold; only these rows are shuffled, and the text meets them once to check those not certain yet.
     candidate = F.struct(
         F.when(F.col("tier") == "hard", 0).otherwise(1).alias("t"), F.when(F.col("kind") == "word", 0).otherwise(1).alias("k"), "ord", "term", "re"
