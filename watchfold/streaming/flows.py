@@ -251,41 +251,129 @@ def velocity_stream(
 # --- running corroboration ----------------------------------------------------------------
 
 
+LAST = "2262-04-01 00:00:00"
+
+
+class _Corroboration:
+    """The hits and events of one cell of keys and one bucket of time, held until no hit that is or may come can need them.
+
+    Whatever they number, they are one row of state: an Arrow stream of (us, ask, id, key, source, blank).
+    """
+
+    def __init__(self, half_us: int):
+        self.half = half_us
+
+    def _counted(self, facts_at, facts_code, at, code) -> np.ndarray:
+        """Per (at, code), the facts of that code no further away than half a window: those up to its end less those before it."""
+        f, m = len(facts_at), len(at)
+        side = np.repeat(np.array([1, 0, 2], np.int8), [f, m, m])
+        order = np.lexsort((side, np.concatenate([facts_at, at - self.half, at + self.half]), np.concatenate([facts_code, code, code])))
+        seen = np.empty(f + 2 * m, np.int64)
+        seen[order] = np.cumsum(order < f)
+        return seen[f + m :] - seen[f : f + m]
+
+    def _matches(self, facts: pd.DataFrame, due: pd.DataFrame) -> np.ndarray:
+        """Events of the key in the window, less those of the hit's own source."""
+        f = len(facts)
+        both = pd.concat([facts, due])
+        keys, _ = pd.factorize(both["key"], use_na_sentinel=False)
+        sources, found = pd.factorize(both["source"], use_na_sentinel=False)
+        blank = both["blank"].to_numpy()
+        keys = np.where(blank & 2, -1, keys)
+        own = np.where((blank & 6) > 0, -1, keys * max(1, len(found)) + sources)
+        at = both["us"].to_numpy(np.int64)
+        return self._counted(at[:f], keys[:f], at[f:], keys[f:]) - self._counted(at[:f], own[:f], at[f:], own[f:])
+
+    def __call__(self, cell, frames, state) -> Iterator[pd.DataFrame]:
+        import pyarrow as pa
+
+        rows = [frame[["us", "ask", "id", "key", "source", "blank"]] for frame in frames]
+        if state.exists:
+            rows.insert(0, pa.ipc.open_stream(state.get[0]).read_pandas())
+        if not rows:
+            return
+        known = pd.concat(rows, ignore_index=True)
+        closed = state.getCurrentWatermarkMs() * 1000
+        at, ask = known["us"].to_numpy(np.int64), known["ask"].to_numpy(bool)
+        answered = ask & (at + self.half < closed)
+        if answered.any():
+            due = known[answered]
+            matches = self._matches(known[~ask], due)
+            yield pd.DataFrame({"id": due["id"], "blank": due["blank"], "matches": matches})
+        # An open hit, and one yet to come, is no earlier than half a window before the watermark; its window as much again.
+        kept = np.where(ask, ~answered, at + 2 * self.half >= closed)
+        if not kept.any():
+            state.remove()
+            return
+        if len(rows) > 1 or not state.exists or not kept.all():
+            sink = pa.BufferOutputStream()
+            table = pa.Table.from_pandas(known[kept], preserve_index=False)
+            with pa.ipc.new_stream(sink, table.schema) as out:
+                out.write_table(table)
+            state.update((sink.getvalue().to_pybytes(),))
+        open_hits = at[kept & ask]
+        wake = open_hits.min() + self.half if len(open_hits) else at[kept].max() + 2 * self.half
+        state.setTimeoutTimestamp(max(1, int(wake) // 1000))
+
+
 def corroborate_stream(
-    hits: DataFrame, events: DataFrame, key: str, hit_id: str, ts: str, source: str, window_seconds: float, delay: str
+    hits: DataFrame, events: DataFrame, key: str, hit_id: str, ts: str, source: str, window_seconds: float, delay: str, cells: int = 16
 ) -> DataFrame:
     """Per hit, the events of other sources within the window centred on it; none is single-source.
 
-    An outer join of two streams: both sides meet on (key, time bucket) and within the bounds of the window, so Spark
-    itself drops a row from its state once the watermark of the other side can reach it no longer, and a key's rows are spread
-    over as many groups as it has buckets.  A bucket is as long as the window; a hit goes to its own, an event to the one or two
-    that its window touches, so each pair meets once.  The pairs are counted as they are formed; a hit is answered once, when
-    the watermark has passed the end of its window, and late matches up to then are in the count.
+    Both sides go to (cell, time bucket), a cell being one of ``cells`` parts of the keys: a hit to the bucket of its own time, an
+    event to the one or two that its window touches, so each pair meets once.  A bucket is 16 windows long.  The rows of a group are
+    one row of state, and the matches are counted by order of time, no pair is formed.  So the groups number the
+    buckets times ``cells``, not the rows; a key's rows are spread over its buckets.  A group's state is written anew in each
+    batch that adds to it or answers one of its hits; more cells make smaller groups.
+
+    A hit is answered once, when the watermark has passed the end of its window; late matches up to then are in the count.  Then it is
+    dropped, and an event once the watermark is a window past it, so state ends with its reach.
 
     A hit without a key has no matches, one without a source is met by any; events without a source, and rows without a time,
-    meet nothing.  ``hits`` and ``events`` may be the same table, read twice; a hit's own row is never of another source.
+    meet nothing.  A hit given twice is answered twice.  ``hits`` and ``events`` may be the same table, read twice; a hit's own row is
+    never of another source.  Rows of times from ``LAST`` on are late once the watermark has
+    passed it.
     """
     half = int(window_seconds * 500_000)
-    reach = F.expr(f"INTERVAL {half} MICROSECONDS")
-    step = max(1, 2 * half)
-
-    def bucket(at: Column) -> Column:
-        return F.floor(F.unix_micros(at) / F.lit(step)).cast("bigint")
-
-    asks = hits.select(F.col(ts).alias("__at"), F.col(hit_id).alias("hit_id"), F.col(key).alias("__key"), F.col(source).alias("__source"))
-    asks = asks.withWatermark("__at", delay).withColumn("__bucket", bucket(F.col("__at")))
-    facts = events.select(F.col(ts).alias("__ts"), F.col(key).alias("__k"), F.col(source).alias("__s"))
-    facts = facts.withWatermark("__ts", delay).where(F.col("__s").isNotNull())
-    touched = F.array_distinct(F.array(bucket(F.col("__ts") - reach), bucket(F.col("__ts") + reach)))
-    facts = facts.withColumn("__b", F.explode(touched))
-    met = asks.join(
-        facts,
-        (F.col("__key") == F.col("__k"))
-        & (F.col("__bucket") == F.col("__b"))
-        & ~F.col("__source").eqNullSafe(F.col("__s"))
-        & (F.col("__ts") >= F.col("__at") - reach)
-        & (F.col("__ts") <= F.col("__at") + reach),
-        "left",
+    step = max(1, 32 * half)
+    types = dict(hits.select(F.col(hit_id).alias("id"), F.col(key).alias("key"), F.col(source).alias("source")).dtypes)
+
+    def bucket(us: Column) -> Column:
+        return F.floor(us / F.lit(step)).cast("bigint")
+
+    def filled(name: str) -> Column:
+        """No null among integers: they would reach Python as floats.  ``blank`` says where nulls were."""
+        whole = types[name] in ("tinyint", "smallint", "int", "bigint")
+        return F.coalesce(F.col(name), F.lit(0).cast(types[name])).alias(name) if whole else F.col(name)
+
+    def timed(df: DataFrame) -> DataFrame:
+        return df.where(F.col(ts).isNotNull()).withWatermark(ts, delay)
+
+    def rows(df: DataFrame, ask: bool, at: Column) -> DataFrame:
+        named = df.select(
+            at.alias("at"), F.unix_micros(ts).alias("us"), F.lit(ask).alias("ask"),
+            (F.col(hit_id) if ask else F.lit(None)).cast(types["id"]).alias("id"),
+            F.col(key).cast(types["key"]).alias("key"), F.col(source).cast(types["source"]).alias("source"),
+        )
+        if ask:
+            return named.withColumn("bucket", bucket(F.col("us")))
+        touched = F.array_distinct(F.array(bucket(F.col("us") - half), bucket(F.col("us") + half)))
+        return named.where(F.col("key").isNotNull() & F.col("source").isNotNull()).withColumn("bucket", F.explode(touched))
+
+    # A worker holds no time beyond 2262: ``at``, which only says whether a row is late, stops there, while ``us`` is the row's own.
+    # The first part gives ``at`` its watermark, so it has the column itself.
+    last, asks = F.lit(LAST).cast("timestamp"), timed(hits)
+    both = rows(asks.where(F.col(ts) < last), True, F.col(ts)).unionByName(rows(asks.where(F.col(ts) >= last), True, last))
+    both = both.unionByName(rows(timed(events), False, F.least(F.col(ts), last)))
+    nulls = sum((F.col(n).isNull().cast("tinyint") * F.lit(bit) for n, bit in (("key", 2), ("source", 4))), F.col("id").isNull().cast("tinyint"))
+    spread = F.when(F.col("key").isNull(), F.xxhash64("id")).otherwise(F.xxhash64("key"))
+    placed = both.select(
+        F.pmod(spread, F.lit(cells)).cast("int").alias("cell"), "bucket", "at", "us", "ask", filled("id"), filled("key"), filled("source"),
+        nulls.cast("tinyint").alias("blank"),
+    )
+    answers = placed.groupBy("cell", "bucket").applyInPandasWithState(
+        _Corroboration(half), f"id {types['id']}, blank TINYINT, matches BIGINT", "rows BINARY", "append", "EventTimeTimeout"
     )
-    counted = met.groupBy("hit_id", "__at").agg(F.count("__k").alias("matches"))
-    return counted.select("hit_id", "matches", (F.col("matches") == 0).alias("single_source"))
+    known = F.when(F.col("blank").bitwiseAND(F.lit(1).cast("tinyint")) == 0, F.col("id"))
+    return answers.select(known.alias("hit_id"), "matches", (F.col("matches") == 0).alias("single_source"))
