@@ -76,6 +76,48 @@ def test_ngram_join_is_exact_on_hard_groups(spark):
     assert sorted(map(tuple, got.collect())) == components_of(rows)
 
 
+def test_ngram_join_packs_shingles_of_many_batches_together(spark):
+    rows = [(i, " ".join(f"v{i}_{k}" for k in range(30))) for i in range(400)]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10")
+    try:
+        pieces = ngram_join._pieces(documents(spark, rows).coalesce(2), "text", 5, 6).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert len(pieces) <= 2 * 6  # not 6 for each batch of 10 texts
+    assert sum(len(p["keys"]) // 6 for p in pieces) == 400 * 26 and {len(p["counts"]) for p in pieces} == {len(p["sizes"]) for p in pieces}
+
+
+def test_ngram_join_compares_no_copy_that_is_too_far_with_a_large_group():
+    # one list: 3,000 copies in one component that meet there among their first few shingles, 1,000 others that meet there too late for any
+    n = np.full(4000, 396)
+    labels = np.append(np.zeros(3000, np.int64), np.arange(1, 1001))
+    place = np.append(np.full(3000, 20), np.full(1000, 60))
+    limits = (n - place) * 7 // 3 - n
+    one = np.zeros(1, np.int64), np.array([4000])
+    assert sum(len(i) for i, _ in ngram_join._across(*one, n, limits, labels, None, 3, 4)) == 0
+    # those that may be alike are all met, also beyond what is held at once
+    limits[3990:] = 396
+    got = {(min(x, y), max(x, y)) for i, j in ngram_join._across(*one, n, limits, labels, None, 3, 4) for x, y in zip(i.tolist(), j.tolist())}
+    assert got == {(x, y) for x in range(3000) for y in range(3990, 4000)} | {(x, y) for x in range(3990, 4000) for y in range(x + 1, 4000)}
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_ngram_join_is_exact_among_copies_of_uneven_lengths(spark, seed):
+    rng, rows = random.Random(seed), []
+    base = [f"w{rng.randrange(900)}" for _ in range(120)]
+    for i in range(150):  # cut at either end, with words of their own, some of them shared by a few
+        words = base[rng.randrange(12) : 120 - rng.randrange(25)]
+        for _ in range(rng.randrange(9)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(30)}"
+        rows.append((i, " ".join(words)))
+    got = ngram_join.jaccard_components(spark, documents(spark, rows).repartition(3))
+    want = components_of(rows)
+    assert len({c for _, _, c in want}) > 5
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_ngram_join_keeps_repeated_and_nameless_rows(spark):
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (None, "q"), (7, "q r")]
     got = {tuple(r) for r in ngram_join.jaccard_components(spark, documents(spark, rows)).collect()}

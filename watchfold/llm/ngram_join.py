@@ -11,15 +11,18 @@ and summed per pair.
    fragment of their hash.  Shingles of one class only cannot overlap with anything
    and end there; the others go back to their class with their frequency.
 3. ``prefixes``: a partner must share one of the rarest ``n - ceil(t n) + 1`` shingles.
-   Classes whose shingles are too unique to have any partner end here.
+   Classes whose shingles are too unique to have any partner end here.  Each shingle of
+   a prefix says how large a partner may be that is first met there (``limits``): the
+   shingles left must hold the whole overlap, which grows with the partner.  So classes
+   of one size are a pair only if they meet among the rarest seventh, and a copy with too
+   many changes of its own meets none of the thousands that share the rest with it.
 4. Candidates are met in the fragments of the prefixes.  A short list of classes that
-   share a shingle gives its pairs; a long one (near copies by the thousand) gives
-   only the links to its most central classes, those with the commonest shingles.
-   After these are checked, lists that still hold several components go to the fragment
-   of their largest one, where nearly all that two classes share comes together.  A pair
-   goes on only from a fragment that holds its due part of the overlap that prefixes
-   must have; each similar pair has such a fragment.  So no link is lost, and a large
-   group of near copies costs rows in proportion to its size, not its square.
+   share a shingle gives all pairs that the limits of both allow; a long one (near copies
+   by the thousand) gives only the links to its most central classes, those with the
+   commonest shingles.  After these are checked, long lists that still hold several
+   components give the pairs between them that the limits allow.  Each similar pair is
+   allowed in the list of its first common shingle, so no link is lost, and a large group
+   of near copies costs rows in proportion to its size, not its square.
 5. ``overlaps``: both classes' shingles are cut by hash into parts, the overlap is
    counted per part and summed per pair, and tested exactly in whole numbers.
 """
@@ -28,14 +31,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from watchfold.llm.common import attach_group, components, pack48, set_digest, shingle_sets, text_buffer, unpack48, words_of, written
+from watchfold.llm.common import attach_group, components, pack48, set_digests, shingle_sets, text_buffer, unpack48, words_of, written
 
 PER_FRAGMENT = 2_000_000  # shingles in a fragment, on average
 SHORT = 8  # a list of so many classes gives all its pairs at once
 CENTRES = 2  # classes of a longer list to which the others are compared first
-SPLIT = 64  # parts of the lists of a component that one fragment cannot hold
+AT_ONCE = 1_000_000  # pairs that a task holds before equal ones are merged
 PARTS = 4  # parts of a class's shingles in which overlaps are counted
 _ROW_BYTES = 4 << 20
 
@@ -60,7 +64,8 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
             n, digests = [], []
             for _, sets in _sets(batch, width):
                 n += [len(s) for s in sets]
-                digests += [set_digest(s) if len(s) else None for s in sets]
+                some = iter(set_digests([s for s in sets if len(s)]).tolist())
+                digests += [next(some) if len(s) else None for s in sets]
             yield pa.record_batch(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.int64())], ["id", "n_shingles", "digest"]
             )
@@ -73,49 +78,77 @@ _PIECE = "part int, classes binary, sizes binary, counts binary, keys binary"
 
 
 def _pieces(docs: DataFrame, text_col: str, width: int, fragments: int) -> DataFrame:
-    """Rows (part, classes, sizes, counts, keys): the shingles of some classes in one fragment, packed."""
+    """Rows (part, classes, sizes, counts, keys): the shingles of some classes in one fragment, packed.
+
+    Classes of about ``PER_FRAGMENT`` shingles are packed together: there are fragments in proportion to the
+    input, so fewer shingles at a time would make rows in proportion to its square.
+    """
+
+    def packed(seen: dict) -> pa.RecordBatch:
+        sizes = np.array([len(s) for s in seen.values()], np.int32)
+        keys = np.concatenate(list(seen.values()))
+        owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        part = ((keys >> np.uint64(48)) % np.uint64(fragments)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        tags = {"classes": np.fromiter(seen, np.int64, len(seen)), "sizes": sizes}
+        return _packed(part[order], owner[order], {"keys": pack48(keys[order])}, tags)
 
     def run(batches):
+        seen, held = {}, 0
         for batch in batches:
             for _, sets in _sets(batch, width):
-                seen = {}
-                for s in sets:
-                    if len(s):
-                        seen.setdefault(set_digest(s), s)
-                if not seen:
-                    continue
-                classes = np.fromiter(seen, np.int64, len(seen))
-                sizes = np.array([len(s) for s in seen.values()], np.int64)
-                keys = np.concatenate(list(seen.values()))
-                owner = np.repeat(np.arange(len(classes)), sizes)
-                part = ((keys >> np.uint64(48)) % np.uint64(fragments)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                yield _packed(part[order], owner[order], keys[order], classes, sizes, pack48)
+                sets = [s for s in sets if len(s)]
+                for name, s in zip(set_digests(sets).tolist(), sets):
+                    if name not in seen:
+                        seen[name] = s
+                        held += len(s)
+                if held >= PER_FRAGMENT:
+                    yield packed(seen)
+                    seen, held = {}, 0
+        if seen:
+            yield packed(seen)
 
     return docs.select(F.lit(0), text_col).mapInArrow(run, _PIECE)
 
 
-def _packed(part, owner, keys, classes, sizes, pack) -> pa.RecordBatch:
-    """One row per part of arrays that are sorted by part and, inside, by owner."""
-    cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
-    rows = {name: [] for name in ("part", "classes", "sizes", "counts", "keys")}
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        own, counts = np.unique(owner[a:b], return_counts=True)
-        rows["part"].append(int(part[a]))
-        rows["classes"].append(classes[own].tobytes())
-        rows["sizes"].append(sizes[own].astype(np.int32).tobytes())
-        rows["counts"].append(counts.astype(np.int32).tobytes())
-        rows["keys"].append(pack(keys[a:b]))
-    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.record_batch([pa.array(v, k) for v, k in zip(rows.values(), kinds)], list(rows))
+def _packed(part: np.ndarray, owner: np.ndarray, entries: dict[str, np.ndarray], tags: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """One row per part of entries that are sorted by part and, inside, by owner.
+
+    ``entries`` has a value (or a row of bytes) for each entry, ``tags`` one for each owner: these are written once
+    per owner in a row, with the ``counts`` of the owner's entries there.
+    """
+    head = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])))[: len(part)]
+    rows = np.flatnonzero(np.diff(part[head], prepend=-1))
+
+    def cells(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+        values = np.ascontiguousarray(values)
+        width = values.nbytes // len(values) if len(values) else 0
+        bounds = (np.append(starts, len(values)) * width).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(values)])
+
+    columns = {"part": pa.array(part[head[rows]].astype(np.int32))}
+    columns |= {name: cells(values[owner[head]], rows) for name, values in tags.items()}
+    columns["counts"] = cells(np.diff(np.append(head, len(part))).astype(np.int32), rows)
+    columns |= {name: cells(values, head[rows]) for name, values in entries.items()}
+    return pa.record_batch(list(columns.values()), list(columns))
 
 
-def _unpacked(table, unpack):
-    """(class, size, key) of every entry of a group of packed rows."""
-    join = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
-    counts = join("counts", np.int32)
-    keys = np.concatenate([unpack(x) for x in table.column("keys").to_pylist()])
-    return np.repeat(join("classes", np.int64), counts), np.repeat(join("sizes", np.int32), counts), keys
+def _values(column: pa.ChunkedArray, kind=np.uint8) -> np.ndarray:
+    """The values of a column of packed cells, one after the other."""
+    parts = []
+    for chunk in column.chunks:
+        chunk = chunk.cast(pa.large_binary())
+        _, offsets, data = chunk.buffers()
+        at = np.frombuffer(offsets, np.int64)[chunk.offset : chunk.offset + len(chunk) + 1]
+        if len(chunk) and at[-1] > at[0]:
+            parts.append(np.frombuffer(data, np.uint8)[at[0] : at[-1]])
+    return (np.concatenate(parts) if parts else np.zeros(0, np.uint8)).view(kind)
+
+
+def _unpacked(table: pa.Table, *tags: tuple[str, type]) -> list[np.ndarray]:
+    """The given values of each entry's owner."""
+    counts = _values(table.column("counts"), np.int32)
+    return [np.repeat(_values(table.column(name), kind), counts) for name, kind in tags]
 
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,14 +161,19 @@ def _shared(pieces: DataFrame, blocks: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         fragment = table.column("part")[0].as_py()
-        classes, sizes, keys = _unpacked(table, unpack48)
-        order = np.lexsort((classes, keys))
+        classes, sizes = _unpacked(table, ("classes", np.int64), ("sizes", np.int32))
+        keys = unpack48(_values(table.column("keys")))
+        # first the shingles that come once at all, which are most
+        order = np.argsort(keys)
+        same = keys[order[1:]] == keys[order[:-1]]
+        order = order[np.append(same, False) | np.append(False, same)] if len(order) else order
+        order = order[np.lexsort((classes[order], keys[order]))]
         classes, sizes, keys = classes[order], sizes[order], keys[order]
-        new = np.append(True, (keys[1:] != keys[:-1]) | (classes[1:] != classes[:-1]))
+        new = np.append(True, (keys[1:] != keys[:-1]) | (classes[1:] != classes[:-1]))[: len(keys)]
         classes, sizes, keys = classes[new], sizes[new], keys[new]
         starts, df = _runs(keys)
         keep = np.repeat(df > 1, df)
-        level = np.repeat(np.minimum(np.floor(np.log2(df)), 63).astype(np.uint64), df)[keep]
+        level = np.repeat(np.minimum(np.floor(np.log2(np.maximum(df, 1))), 63).astype(np.uint64), df)[keep]
         classes, sizes, keys = classes[keep], sizes[keep], keys[keep]
         # Two columns in one: the order's leading bits, then the fragment's 48-bit key; the fragment is in the row.
         keys = keys | (level << np.uint64(48))
@@ -144,27 +182,28 @@ def _shared(pieces: DataFrame, blocks: int) -> DataFrame:
         classes, sizes, keys, block = classes[order], sizes[order], keys[order], block[order]
         starts, _ = _runs(classes)
         owner = np.cumsum(np.append(0, classes[1:] != classes[:-1])) if len(classes) else classes
-        out = _packed(block, owner, keys, classes[starts], sizes[starts].astype(np.int64), lambda k: k.astype("<u8").tobytes())
+        out = _packed(block, owner, {"keys": keys}, {"classes": classes[starts], "sizes": sizes[starts]})
         return pa.Table.from_batches([out]).append_column("fragment", pa.array([fragment] * out.num_rows, pa.int32()))
 
     return pieces.groupBy("part").applyInArrow(run, _PIECE + ", fragment int")
 
 
-_CLASS = "class bigint, size int, weight bigint, prefix binary, shared binary"
+_CLASS = "class bigint, size int, weight bigint, alone int, prefix binary, shared binary"
 
 
 def _candidates(shared: DataFrame, num: int, den: int) -> DataFrame:
-    """Per class that can have a partner: its prefix and all its shared shingles, by global order and by hash."""
+    """Per class that can have a partner: how many shingles only it has, its prefix after these and all its shared shingles, by global order and by hash."""
 
     def run(table: pa.Table) -> pa.Table:
-        fragments = np.repeat(table.column("fragment").to_numpy(), [len(x) // 8 for x in table.column("keys").to_pylist()])
-        classes, sizes, keys = _unpacked(table, lambda x: np.frombuffer(x, np.uint64))
+        keys = _values(table.column("keys"), np.uint64)
+        fragments = np.repeat(table.column("fragment").to_numpy(), pc.binary_length(table.column("keys")).to_numpy() // 8)
+        classes, sizes = _unpacked(table, ("classes", np.int64), ("sizes", np.int32))
         level, low = keys >> np.uint64(48), keys & np.uint64((1 << 48) - 1)
         whole = low | (fragments.astype(np.uint64) << np.uint64(48))
         order = np.lexsort((whole, level, classes))
         classes, sizes, whole, level = classes[order], sizes[order], whole[order], level[order].astype(np.int64)
         starts, counts = _runs(classes)
-        rows = {"class": [], "size": [], "weight": [], "prefix": [], "shared": []}
+        rows = {"class": [], "size": [], "weight": [], "alone": [], "prefix": [], "shared": []}
         for a, m in zip(starts.tolist(), counts.tolist()):
             n = int(sizes[a])
             need = -(-n * num // den)
@@ -172,154 +211,114 @@ def _candidates(shared: DataFrame, num: int, den: int) -> DataFrame:
                 rows["class"].append(int(classes[a]))
                 rows["size"].append(n)
                 rows["weight"].append(1000 * int(level[a : a + m].sum()) // n)
+                rows["alone"].append(n - m)
                 rows["prefix"].append(whole[a : a + (n - need + 1) - (n - m)].tobytes())
                 rows["shared"].append(np.sort(whole[a : a + m]).tobytes())
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
         return pa.table([pa.array(v, k) for v, k in zip(rows.values(), kinds)], list(rows))
 
     return shared.groupBy("part").applyInArrow(run, _CLASS)
 
 
-def _lists(classes: DataFrame, fragments: int) -> DataFrame:
-    """Prefixes dealt to fragments of the order, packed; ``labels``, ``weights`` and ``lengths`` are per class as ``sizes`` is."""
+_LIST = "part int, classes binary, sizes binary, labels binary, weights binary, counts binary, keys binary, limits binary"
+
+
+def _lists(classes: DataFrame, fragments: int, num: int, den: int) -> DataFrame:
+    """Prefixes dealt to fragments of the order, packed.
+
+    ``limits``: the largest partner that a class may meet first at this shingle.  At the place ``p`` of the class's order
+    ``n - p`` shingles are left, and a partner of ``m`` needs ``num (n + m) / (num + den)`` of them.
+    """
 
     def run(batches):
         for batch in batches:
-            data = batch.to_pydict()
-            parts = [np.frombuffer(x, np.uint64) for x in data["prefix"]]
-            if not sum(map(len, parts)):
+            data = pa.Table.from_batches([batch])
+            column = lambda name, kind=np.int64: data.column(name).to_numpy().astype(kind)
+            keys = _values(data.column("prefix"), np.uint64)
+            if not len(keys):
                 continue
-            keys = np.concatenate(parts)
-            owner = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+            lengths, sizes = pc.binary_length(data.column("prefix")).to_numpy() // 8, column("size")
+            owner = np.repeat(np.arange(len(lengths)), lengths)
+            place = np.arange(len(keys)) - np.repeat(np.cumsum(lengths) - lengths - column("alone"), lengths)
+            limits = ((sizes[owner] - place) * (num + den) // num - sizes[owner]).astype(np.int32)
             part = ((keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(fragments)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            tags = {c: np.array(data[c[:-1]], np.int64) for c in ("labels", "weights")} | {"lengths": np.array([len(x) for x in parts], np.int64)}
-            out = _packed(part[order], owner[order], keys[order], np.array(data["class"], np.int64), np.array(data["size"], np.int64), lambda k: k.tobytes())
-            cuts = np.append(np.flatnonzero(np.diff(part[order], prepend=-1)), len(part))
-            yield _tagged(out, part[order], owner[order], tags)
-
-    return classes.select("class", "size", "prefix", "label", "weight").mapInArrow(run, _TAGGED)
-
-
-_TAGGED = _PIECE + ", labels binary, weights binary, lengths binary"
-
-
-def _tagged(out: pa.RecordBatch, part, owner, tags) -> pa.RecordBatch:
-    """The packed rows with more values per class."""
-    cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
-    own = [np.unique(owner[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
-    more = [pa.array([values[x].tobytes() for x in own], pa.binary()) for values in tags.values()]
-    return pa.record_batch([*out.columns, *more], [*out.schema.names, *tags])
-
-
-def _entries(table):
-    """(class, size, key, label, weight, length) of every entry, sorted by key and class."""
-    classes, sizes, keys = _unpacked(table, lambda x: np.frombuffer(x, np.uint64))
-    counts = np.concatenate([np.frombuffer(x, np.int32) for x in table.column("counts").to_pylist()])
-    tags = [np.repeat(np.concatenate([np.frombuffer(x, np.int64) for x in table.column(c).to_pylist()]), counts) for c in ("labels", "weights", "lengths")]
-    order = np.lexsort((classes, keys))
-    return classes[order], sizes[order].astype(np.int64), keys[order], *(t[order] for t in tags)
-
-
-def _open_lists(lists: DataFrame) -> DataFrame:
-    """The lists that hold several components, dealt anew by their largest component (and, by key, into ``SPLIT`` of its parts)."""
-
-    def run(table: pa.Table) -> pa.Table:
-        classes, sizes, keys, labels, weights, lengths = _entries(table)
-        order = np.lexsort((labels, keys))
-        k, own = keys[order], labels[order]
-        heads = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (own[1:] != own[:-1])))
-        size = np.diff(np.append(heads, len(k)))
-        top = np.lexsort((own[heads], -size, k[heads]))  # of each list the largest component first
-        first, several = _runs(k[heads][top])
-        numbers = np.searchsorted(k[heads][top][first], keys)
-        live = several[numbers] > 1
-        largest = own[heads][top][first][numbers][live]
-        classes, sizes, keys, labels, weights, lengths = (x[live] for x in (classes, sizes, keys, labels, weights, lengths))
-        deal, part = np.unique(np.column_stack([largest, (keys >> np.uint64(7)).astype(np.int64) % SPLIT]), axis=0, return_inverse=True)
-        names, at, owner = np.unique(classes, return_index=True, return_inverse=True)
-        order = np.lexsort((owner, part.ravel()))
-        out = _packed(part.ravel()[order], owner[order], keys[order], names, sizes[at], lambda x: x.tobytes())
-        tags = {"labels": labels[at], "weights": weights[at], "lengths": lengths[at]}
-        rows = pa.Table.from_batches([_tagged(out, part.ravel()[order], owner[order], tags)])
-        n = [len(x) // 8 for x in rows.column("keys").to_pylist()]
-        return rows.append_column("largest", pa.array(deal[:, 0], pa.int64())).append_column("split", pa.array(deal[:, 1], pa.int32())).append_column("n", pa.array(n, pa.int64()))
-
-    return lists.groupBy("part").applyInArrow(run, _TAGGED + ", largest bigint, split int, n bigint")
-
-
-def _dealt(spark: SparkSession, open_lists: DataFrame, fragments: int) -> DataFrame:
-    """Open lists with their fragment: one for a component, or several where it has more entries than one can hold."""
-    rows = written(open_lists, spark, "open-lists")
-    parts = F.least(F.ceil(F.sum("n") / PER_FRAGMENT), F.lit(SPLIT)).alias("parts")
-    met = rows.drop("part").join(rows.groupBy(F.col("largest").alias("l")).agg(parts), F.col("largest") == F.col("l"))
-    return met.withColumn("part", F.pmod(F.xxhash64("largest", F.col("split") % F.col("parts")), F.lit(fragments)).cast("int"))
-
-
-_PAIR = "a bigint, b bigint, size_a int, size_b int, common bigint"
-
-
-def _merged(parts: list[np.ndarray]) -> np.ndarray:
-    """Rows (a, b, size_a, size_b, length_a, common) of equal pairs added up."""
-    rows = np.concatenate(parts) if parts else np.zeros((0, 6), np.int64)
-    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-    head = np.flatnonzero(np.append(True, (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1]))) if len(rows) else np.zeros(0, np.int64)
-    out = rows[head]
-    if len(rows):
-        out[:, 5] = np.add.reduceat(rows[:, 5], head)
-    return out
+            tags = {"classes": column("class"), "sizes": column("size", np.int32), "labels": column("label"), "weights": column("weight")}
+            yield _packed(part[order], owner[order], {"keys": keys[order], "limits": limits[order]}, tags)
+
+    return classes.select("class", "size", "alone", "prefix", "label", "weight").mapInArrow(run, _LIST)
+
+
+_PAIR = "a bigint, b bigint, size_a int, size_b int"
+
+
+def _near_centres(starts, counts, sizes, limits, labels, weights, num, den):
+    """Index arrays: all pairs of short lists, in long ones those with the ``CENTRES`` most central classes."""
+    for length in range(2, SHORT + 1):
+        at = starts[counts == length]
+        i, j = np.triu_indices(length, 1)
+        yield (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
+    long = counts > SHORT
+    for a, c in zip(starts[long].tolist(), counts[long].tolist()):
+        for top in np.argsort(-weights[a : a + c], kind="stable")[:CENTRES].tolist():
+            yield np.full(c, a + top), np.arange(a, a + c)
+
+
+def _across(starts, counts, sizes, limits, labels, weights, num, den):
+    """Index arrays of the pairs between different components in long lists: each class outside the list's largest
+    component with those whose size its limit allows."""
+    if not len(starts):
+        return
+    several = (counts > SHORT) & (np.minimum.reduceat(labels, starts) < np.maximum.reduceat(labels, starts))
+    for a, c in zip(starts[several].tolist(), counts[several].tolist()):
+        own, n, reach = labels[a : a + c], sizes[a : a + c], limits[a : a + c]
+        by = np.argsort(own, kind="stable")
+        heads, members = _runs(own[by])
+        outside = np.flatnonzero(own != own[by[heads[np.argmax(members)]]])
+        order = np.argsort(n, kind="stable")
+        first = np.searchsorted(n[order], -(-n[outside] * num // den), side="left")
+        many = np.maximum(np.searchsorted(n[order], reach[outside], side="right") - first, 0)
+        ends = np.cumsum(many)
+        x = 0
+        while x < len(outside):
+            y = max(x + 1, int(np.searchsorted(ends, ends[x] - many[x] + AT_ONCE, side="right")))
+            own_x = np.repeat(np.arange(x, y), many[x:y])
+            at = np.arange(len(own_x)) - (ends[own_x] - many[own_x] - (ends[x] - many[x])) + first[own_x]
+            i, j = outside[own_x], order[at]
+            met = (own[i] != own[j]) & (reach[j] >= n[i])
+            yield a + i[met], a + j[met]
+            x = y
 
 
 def _pairs(lists: DataFrame, num: int, den: int, second: bool) -> DataFrame:
-    """Pairs that share a prefix shingle, with the number of those they share in the fragment.
+    """Pairs that share a prefix shingle where the limits of both allow the other: near centres, or (second) across components."""
 
-    First: all pairs of short lists, links to the ``CENTRES`` most central classes of long ones.
-    Second: pairs of classes in different components, from a fragment with their due part of the overlap.
-    """
-
-    def select(starts, counts, labels, weights):
-        """Index arrays of the pairs, a bounded number at a time."""
-        if not second:
-            for length in range(2, SHORT + 1):
-                at = starts[counts == length]
-                i, j = np.triu_indices(length, 1)
-                yield (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-        for a, c in zip(starts.tolist(), counts.tolist()):
-            if not second and c > SHORT:
-                for top in np.argsort(-weights[a : a + c], kind="stable")[:CENTRES].tolist():
-                    yield np.full(c, a + top), np.arange(a, a + c)
-            elif second and c > 1:
-                own = labels[a : a + c]
-                by = np.argsort(own, kind="stable")
-                heads, sizes = _runs(own[by])
-                for head, size in zip(heads[1:].tolist(), sizes[1:].tolist()):
-                    for x in by[head : head + size].tolist():
-                        yield np.full(head, a + x), a + by[:head]
+    def merged(parts: list[np.ndarray]) -> np.ndarray:
+        rows = np.concatenate(parts) if parts else np.zeros((0, 4), np.int64)
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        return rows[np.append(True, (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1]))[: len(rows)]]
 
     def run(table: pa.Table) -> pa.Table:
-        classes, sizes, keys, labels, weights, lengths = _entries(table)
+        tags = _unpacked(table, ("classes", np.int64), ("sizes", np.int32), ("labels", np.int64), ("weights", np.int64))
+        keys, limits = _values(table.column("keys"), np.uint64), _values(table.column("limits"), np.int32)
+        order = np.argsort(keys)
+        keys, limits = keys[order], limits[order].astype(np.int64)
+        classes, sizes, labels, weights = (x[order].astype(np.int64) for x in tags)
         starts, counts = _runs(keys)
         found, held = [], 0
-        for i, j in select(starts, counts, labels, weights):
-            fit = (np.minimum(sizes[i], sizes[j]) * den >= np.maximum(sizes[i], sizes[j]) * num) & (classes[i] != classes[j])
+        for i, j in (_across if second else _near_centres)(starts, counts, sizes, limits, labels, weights, num, den):
+            fit = (limits[i] >= sizes[j]) & (limits[j] >= sizes[i]) & (classes[i] != classes[j])
             i, j = i[fit], j[fit]
             swap = classes[i] > classes[j]
             i, j = np.where(swap, j, i), np.where(swap, i, j)
-            found.append(np.column_stack([classes[i], classes[j], sizes[i], sizes[j], lengths[i], np.ones(len(i), np.int64)]))
+            found.append(np.column_stack([classes[i], classes[j], sizes[i], sizes[j]]))
             held += len(i)
-            if held > 4_000_000:
-                found = [_merged(found)]
+            if held > AT_ONCE:
+                found = [merged(found)]
                 held = len(found[0])
-        rows = _merged(found)
-        if second:
-            # Beyond its prefix a class has ceil(t n) - 1 shingles, so the prefixes of a similar pair share the
-            # rest of the overlap; over all fragments that is due in proportion to the entries a class has there.
-            beyond = -(-np.maximum(rows[:, 2], rows[:, 3]) * num // den) - 1
-            due = -(-(rows[:, 2] + rows[:, 3]) * num // (num + den)) - beyond
-            own, here = np.unique(classes, return_counts=True)
-            rows = rows[rows[:, 5] * rows[:, 4] >= due * here[np.searchsorted(own, rows[:, 0])]]
-        kinds = zip((0, 1, 2, 3, 5), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))
-        return pa.table([pa.array(rows[:, k]).cast(t) for k, t in kinds], ["a", "b", "size_a", "size_b", "common"])
+        rows = merged(found)
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.table([pa.array(rows[:, k]).cast(t) for k, t in enumerate(kinds)], ["a", "b", "size_a", "size_b"])
 
     return lists.groupBy("part").applyInArrow(run, _PAIR)
 
@@ -341,7 +340,7 @@ def _due(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     right = classes.select(F.col("class").alias("b"), F.col("prefix").alias("y"))
     met = pairs.select("a", "b", "size_a", "size_b").join(left, "a").join(right, "b").select("a", "b", "size_a", "size_b", "x", "y")
     beyond = F.ceil(F.greatest("size_a", "size_b") * num / den) - 1
-    return met.mapInArrow(_common, _PAIR).where((F.col("common") + beyond) * (num + den) >= (F.col("size_a") + F.col("size_b")) * num)
+    return met.mapInArrow(_common, _PAIR + ", common bigint").where((F.col("common") + beyond) * (num + den) >= (F.col("size_a") + F.col("size_b")) * num)
 
 
 def _overlaps(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -364,7 +363,7 @@ def _overlaps(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataF
     left = segments.select(F.col("class").alias("a"), "part", F.col("segment").alias("x"))
     right = segments.select(F.col("class").alias("b"), "part", F.col("segment").alias("y"))
     both = dealt.join(left, ["a", "part"]).join(right, ["b", "part"]).select("a", "b", "size_a", "size_b", "x", "y")
-    total = both.mapInArrow(_common, _PAIR).groupBy("a", "b", "size_a", "size_b").agg(F.sum("common").alias("common"))
+    total = both.mapInArrow(_common, _PAIR + ", common bigint").groupBy("a", "b", "size_a", "size_b").agg(F.sum("common").alias("common"))
     return total.where(F.col("common") * den >= (F.col("size_a") + F.col("size_b") - F.col("common")) * num)
 
 
@@ -382,15 +381,15 @@ def jaccard_links(spark: SparkSession, docs: DataFrame, sizes: DataFrame, text_c
     alone = classes.withColumn("label", F.col("class"))
 
     def checked(lists: DataFrame, second: bool) -> DataFrame:
-        pairs = _pairs(lists, num, den, second).groupBy("a", "b", "size_a", "size_b").agg(F.sum("common").alias("common"))
+        pairs = _pairs(lists, num, den, second).distinct()
         if second:
             pairs = written(_due(pairs, classes, num, den), spark, "due")
         return written(_overlaps(pairs, classes, num, den), spark, "links")
 
-    first = checked(_lists(alone, fragments), False)
+    first = checked(_lists(alone, fragments, num, den), False)
     labels = written(components(first, spark), spark, "labels")
     joined = classes.join(labels, F.col("class") == F.col("node"), "left").withColumn("label", F.coalesce("label", "class"))
-    second = checked(_dealt(spark, _open_lists(_lists(joined, fragments)), fragments), True)
+    second = checked(_lists(joined, fragments, num, den), True)
     links = first.unionByName(second)
     if not second.isEmpty():
         labels = written(components(links, spark), spark, "labels")
