@@ -91,7 +91,8 @@ def _pieces(docs: DataFrame, text_col: str, width: int, fragments: int) -> DataF
         part = ((keys >> np.uint64(48)) % np.uint64(fragments)).astype(np.int32)
         order = np.argsort(part, kind="stable")
         tags = {"classes": np.fromiter(seen, np.int64, len(seen)), "sizes": sizes}
-        return _packed(part[order], owner[order], {"keys": pack48(keys[order])}, tags)
+        keys = np.frombuffer(pack48(keys[order]), np.uint8).reshape(-1, 6)
+        return _packed(part[order], owner[order], {"keys": keys}, tags)
 
     def run(batches):
         seen, held = {}, 0
